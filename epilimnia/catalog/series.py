@@ -116,7 +116,7 @@ def null_run_stats(t: Tables) -> DataFrame:
 @query(f"""{BRACKET_SQL} SELECT user_id, h,
  CASE WHEN v IS NOT NULL THEN round(v, 6) WHEN i1 - i0 - 1 <= 12 THEN round(v0 + (v1 - v0) * (i - i0) / (i1 - i0), 6) END AS v FROM q""")
 def interpolate_maxgap(t: Tables) -> DataFrame:
-    return rounded(G.interpolate(hourly_filled(t), ["user_id"], ["h"], "v", maxgap=12), "v")
+    return rounded(G.fill_gaps(hourly(t), ["user_id"], "h", 3600, interpolated="v", maxgap=12), "v")
 
 
 EDGE_SQL = """WITH cal AS (SELECT CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d, s FROM
@@ -141,8 +141,21 @@ SELECT s, d, round(coalesce(v, v0 + (v1 - v0) * (i - i0) / (i1 - i0), v0, v1), 4
 def interpolate_edges(t: Tables) -> DataFrame:
     high = F.when(F.col("o_totalprice") > 200000, F.col("o_totalprice"))
     daily = t("orders").groupBy(F.col("o_orderstatus").alias("s"), F.to_date("o_orderdate").alias("d")).agg(F.avg(high).alias("v"))
-    full = G.densify_daily(daily, ["s"], "d")
-    return rounded(G.interpolate(full, ["s"], ["d"], "v", edges="nearest", limit=None), "v", digits=4)
+    return rounded(G.densify_daily(daily, ["s"], "d", interpolated="v", edges="nearest", limit=None), "v", digits=4)
+
+
+@query("""WITH x AS (SELECT o_custkey, o_orderkey, o_orderdate, CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END AS v FROM orders),
+ p AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM x),
+ q AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER a AS i0, last_value(v IGNORE NULLS) OVER a AS v0,
+  first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS i1, first_value(v IGNORE NULLS) OVER b AS v1 FROM p
+  WINDOW a AS (PARTITION BY o_custkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         b AS (PARTITION BY o_custkey ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT o_orderkey, round(CASE WHEN v IS NOT NULL THEN v WHEN i1 - i0 - 1 <= 2 THEN v0 + (v1 - v0) * (i - i0) / (i1 - i0) END, 4) AS v FROM q""")
+def interpolate_rows(t: Tables) -> DataFrame:
+    value = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice"))
+    rows = t("orders").select("o_custkey", "o_orderkey", "o_orderdate", value.alias("v"))
+    out = G.interpolate(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], "v", maxgap=2)
+    return rounded(out.select("o_orderkey", "v"), "v", digits=4)
 
 
 # --- physics and bins ----------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import strict_avg, strict_max, strict_sum
@@ -141,8 +141,15 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     ])
 
 
-def slice_min(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
-    """Rows at the minimum of their group, ties kept."""
+def slice_min(df: DataFrame, keys: Sequence[str], col: str, bounded: bool = False) -> DataFrame:
+    """Rows at the minimum of their group, ties kept.
+
+    ``bounded``: groups are small by construction (for instance days of a year), so one ranking window
+    replaces the aggregate and join.
+    """
+    if bounded:
+        w = Window.partitionBy(*keys).orderBy(col)
+        return df.withColumn("__rank", F.rank().over(w)).where("__rank = 1").drop("__rank")
     low = df.groupBy(*keys).agg(F.min(col).alias(col))
     return join_on(df, low, [*keys, col], "left_semi")
 
@@ -152,8 +159,11 @@ def attach_stats(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column]) ->
     return join_on(df, df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), keys, "left")
 
 
-def having_rows(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """Rows of groups with at least ``n`` rows."""
+def having_rows(df: DataFrame, keys: Sequence[str], n: int, bounded: bool = False) -> DataFrame:
+    """Rows of groups with at least ``n`` rows (F10); ``bounded`` as in ``slice_min``."""
+    if bounded:
+        size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        return df.withColumn("__n", size).where(F.col("__n") >= n).drop("__n")
     enough = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= n)
     return join_on(df, enough.select(*keys), keys, "left_semi")
 

@@ -8,16 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
-from .joins import join_on
 from .scan import SERIES_LIMIT, with_neighbours
 
 BLOCK = 4096
 
 
+def _is_date(df: DataFrame, ts: str, step_seconds: int) -> bool:
+    is_date = isinstance(df.schema[ts].dataType, DateType)
+    if is_date and step_seconds % 86400:
+        raise ValueError("a date series needs a step of whole days")
+    return is_date
+
+
 def _steps(lo: Column, hi: Column, is_date: bool, step_seconds: int) -> Column:
+    """Whole steps from lo to hi, counting a started one."""
     if is_date:
-        return F.floor(F.date_diff(hi, lo) / (step_seconds // 86400)).cast("long")
-    return F.floor(F.timestamp_diff("MICROSECOND", lo, hi) / (step_seconds * 1_000_000)).cast("long")
+        return F.ceil(F.date_diff(hi, lo) / (step_seconds // 86400)).cast("long")
+    return F.ceil(F.timestamp_diff("MICROSECOND", lo, hi) / (step_seconds * 1_000_000)).cast("long")
 
 
 def _at(lo: Column, i: Column, is_date: bool, step_seconds: int) -> Column:
@@ -26,38 +33,68 @@ def _at(lo: Column, i: Column, is_date: bool, step_seconds: int) -> Column:
     return lo + F.make_dt_interval(secs=(i * step_seconds).cast("decimal(18,6)"))
 
 
-def regular_spine(df: DataFrame, keys: Sequence[str], ts: str, step_seconds: int) -> DataFrame:
-    """Every step between the first and last time of each key.
+def _unroll(df: DataFrame, count: Column) -> DataFrame:
+    """``__i`` = 0 .. count - 1 for each row, in blocks, so a long gap never becomes one large array."""
+    blocks = df.withColumn("__count", F.greatest(count, F.lit(1).cast("long"))).withColumn(
+        "__b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__count") - 1) / BLOCK)))
+    )
+    first = F.col("__b") * BLOCK
+    index = F.explode(F.sequence(first, F.least(first + (BLOCK - 1), F.col("__count") - 1)))
+    return blocks.withColumn("__i", index).drop("__b", "__count")
+
+
+def fill_gaps(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    step_seconds: int,
+    interpolated: str | None = None,
+    maxgap: int | None = None,
+    edges: str = "null",
+    limit: int | None = SERIES_LIMIT,
+) -> DataFrame:
+    """Add a row for every missing step between the first and last time of each series.
 
-    Two explodes: blocks of steps are spread over the cluster first, then each block is unrolled, so a
-    long series neither builds one large array nor fills one task.
+    Observed rows all stay; other columns of added rows are NULL. Times are expected on the step grid of
+    their series. With ``interpolated`` that column is filled in the same pass (F7, F8): linear in time,
+    gaps of more than ``maxgap`` steps stay NULL, ends as in ``interpolate``. Each row yields the steps up
+    to the next row, so one window over the observed rows does it all: one shuffle.
     """
-    is_date = isinstance(df.schema[ts].dataType, DateType)
-    if is_date and step_seconds % 86400:
-        raise ValueError("a date series needs a step of whole days")
-    lo, hi = F.col("__lo"), F.col("__hi")
-    last = _steps(lo, hi, is_date, step_seconds)
-    spans = df.groupBy(*keys).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi")).where(lo.isNotNull())
-    spans = spans.withColumn("__last", last)
-    blocks = spans.select(
-        *keys, "__lo", "__last",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("__last") / BLOCK))).alias("__block"),
-    ).repartition(*[F.col(k) for k in keys], F.col("__block"))
-    first = F.col("__block") * BLOCK
-    index = F.explode(F.sequence(first, F.least(first + (BLOCK - 1), F.col("__last")))).alias("__i")
-    return blocks.select(*keys, "__lo", index).select(*keys, _at(lo, F.col("__i"), is_date, step_seconds).alias(ts))
-
-
-def fill_gaps(df: DataFrame, keys: Sequence[str], ts: str, step_seconds: int) -> DataFrame:
-    """Add a row with NULL values for every missing step (F6); all observed rows stay."""
-    spine = regular_spine(df, keys, ts, step_seconds)
-    missing = join_on(spine, df.select(*keys, ts), [*keys, ts], "left_anti")
-    return df.unionByName(missing, allowMissingColumns=True)
-
-
-def densify_daily(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
+    is_date = _is_date(df, ts, step_seconds)
+    columns = df.columns
+    value = interpolated or ts
+    rows = with_neighbours(df, keys, [ts], value, at=ts, limit=limit)
+    here, upcoming = F.col(ts), F.col("upcoming")
+    rows = _unroll(rows, F.coalesce(_steps(here, upcoming, is_date, step_seconds), F.lit(1).cast("long")))
+    rows = rows.withColumn("__t", _at(here, F.col("__i"), is_date, step_seconds))
+    observed = F.col("__i") == 0
+    new = {c: F.when(observed, F.col(c)) for c in columns if c not in keys and c != ts}
+    if interpolated:
+        before, after = F.col("before"), F.col("after")
+        span = _steps(before["at"], after["at"], is_date, step_seconds)
+        share = _steps(before["at"], F.col("__t"), is_date, step_seconds) / span
+        line = before["value"] + (after["value"] - before["value"]) * share
+        new[interpolated] = _choose(new[interpolated], before, after, line, span - 1, maxgap, edges)
+    return rows.withColumns({**new, ts: F.col("__t")}).select(*columns)
+
+
+def densify_daily(df: DataFrame, keys: Sequence[str], date: str, **kwargs) -> DataFrame:
     """Full daily calendar per key."""
-    return fill_gaps(df, keys, date, 86400)
+    return fill_gaps(df, keys, date, 86400, **kwargs)
+
+
+def _choose(
+    value: Column, before: Column, after: Column, line: Column, gap: Column, maxgap: int | None, edges: str
+) -> Column:
+    if edges not in ("null", "nearest"):
+        raise ValueError(edges)
+    if edges == "nearest" and maxgap is not None:
+        raise ValueError("maxgap goes with edges='null' only")
+    inside = before.isNotNull() & after.isNotNull()
+    if maxgap is not None:
+        inside = inside & (gap <= maxgap)
+    out = F.when(value.isNotNull(), value).when(inside, line)
+    return F.coalesce(out, before["value"], after["value"]) if edges == "nearest" else out
 
 
 def interpolate(
@@ -75,18 +112,9 @@ def interpolate(
     Gaps of more than ``maxgap`` rows stay NULL. Leading and trailing NULLs stay NULL, or take the
     nearest value with ``edges="nearest"``.
     """
-    if edges not in ("null", "nearest"):
-        raise ValueError(edges)
-    if edges == "nearest" and maxgap is not None:
-        raise ValueError("maxgap goes with edges='null' only")
-    rows = with_neighbours(df, keys, order, col, limit)
-    before, after, pos = F.col("before"), F.col("after"), F.col("position")
-    share = (pos - before["position"]) / (after["position"] - before["position"])
-    inner = before["value"] + (after["value"] - before["value"]) * share
-    gap = after["position"] - before["position"] - 1
-    short = F.lit(True) if maxgap is None else gap <= maxgap
-    value = F.when(F.col(col).isNotNull(), F.col(col)).when(before.isNotNull() & after.isNotNull() & short, inner)
-    if edges == "nearest":
-        value = F.coalesce(value, before["value"], after["value"])
-    return rows.withColumn(out or col, value).drop("position", "before", "after")
-
+    rows = with_neighbours(df, keys, order, col, limit=limit)
+    before, after, position = F.col("before"), F.col("after"), F.col("position")
+    span = after["at"] - before["at"]
+    line = before["value"] + (after["value"] - before["value"]) * (position - before["at"]) / span
+    value = _choose(F.col(col), before, after, line, span - 1, maxgap, edges)
+    return rows.withColumn(out or col, value).drop("position", "before", "after", "upcoming")

@@ -73,8 +73,7 @@ def exclude_days(df: DataFrame, other: DataFrame, keys: Sequence[str] = ("Date",
 def day_cells(windows: DataFrame, keys: Sequence[str], start: str, end: str, keep: Sequence[str] = ()) -> DataFrame:
     """One row per key and calendar day covered by an inclusive date window.
 
-    Turns a range join into an equi join on (keys, day): no candidate pairs are built and a hot key is
-    spread over its days.
+    For control tables whose windows carry a label; ``covered_days`` is the compact form without one.
     """
     day = F.explode(F.sequence(F.col(start).cast("date"), F.col(end).cast("date"))).alias("__day")
     return (
@@ -82,6 +81,42 @@ def day_cells(windows: DataFrame, keys: Sequence[str], start: str, end: str, kee
     )
 
 
+_WIDTH = 64
+
+
+def _block(day: Column) -> Column:
+    return F.floor(day / _WIDTH).cast("int")
+
+
+def covered_days(windows: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+    """Days covered by inclusive date windows: per key and block of 64 days one row with a bit per day.
+
+    Overlapping windows fall together in the bits, so a row matches at most once, without a range
+    condition. A window costs one row per 64 days, combined before the shuffle.
+    """
+    rows = windows.where(F.col(start) <= F.col(end)).select(
+        *keys, F.unix_date(F.col(start).cast("date")).alias("__a"), F.unix_date(F.col(end).cast("date")).alias("__b")
+    )
+    rows = rows.withColumn("__block", F.explode(F.sequence(_block(F.col("__a")), _block(F.col("__b")))))
+    first = F.col("__block") * _WIDTH
+    lo = F.greatest(F.col("__a") - first, F.lit(0))
+    hi = F.least(F.col("__b") - first, F.lit(_WIDTH - 1))
+    ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (_WIDTH - 1) - (hi - lo))
+    bits = F.call_function("shiftleft", ones, lo)
+    return rows.groupBy(*keys, "__block").agg(F.bit_or(bits).alias("__bits"))
+
+
+def _with_cover(df: DataFrame, windows: DataFrame, time: Column | str, keys: Sequence[str], start: str, end: str) -> DataFrame:
+    time = F.col(time) if isinstance(time, str) else time
+    rows = df.withColumn("__day", F.unix_date(F.to_date(time)))
+    rows = rows.withColumn("__block", _block(F.col("__day")))
+    rows = join_on(rows, covered_days(windows, keys, start, end), [*keys, "__block"], "left")
+    bit = F.call_function("shiftrightunsigned", F.col("__bits"), F.col("__day") - F.col("__block") * _WIDTH)
+    return rows.withColumn("__hit", F.coalesce(bit.bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))).drop(
+        "__day", "__block", "__bits"
+    )
+
+
 def tag_intervals(
     df: DataFrame,
     intervals: DataFrame,
@@ -94,20 +129,15 @@ def tag_intervals(
     off: str = "Off",
 ) -> DataFrame:
     """Tag each row by whether its day lies in an interval of its key (D12); every row comes back once."""
-    time = F.col(time) if isinstance(time, str) else time
-    cells = day_cells(intervals, keys, start, end).withColumn("__hit", F.lit(True))
-    tagged = join_on(df.withColumn("__day", F.to_date(time)), cells, [*keys, "__day"], "left")
-    state = F.when(F.col("__hit"), F.lit(on)).otherwise(F.lit(off))
-    return tagged.withColumn(out, state).drop("__day", "__hit")
+    tagged = _with_cover(df, intervals, time, keys, start, end)
+    return tagged.withColumn(out, F.when(F.col("__hit"), F.lit(on)).otherwise(F.lit(off))).drop("__hit")
 
 
 def within_windows(
     df: DataFrame, windows: DataFrame, time: Column | str, keys: Sequence[str], start: str, end: str
 ) -> DataFrame:
     """Rows whose day lies in a window of their key."""
-    time = F.col(time) if isinstance(time, str) else time
-    cells = day_cells(windows, keys, start, end)
-    return join_on(df.withColumn("__day", F.to_date(time)), cells, [*keys, "__day"], "left_semi").drop("__day")
+    return _with_cover(df, windows, time, keys, start, end).where("__hit").drop("__hit")
 
 
 def phase_of(

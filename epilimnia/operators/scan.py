@@ -194,40 +194,52 @@ def with_neighbours(
     keys: Sequence[str],
     order: Sequence[Column | str],
     value: str,
+    at: str | None = None,
     limit: int | None = SERIES_LIMIT,
 ) -> DataFrame:
-    """Add ``position``, and (position, value) of the last and next non-NULL value: ``before``, ``after``.
+    """Known values around each row, as structs (at, value).
 
-    A row with a value is its own ``before`` and ``after``.
+    Adds ``before`` (last non-NULL value up to and with this row), ``after`` (first one behind this row)
+    and ``upcoming`` (``at`` of the next row). ``at`` is a column, or the row number when not given; that
+    one is added as ``position``.
     """
     s = series(df, keys, order, limit)
-    out = s.df.withColumn("position", F.row_number().over(s.window()).cast("long"))
-    if s.chunked:
-        counts = out.groupBy(*s.groups).agg(F.count(F.lit(1)).alias("__rows"))
-        offsets = counts.select(*s.groups, F.sum("__rows").over(s.earlier_chunks()).alias("__offset"))
-        out = s.carry(out, offsets).withColumn(
-            "position", F.col("position") + F.coalesce(F.col("__offset"), F.lit(0))
-        ).drop("__offset")
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col("position"), F.col(value).alias("value")))
+    out, axis = s.df, at or "position"
+    if at is None:
+        out = out.withColumn("position", F.row_number().over(s.window()).cast("long"))
+        if s.chunked:
+            counts = out.groupBy(*s.groups).agg(F.count(F.lit(1)).alias("__rows"))
+            offsets = counts.select(*s.groups, F.sum("__rows").over(s.earlier_chunks()).alias("__offset"))
+            out = s.carry(out, offsets).withColumn(
+                "position", F.col("position") + F.coalesce(F.col("__offset"), F.lit(0))
+            ).drop("__offset")
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(axis).alias("at"), F.col(value).alias("value")))
     out = out.withColumn("__known", known)
-    ahead = s.window().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    behind = s.window().rowsBetween(1, Window.unboundedFollowing)
     out = out.withColumns(
         {
             "before": F.last("__known", ignorenulls=True).over(s.running()),
-            "after": F.first("__known", ignorenulls=True).over(ahead),
+            "after": F.first("__known", ignorenulls=True).over(behind),
+            "upcoming": F.lead(axis).over(s.window()),
         }
     )
     if s.chunked:
-        ends = out.groupBy(*s.groups).agg(F.min("__known").alias("__lo"), F.max("__known").alias("__hi"))
+        ends = out.groupBy(*s.groups).agg(
+            F.min_by("__known", F.when(F.col("__known").isNotNull(), F.struct(*s.order))).alias("__lo"),
+            F.max_by("__known", F.when(F.col("__known").isNotNull(), F.struct(*s.order))).alias("__hi"),
+            F.min_by(axis, F.struct(*s.order)).alias("__first"),
+        )
         reach = ends.select(
             *s.groups,
             F.last("__hi", ignorenulls=True).over(s.earlier_chunks()).alias("__prev"),
             F.first("__lo", ignorenulls=True).over(s.later_chunks()).alias("__next"),
+            F.lead("__first").over(s.chunk_window()).alias("__then"),
         )
         out = s.carry(out, reach).withColumns(
             {
                 "before": F.coalesce("before", "__prev"),
                 "after": F.coalesce("after", "__next"),
+                "upcoming": F.coalesce("upcoming", "__then"),
             }
         )
-    return s.done(out, "__known", "__prev", "__next")
+    return s.done(out, "__known", "__prev", "__next", "__then")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,17 +117,22 @@ def sensor_targets(
     With ``interpolate_gaps`` gaps of up to ``maxgap`` steps are filled.
     """
     sources = [sources] if isinstance(sources, DataFrame) else list(sources)
-    filled = []
+    out = []
     for raw in sources:
         df = _main_station(raw, {"DateTime": "datetime", "Reservoir": "site_id"}, sites)
         branches = [_flagged_sensors(df, names, bad_flags), _oxygen(df), _bottom_temperature(df)]
         rows = stack(*[b for b in branches if b is not None]).dropna()
         rows = rows.withColumn("observation", finite("observation")).select(*TARGET_COLUMNS)
-        filled.append(fill_gaps(rows, TARGET_KEYS, "datetime", step_seconds))
-    out = reduce(lambda a, b: a.unionByName(b), filled)
-    if interpolate_gaps:
-        out = interpolate(out, TARGET_KEYS, ["datetime"], "observation", maxgap=maxgap)
-    return out.select(*TARGET_COLUMNS)
+        # gaps between files are gaps of no file, but are bridged like any other gap when short enough
+        out.append(rows if len(sources) == 1 else fill_gaps(rows, TARGET_KEYS, "datetime", step_seconds))
+    filled = stack(*out)
+    if len(sources) == 1:
+        column = "observation" if interpolate_gaps else None
+        gap = maxgap if interpolate_gaps else None
+        filled = fill_gaps(filled, TARGET_KEYS, "datetime", step_seconds, column, gap)
+    elif interpolate_gaps:
+        filled = interpolate(filled, TARGET_KEYS, ["datetime"], "observation", maxgap=maxgap)
+    return filled.select(*TARGET_COLUMNS)
 
 
 def sample_targets(

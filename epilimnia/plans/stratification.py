@@ -13,7 +13,7 @@ from .. import settings as S
 from ..functions.nulls import strict_max
 from ..functions.scalars import buoyancy_squared, overlay_day, water_density
 from ..operators.aggregate import having_rows, profile_ends, slice_min
-from ..operators.fill import densify_daily, interpolate
+from ..operators.fill import densify_daily
 from ..operators.reshape import to_wide
 from ..operators.runs import longest_run, profile_gradient, runs
 from ..operators.select import stack
@@ -25,22 +25,20 @@ def daily_stratification(profiles: DataFrame, density_diff: float = S.DENSITY_DI
     1 where the bottom water is denser than the top by more than ``density_diff`` and colder, else 0.
     Days between a 0 and a 1 get a fraction.
     """
-    known = profiles.where(F.col("observation").isNotNull() & F.col("depth_m").isNotNull())
+    # depths without a reading are no profile end, but their day still belongs to the calendar
+    known = profiles.withColumn("depth_m", F.when(F.col("observation").isNotNull(), F.col("depth_m")))
     ends = profile_ends(known, ["site_id", "datetime"], "depth_m", ["observation"])
     top, bottom = F.col("observation_top"), F.col("observation_bottom")
     difference = water_density(bottom) - water_density(top)
-    flag = F.when((difference > density_diff) & (top > bottom), F.lit(1.0)).otherwise(F.lit(0.0))
-    flags = ends.select("site_id", "datetime", flag.alias("strat"))
-    # days that only have NULL readings still belong to the calendar
-    days = profiles.select("site_id", "datetime").distinct()
-    daily = days.join(flags, ["site_id", "datetime"], "left")
-    full = densify_daily(daily, ["site_id"], "datetime")
-    return interpolate(full, ["site_id"], ["datetime"], "strat", edges="nearest", limit=None)
+    stratified = (difference > density_diff) & (top > bottom)
+    flag = F.when(F.col("top").isNotNull(), F.when(stratified, F.lit(1.0)).otherwise(F.lit(0.0)))
+    daily = ends.select("site_id", "datetime", flag.alias("strat"))
+    return densify_daily(daily, ["site_id"], "datetime", interpolated="strat", edges="nearest", limit=None)
 
 
 def periods_from_flags(flags: DataFrame, min_rows: int = S.MIN_ROWS_PER_YEAR) -> DataFrame:
     """Longest stratified run per site and year with enough days."""
-    yearly = having_rows(flags.withColumn("year", F.year("datetime")), ["site_id", "year"], min_rows)
+    yearly = having_rows(flags.withColumn("year", F.year("datetime")), ["site_id", "year"], min_rows, bounded=True)
     table = runs(yearly, ["site_id", "year"], ["datetime"], "strat", limit=None)
     best = longest_run(table, ["site_id", "year"], "strat", 1.0)
     return best.select("year", "length", "start", "end", "site_id")
@@ -71,7 +69,7 @@ def turnover_dates(
     rows = mixed.withColumn("Year", F.year("datetime")).where(
         (F.col("observation") == 1) & (F.dayofyear("datetime") > after_day)
     )
-    first = slice_min(rows, ["site_id", "Year"], "datetime")
+    first = slice_min(rows, ["site_id", "Year"], "datetime", bounded=True)
     if before is not None:
         first = first.where(F.col("datetime") < F.lit(before).cast("date"))
     out = first.select("datetime", F.col("site_id").alias("Reservoir"), "Year").distinct()
