@@ -76,15 +76,17 @@ def fit_line(
 
     ``quantile``: the t quantile of the wanted confidence level, for a band ``low``..``high``.
     """
-    fits = linear_fit(df, y, x, keys, summary=True).drop("r_squared")
+    group = [*keys, "__all"]
+    df = df.withColumn("__all", F.lit(1))
+    fits = linear_fit(df, y, x, group, summary=True)
     ok = df.where(F.col(y).isNotNull() & F.col(x).isNotNull())
-    span = ok.groupBy(*keys).agg(
+    span = ok.groupBy(*group).agg(
         F.min(x).cast("double").alias("__lo"),
         F.max(x).cast("double").alias("__hi"),
         F.avg(x).alias("__mx"),
         F.regr_sxx(y, x).alias("__sxx"),
     )
-    grid = join_on(fits, span, keys, "inner") if keys else fits.join(span, F.lit(True), "inner")
+    grid = join_on(fits, span, group, "inner")
     i = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     grid = grid.withColumn("__i", i).withColumn(
         "x", F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__i") / (points - 1)
