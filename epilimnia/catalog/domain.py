@@ -184,7 +184,7 @@ def onset_vs_max(t: Tables) -> DataFrame:
     onset = C.treatment_onset(intervals(t))
     rows = C.oxygen_at_onset(oxygen, oxygen, onset, col="DOsat_percent", handheld_at="2018-04-23 00:00:00")
     maxima = C.season_maximum(C.metals_qc(metals(t)), active_windows(t))
-    out = C.natural_join(rows, maxima, "full")
+    out = C.natural_join(rows, maxima, "full", limit=None)
     return rounded(out, "AvgDOsat_percent_9", "MaxTFe_mgL", "MaxTMn_mgL")
 
 

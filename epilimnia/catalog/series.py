@@ -74,7 +74,7 @@ def rle_runs(t: Tables) -> DataFrame:
 @query(f"""{RUNS_SQL} SELECT y, length, "start", "end" FROM e WHERE state = 1 AND y IN (SELECT y FROM a GROUP BY y HAVING count(*) >= 300)
  QUALIFY row_number() OVER (PARTITION BY y ORDER BY length DESC, run_id) = 1""")
 def longest_run(t: Tables) -> DataFrame:
-    rows = A.having_rows(daily_state(t), ["y"], 300)
+    rows = A.having_rows(daily_state(t), ["y"], 300, bounded=True)
     return N.longest_run(N.runs(rows, ["y"], ["d"], "state", limit=None), ["y"], "state", 1)
 
 

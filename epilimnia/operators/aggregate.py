@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import strict_avg, strict_max, strict_sum
 from ..functions.scalars import half_even, ratio
-from .joins import join_on
-from .scan import SERIES_LIMIT, group_sizes, running_sums
+from .joins import group_sizes, join_on
+from .scan import SERIES_LIMIT, running_sums
 
 
 def daily_mean(

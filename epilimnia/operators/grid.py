@@ -37,8 +37,11 @@ def grid_interpolate(
     points = rows.groupBy(*keys, F.to_date(date).alias("x"), F.col(depth).cast("double").alias("d")).agg(
         F.avg(value).alias("v")
     )
-    frame = points.groupBy(*keys).agg(
-        F.min("d").alias("__d0"), F.max("d").alias("__d1"), F.min("x").alias("__x0"), F.max("x").alias("__x1")
+    frame = rows.groupBy(*keys).agg(
+        F.min(F.col(depth).cast("double")).alias("__d0"),
+        F.max(F.col(depth).cast("double")).alias("__d1"),
+        F.min(F.to_date(date)).alias("__x0"),
+        F.max(F.to_date(date)).alias("__x1"),
     )
     levels = F.floor((F.col("__d1") - F.col("__d0")) / dz + 1e-10).cast("int").alias("__levels")
     frame = frame.withColumn("__levels", levels)
@@ -61,7 +64,7 @@ def grid_interpolate(
     at_depth = (
         seg.withColumn("__k", F.explode(span))
         .withColumn("z", F.col("v") + (F.coalesce(F.col("v2"), F.col("v")) - F.col("v")) * share)
-        .select(*keys, "x", "__k", "z")
+        .select(*keys, "x", "__k", "__d0", "z")
     )
 
     # pass 2: every pair of neighbouring casts serves the days between them
@@ -74,13 +77,13 @@ def grid_interpolate(
         *keys,
         F.col("__day").alias("x"),
         "__k",
+        "__d0",
         (F.col("z") + (F.coalesce(F.col("z2"), F.col("z")) - F.col("z")) * part).alias("z"),
     )
     if keep_empty:
         level_no = F.explode(F.sequence(F.lit(0), F.col("__levels"))).alias("__k")
-        spine = frame.select(*keys, "__x0", "__x1", level_no).select(
-            *keys, "__k", F.explode(F.sequence("__x0", "__x1")).alias("x")
+        spine = frame.select(*keys, "__d0", "__x0", "__x1", level_no).select(
+            *keys, "__k", "__d0", F.explode(F.sequence("__x0", "__x1")).alias("x")
         )
-        cells = join_on(spine, cells, [*keys, "x", "__k"], "left")
-    out = join_on(cells, frame.select(*keys, "__d0"), keys, "inner")
-    return out.select(*keys, "x", (F.col("__d0") + F.col("__k") * dz).alias("y"), "z")
+        cells = join_on(spine, cells.drop("__d0"), [*keys, "x", "__k"], "left")
+    return cells.select(*keys, "x", (F.col("__d0") + F.col("__k") * dz).alias("y"), "z")

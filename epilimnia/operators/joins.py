@@ -15,6 +15,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _RIGHT = "__r_"
+KEY_LIMIT = 2_000_000
+
+
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """(rows of the largest group, rows in all): one map-side combined aggregate, two numbers back."""
+    row = (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.max("n").alias("largest"), F.sum("n").alias("total"))
+        .first()
+    )
+    return int(row["largest"] or 0), int(row["total"] or 0)
 
 
 def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -31,21 +43,47 @@ def shared_columns(a: DataFrame, b: DataFrame) -> list[str]:
     return [c for c in a.columns if c in b.columns]
 
 
-def natural_join(a: DataFrame, b: DataFrame, how: str = "inner", on: Sequence[str] | None = None) -> DataFrame:
+def natural_join(
+    a: DataFrame, b: DataFrame, how: str = "inner", on: Sequence[str] | None = None, limit: int | None = KEY_LIMIT
+) -> DataFrame:
     """Join on every shared column name, NULL matching NULL.
 
-    A full join is written as matches + rows of a without a match + rows of b without one: a full
-    outer join cannot be split when a key is hot, these three parts can.
+    A full outer join cannot be split when a key is hot. So when some key has more than ``limit`` rows on
+    a side, it is written as matches + rows of a without a match + rows of b without one, three joins AQE
+    can split. ``limit=None``: keys are known to be nearly unique.
     """
     on = list(on) if on is not None else shared_columns(a, b)
     if how != "full":
         return join_on(a, b, on, how)
+    if set(on) == set(a.columns) == set(b.columns):
+        return _merge_equal_rows(a, b, on)
+    if limit is None or max(group_sizes(a, on)[0], group_sizes(b, on)[0]) <= limit:
+        right = b.withColumnsRenamed({k: _RIGHT + k for k in on})
+        # keys are compared as one struct: a constant key column that differs must not turn the whole
+        # condition into FALSE, which Spark would run as a nested loop
+        condition = F.struct(*on) == F.struct(*[F.col(_RIGHT + k).alias(k) for k in on])
+        # a marker tells an unmatched row from one whose keys are all NULL
+        both = a.withColumn("__a", F.lit(1)).join(right, condition, "full")
+        keys = [F.when(F.col("__a") == 1, F.col(k)).otherwise(F.col(_RIGHT + k)).alias(k) for k in on]
+        rest = [c for c in (*a.columns, *b.columns) if c not in on]
+        return both.select(*keys, *rest)
     both = join_on(a, b, on, "inner")
     only_a = join_on(a, b.select(*on).distinct(), on, "left_anti")
     only_b = join_on(b, a.select(*on).distinct(), on, "left_anti")
     return both.unionByName(only_a, allowMissingColumns=True).unionByName(only_b, allowMissingColumns=True)
 
 
+def _merge_equal_rows(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Full join of tables with the same columns: count equal rows, then repeat them; nothing is joined."""
+    sides = a.select(*on, F.lit(1).alias("__a"), F.lit(0).alias("__b")).unionByName(
+        b.select(*on, F.lit(0).alias("__a"), F.lit(1).alias("__b"))
+    )
+    counts = sides.groupBy(*on).agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"))
+    product, total = F.col("__a") * F.col("__b"), F.col("__a") + F.col("__b")
+    times = F.when(product > 0, product).otherwise(total)
+    return counts.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*on)
+
+
 def lookup(df: DataFrame, dim: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join to a lookup table, one row per key (D3)."""
     return df.join(dim, list(keys), "left")

@@ -19,23 +19,12 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..session import freeze
-from .joins import join_on
+from .joins import KEY_LIMIT, group_sizes, join_on
 
-SERIES_LIMIT = 2_000_000
+SERIES_LIMIT = KEY_LIMIT
 _CHUNK = "__chunk"
 
 
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(rows of the largest group, rows in all): one map-side combined aggregate, two numbers back."""
-    row = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.max("n").alias("largest"), F.sum("n").alias("total"))
-        .first()
-    )
-    return int(row["largest"] or 0), int(row["total"] or 0)
-
-
 @dataclass
 class Series:
     """Rows of many ordered series, chunked when one of them is too long for a task."""

@@ -124,7 +124,8 @@ def oxygen_at_onset(
         F.year("DateTime").alias("Year"),
         F.col("DOsat_percent").alias("AvgDOsat_percent_9"),
     )
-    return natural_join(logger, hand, "full")
+    # both sides are a handful of rows per site and season
+    return natural_join(logger, hand, "full", limit=None)
 
 
 def season_maximum(metals: DataFrame, windows: DataFrame, depth: float = 9.0, site: str = S.TREATED) -> DataFrame:
@@ -140,7 +141,7 @@ def onset_vs_max(
     oxygen: DataFrame, handheld: DataFrame, metals: DataFrame, onset: DataFrame, windows: DataFrame
 ) -> DataFrame:
     """Oxygen at treatment onset next to the seasonal metal maxima."""
-    return natural_join(oxygen_at_onset(oxygen, handheld, onset), season_maximum(metals, windows), "full")
+    return natural_join(oxygen_at_onset(oxygen, handheld, onset), season_maximum(metals, windows), "full", limit=None)
 
 
 def ratio_by_state(metals: DataFrame, intervals: DataFrame, layer: str = "Hypolimnion") -> DataFrame:

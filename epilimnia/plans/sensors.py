@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import settings as S
-from ..functions.nulls import finite, strict_avg
+from ..functions.nulls import finite
 from ..functions.scalars import depth_bin, half_even, to_number
 from ..operators.aggregate import daily_mean_gated
 from ..operators.fill import fill_gaps, interpolate
-from ..operators.joins import join_on, natural_join
-from ..operators.reshape import to_long, to_long_pairs
+from ..operators.joins import join_on
+from ..operators.reshape import to_long
 from ..operators.select import cols, rename, rename_matching, stack
 
 TARGET_COLUMNS = ["datetime", "site_id", "depth_m", "observation", "variable"]
@@ -44,12 +44,6 @@ def _name_depth(column: str) -> float | None:
         return None
 
 
-def _cells(df: DataFrame, cells: list[Column]) -> DataFrame:
-    return df.select("datetime", "site_id", F.explode(F.array(*cells)).alias("c")).select(
-        "datetime", "site_id", "c.*"
-    )
-
-
 def _cell(variable: str, depth: Column, value: Column) -> Column:
     return F.struct(
         F.lit(variable).alias("variable"),
@@ -58,48 +52,42 @@ def _cell(variable: str, depth: Column, value: Column) -> Column:
     )
 
 
-def _flagged_sensors(df: DataFrame, names: dict[str, str], bad: Sequence[int]) -> DataFrame | None:
-    """Sensors with a flag twin: value and flag are unpivoted as a pair, so no self-join is needed."""
+def _good(flag: str, bad: Sequence[int]) -> Column:
+    return F.col(f"`{flag}`").isNotNull() & ~F.col(f"`{flag}`").isin(list(bad))
+
+
+def _flagged_sensors(df: DataFrame, names: dict[str, str], bad: Sequence[int]) -> list[Column]:
+    """Sensors with a flag twin: value and flag sit in the same row, so no self-join is needed."""
     out = []
     for c in cols(df, contains=list(names), exclude=["flag"]):
         flag, base = f"Flag_{c}", c.split(".")[0]
-        if flag not in df.columns or base not in names:
-            continue
-        good = F.col(f"`{flag}`").isNotNull() & ~F.col(f"`{flag}`").isin(list(bad))
-        depth = _probe_depth("site_id", F.lit(_name_depth(c)), "EXO" in c)
-        out.append(_cell(names[base], depth, F.when(good, F.col(f"`{c}`"))))
-    return _cells(df, out) if out else None
+        if flag in df.columns and base in names:
+            depth = _probe_depth("site_id", F.lit(_name_depth(c)), "EXO" in c)
+            out.append(_cell(names[base], depth, F.when(_good(flag, bad), F.col(f"`{c}`"))))
+    return out
 
 
-def _oxygen(df: DataFrame) -> DataFrame | None:
-    out = [
+def _oxygen(df: DataFrame) -> list[Column]:
+    return [
         _cell("DO_mgL", _probe_depth("site_id", F.lit(_name_depth(c)), "EXO" in c), F.col(f"`{c}`"))
         for c in S.OXYGEN_COLUMNS
         if c in df.columns
     ]
-    return _cells(df, out) if out else None
 
 
-def _bottom_temperature(df: DataFrame) -> DataFrame | None:
+def _bottom_temperature(df: DataFrame) -> list[Column]:
     """Deepest thermistor where its flag is 0; the deepest one is known from the column names."""
     depths = {}
     for c in cols(df, starts=["ThermistorTemp"]):
         tail = c.rsplit("_", 1)[-1]
         depths[c] = 0.0 if tail == "surface" else float(tail)
     if not depths:
-        return None
+        return []
     deepest = max(depths, key=depths.get)
     flag = f"Flag_{deepest}"
     if flag not in df.columns:
-        return None
-    rows = df.where(F.col(f"`{flag}`") == 0)
-    return rows.select(
-        "datetime",
-        "site_id",
-        F.lit("Temp_C").alias("variable"),
-        F.lit(depths[deepest]).alias("depth_m"),
-        F.col(f"`{deepest}`").cast("double").alias("observation"),
-    )
+        return []
+    return [_cell("Temp_C", F.lit(depths[deepest]), F.when(F.col(f"`{flag}`") == 0, F.col(f"`{deepest}`")))]
 
 
 def sensor_targets(
@@ -120,9 +108,9 @@ def sensor_targets(
     out = []
     for raw in sources:
         df = _main_station(raw, {"DateTime": "datetime", "Reservoir": "site_id"}, sites)
-        branches = [_flagged_sensors(df, names, bad_flags), _oxygen(df), _bottom_temperature(df)]
-        rows = stack(*[b for b in branches if b is not None]).dropna()
-        rows = rows.withColumn("observation", finite("observation")).select(*TARGET_COLUMNS)
+        cells = [*_flagged_sensors(df, names, bad_flags), *_oxygen(df), *_bottom_temperature(df)]
+        rows = df.select("datetime", "site_id", F.explode(F.array(*cells)).alias("c")).select("datetime", "site_id", "c.*")
+        rows = rows.dropna().withColumn("observation", finite("observation")).select(*TARGET_COLUMNS)
         # gaps between files are gaps of no file, but are bridged like any other gap when short enough
         out.append(rows if len(sources) == 1 else fill_gaps(rows, TARGET_KEYS, "datetime", step_seconds))
     filled = stack(*out)
@@ -143,8 +131,9 @@ def sample_targets(
 ) -> DataFrame:
     """Replicate means of unflagged lab values (K5).
 
-    Flags carry no replicate number, so a value is joined to the flag of every replicate of its sample
-    and survives once per flag that passes; ``match_rep`` joins a value to its own flag only.
+    Flags carry no replicate number, so every value of a sample meets the flag of every replicate. In
+    that product each value occurs equally often, so the mean is the plain mean of the values as soon as
+    one flag of the sample passes: one aggregate, no join. ``match_rep`` judges a value by its own flag.
     """
     sources = [sources] if isinstance(sources, DataFrame) else list(sources)
     out = []
@@ -152,28 +141,18 @@ def sample_targets(
         df = _main_station(raw, S.SAMPLE_NAMES, sites)
         ids = [c for c in ("datetime", "site_id", "depth_m") if c in df.columns]
         flags = cols(df, contains=["flag"])
-        values = [c for c in df.columns if c not in flags and c not in ids and c != "Rep"]
-        paired = {v: f"Flag_{v}" for v in values if f"Flag_{v}" in flags}
-        if match_rep:
-            long = to_long_pairs(df, ids, paired)
-        else:
-            value_ids = [*ids, "Rep"] if "Rep" in df.columns else ids
-            obs = to_long(
-                df.select(*value_ids, *[F.col(c).cast("double").alias(c) for c in values]), value_ids
-            )
-            flag = to_long(df.select(*ids, *flags), ids, value="flag_value", prefix="Flag_")
-            # flags are few codes: count them, so replicates do not multiply rows before the mean
-            flag = flag.where(F.col("flag_value").isNotNull()).groupBy(*ids, "variable", "flag_value").agg(
-                F.count(F.lit(1)).alias("__times")
-            )
-            long = natural_join(obs, flag, "inner")
-        long = long.dropna(subset=[c for c in long.columns if c != "__times"])
-        long = long.where(~F.col("flag_value").isin(list(bad_flags)))
-        if match_rep:
-            mean = strict_avg("observation")
-        else:
-            mean = F.sum(F.col("observation") * F.col("__times")) / F.sum("__times")
-        out.append(long.groupBy(*ids, "variable").agg(mean.alias("observation")))
+        values = [c for c in df.columns if f"Flag_{c}" in flags and c not in ids]
+        has_rep = F.col("Rep").isNotNull() if "Rep" in df.columns and not match_rep else F.lit(True)
+        aggs = []
+        for c in values:
+            passes = _good(f"Flag_{c}", bad_flags)
+            value = F.col(f"`{c}`").cast("double")
+            if match_rep:
+                aggs.append(F.avg(F.when(passes, value)).alias(c))
+            else:
+                aggs.append(F.when(F.count(F.when(passes, 1)) > 0, F.avg(F.when(has_rep, value))).alias(c))
+        wide = df.dropna(subset=ids).groupBy(*ids).agg(*aggs)
+        out.append(to_long(wide, ids).where(F.col("observation").isNotNull()))
     return stack(*out).withColumn("method", F.lit("sample"))
 
 

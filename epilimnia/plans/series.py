@@ -67,7 +67,8 @@ def oxygen_daily(
     sources: Sequence[OxygenSource], breaks: DataFrame | None = None, until: str = "2023-12-31"
 ) -> DataFrame:
     """Daily oxygen of all loggers, equal rows merged, plus line-break rows."""
-    out = reduce(lambda a, b: natural_join(a, b, "full"), [oxygen_logger(s) for s in sources])
+    # one row per station and day on either side
+    out = reduce(lambda a, b: natural_join(a, b, "full", limit=None), [oxygen_logger(s) for s in sources])
     out = out.where(F.col("Date") <= F.lit(until).cast("date"))
     return out if breaks is None else add_rows(out, breaks)
 
