@@ -41,12 +41,15 @@ class Series:
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.groups).orderBy(*self.order)
 
-    def whole(self) -> WindowSpec:
-        return self.window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
     def running(self) -> WindowSpec:
         return self.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
+    def behind(self) -> WindowSpec:
+        """Rows after the current one, walked backwards: a frame that ends at the last row would be
+        evaluated anew for every row."""
+        back = Window.partitionBy(*self.groups).orderBy(*[c.desc() for c in self.order])
+        return back.rowsBetween(Window.unboundedPreceding, -1)
+
     def chunk_window(self) -> WindowSpec:
         """Over the chunk summary: at most one row per chunk and key."""
         return Window.partitionBy(*self.keys).orderBy(_CHUNK)
@@ -55,7 +58,9 @@ class Series:
         return self.chunk_window().rowsBetween(Window.unboundedPreceding, -1)
 
     def later_chunks(self) -> WindowSpec:
-        return self.chunk_window().rowsBetween(1, Window.unboundedFollowing)
+        """Backwards, as in ``behind``."""
+        back = Window.partitionBy(*self.keys).orderBy(F.col(_CHUNK).desc())
+        return back.rowsBetween(Window.unboundedPreceding, -1)
 
     def carry(self, df: DataFrame, summary: DataFrame) -> DataFrame:
         return join_on(df, summary, self.groups, "left")
@@ -204,11 +209,10 @@ def with_neighbours(
             ).drop("__offset")
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(axis).alias("at"), F.col(value).alias("value")))
     out = out.withColumn("__known", known)
-    behind = s.window().rowsBetween(1, Window.unboundedFollowing)
     out = out.withColumns(
         {
             "before": F.last("__known", ignorenulls=True).over(s.running()),
-            "after": F.first("__known", ignorenulls=True).over(behind),
+            "after": F.last("__known", ignorenulls=True).over(s.behind()),
             "upcoming": F.lead(axis).over(s.window()),
         }
     )
@@ -221,7 +225,7 @@ def with_neighbours(
         reach = ends.select(
             *s.groups,
             F.last("__hi", ignorenulls=True).over(s.earlier_chunks()).alias("__prev"),
-            F.first("__lo", ignorenulls=True).over(s.later_chunks()).alias("__next"),
+            F.last("__lo", ignorenulls=True).over(s.later_chunks()).alias("__next"),
             F.lead("__first").over(s.chunk_window()).alias("__then"),
         )
         out = s.carry(out, reach).withColumns(
