@@ -13,13 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import settings as S
+from ..operators.runs import profile_gradient
 from ..operators.scan import positions
+from ..operators.stats import paired_t as paired
 from ..plans import chemistry as C
 from ..plans import fluxes as X
 from ..plans import sensors as N
 from ..plans import series as W
 from ..plans import stratification as Z
 from ..session import ensure_checkpoint_dir, literal_table
+from ..sources.tables import read_table, write_table
 from ..streaming.daily import daily_mean_stream as stream_op
 from ..streaming.daily import run_available
 from .base import Tables, query, r, rounded
@@ -262,6 +265,39 @@ def flux_long(t: Tables) -> DataFrame:
     return rounded(out, "Fluxes_gm2d")
 
 
+SITE_RATES_SQL = f"""SELECT Reservoir, "Year" AS y, round_even(max(CumulFe_gm2) / sum(Duration_days), 3) AS fe, round_even(max(CumulMn_gm2) / sum(Duration_days), 3) AS mn
+ FROM ({CUMULATIVE_SQL.format(AVERAGE_SQL, "")}) GROUP BY ALL"""
+
+
+@query(f"""WITH s AS ({SITE_RATES_SQL}), y AS (SELECT y, max(CASE WHEN Reservoir = 'FCR' THEN fe END) - max(CASE WHEN Reservoir = 'BVR' THEN fe END) AS d FROM s GROUP BY y),
+a AS (SELECT count(d) AS n, avg(d) AS m, stddev_samp(d) AS sd, count(d) - 1 AS df FROM y), h AS (SELECT *, m * sqrt(n) / sd AS t, atan(abs(m * sqrt(n) / sd) / sqrt(df)) AS th FROM a)
+SELECT 'FeFlux' AS measure, CAST(n AS BIGINT) AS pairs, CAST(df AS INT) AS df, round(m, 6) AS mean_difference, round(t, 5) AS t, round({P_SQL}, 6) AS p FROM h""")
+def flux_paired_t(t: Tables) -> DataFrame:
+    """Season rates of the two sites, paired by year."""
+    season = X.flux_season(X.cumulative_fluxes(average_fluxes(t)))
+    out = paired(season, "Year", "Reservoir", "FCR", "BVR", ["FeFlux"])
+    return out.select("measure", "pairs", "df", r("mean_difference").alias("mean_difference"), r("t", 5).alias("t"), r("p").alias("p"))
+
+
+@query(f"""WITH o AS (SELECT Reservoir, CAST(year(DateTime) AS INT) AS y, round(avg(sat), 6) AS v FROM ({METALS_SQL.replace("l_tax * 10 AS TMn_mgL", "l_tax * 10 AS TMn_mgL, l_quantity * 2 AS sat")}) WHERE Reservoir = 'FCR' GROUP BY ALL),
+ s AS (SELECT * FROM ({SITE_RATES_SQL}) WHERE Reservoir = 'FCR' AND y >= 2018)
+SELECT coalesce(s.Reservoir, o.Reservoir) AS Reservoir, CAST(coalesce(s.y, o.y) AS INT) AS "Year", fe AS "FeFlux", mn AS "MnFlux", v AS "AvgDOsat_percent_9"
+FROM s FULL JOIN o ON o.Reservoir = s.Reservoir AND o.y = s.y""")
+def rates_with_oxygen(t: Tables) -> DataFrame:
+    season = X.flux_season(X.cumulative_fluxes(average_fluxes(t)))
+    rows = metals(t).where(F.col("Reservoir") == "FCR").groupBy("Reservoir", F.year("DateTime").alias("Year"))
+    oxygen = rows.agg(r(F.avg(F.col("SFe_mgL") * 10)).alias("AvgDOsat_percent_9"))
+    return X.rates_with_oxygen(season, oxygen)
+
+
+@query(f"""SELECT Reservoir, "Date", "Year", Depth_m, "TO", 'Total' AS "Type", round(greatest(TMn_mgL, SMn_mgL), 6) AS "Mn_mgL" FROM ({{0}}) UNION ALL
+ SELECT Reservoir, "Date", "Year", Depth_m, "TO", 'Soluble', round(least(TMn_mgL, SMn_mgL), 6) FROM ({{0}})""".format(f"""SELECT m.*, CASE WHEN m."Date" >= e."Date" THEN 'Post' WHEN m."Date" < e."Date" THEN 'Pre' END AS "TO"
+ FROM ({QC_KEPT_SQL}) m LEFT JOIN ({EVENTS_SQL}) e ON e.Reservoir = m.Reservoir AND e."Year" = m."Year" WHERE m."Year" = 2023 AND MnDiff <> 0 AND Layer = 'Hypolimnion'"""))
+def year_metals_long(t: Tables) -> DataFrame:
+    rows = C.long_metal(C.year_metals(C.metals_qc(metals(t)), 2023, turnover_events(t)), "Mn")
+    return rounded(rows.select("Reservoir", "Date", "Year", "Depth_m", "TO", "Type", "Mn_mgL"), "Mn_mgL")
+
+
 # --- stratification ------------------------------------------------------------------------------
 
 PROFILES_SQL = f"""SELECT {site_sql('l_suppkey')} AS site_id, CAST(l_shipdate AS DATE) + {SHIFT} AS datetime, CAST(l_linenumber AS DOUBLE) AS depth_m,
@@ -324,6 +360,13 @@ BUOYANCY_SQL = f"""WITH pr AS ({PROFILES_SQL}), l AS (SELECT *, lead(depth_m) OV
  bf AS (SELECT site_id, datetime, CASE WHEN count(n2) = count(*) THEN round(max(n2), 10) END AS bf FROM n GROUP BY ALL)"""
 
 
+@query(f"""WITH pr AS ({PROFILES_SQL}) SELECT site_id, datetime, depth_m, lead(depth_m) OVER w AS next_depth_m, round(lead(observation) OVER w, 6) AS next_observation FROM pr
+ WINDOW w AS (PARTITION BY site_id, datetime ORDER BY depth_m)""")
+def layer_steps(t: Tables) -> DataFrame:
+    rows = profile_gradient(profiles(t), ["site_id", "datetime"], "depth_m", ["observation"])
+    return rounded(rows.drop("observation"), "next_observation")
+
+
 @query(f"{BUOYANCY_SQL} SELECT * FROM bf")
 def buoyancy_daily(t: Tables) -> DataFrame:
     return rounded(Z.buoyancy_daily(profiles(t)), "bf", digits=10)
@@ -444,14 +487,38 @@ SAMPLE_SQL = f"""SELECT {site_sql('l_suppkey')} AS site_id, CAST(l_shipdate AS D
 SELECT site_id, datetime, depth_m, variable, round(avg(v), 6) AS observation, 'sample' AS method FROM o JOIN f USING (site_id, datetime, depth_m, variable)
 WHERE v IS NOT NULL AND rep IS NOT NULL AND f NOT IN (9, 5, 2) GROUP BY ALL""")
 def sample_targets(t: Tables) -> DataFrame:
-    rows = t("lineitem").select(
+    return rounded(N.sample_targets(sample_rows(t)), "observation")
+
+
+def sample_rows(t: Tables) -> DataFrame:
+    return t("lineitem").select(
         site("l_suppkey").alias("Reservoir"), F.lit(50).alias("Site"), F.to_date("l_shipdate").alias("DateTime"),
         F.col("l_linenumber").cast("double").alias("Depth_m"), F.when(F.col("l_orderkey") % 53 != 0, F.col("l_partkey") % 2).alias("Rep"),
         (F.col("l_extendedprice") / 1000).alias("TFe_mgL"), F.when(F.col("l_tax") > 0, F.col("l_tax")).alias("TMn_mgL"),
         (F.col("l_quantity") % 6).cast("int").alias("Flag_TFe_mgL"),
         F.when(F.col("l_discount") > 0, (F.col("l_orderkey") % 10).cast("int")).alias("Flag_TMn_mgL"),
     )
-    return rounded(N.sample_targets(rows), "observation")
+
+
+@query(f"""SELECT site_id, datetime, depth_m, variable, round(avg(v), 6) AS observation, 'sample' AS method FROM (
+ SELECT site_id, datetime, depth_m, 'TFe_mgL' AS variable, a AS v, fa AS f FROM ({SAMPLE_SQL}) UNION ALL SELECT site_id, datetime, depth_m, 'TMn_mgL', b, fb FROM ({SAMPLE_SQL}))
+WHERE v IS NOT NULL AND f NOT IN (9, 5, 2) GROUP BY ALL""")
+def sample_targets_own_flag(t: Tables) -> DataFrame:
+    return rounded(N.sample_targets(sample_rows(t), match_rep=True), "observation")
+
+
+@query("""SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END AS o_totalprice, CAST(o_orderdate AS TIMESTAMP) AS "DateTime",
+ CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS variable FROM orders""")
+def csv_round_trip(t: Tables) -> DataFrame:
+    """Written as delimited text and read back with types taken from the names and a given schema."""
+    rows = t("orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice")).alias("o_totalprice"),
+        F.col("o_orderdate").cast("timestamp").alias("DateTime"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).alias("variable"),
+    )
+    path = f"{ensure_checkpoint_dir(t.spark)}/orders-{uuid.uuid4().hex}.csv"
+    write_table(rows, path)
+    back = read_table(t.spark, path, rows.schema)
+    return back.withColumn("DateTime", F.col("DateTime").cast("timestamp_ntz"))
 
 
 # --- casts, oxygen, weather ----------------------------------------------------------------------
