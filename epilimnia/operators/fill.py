@@ -33,11 +33,27 @@ def _at(lo: Column, i: Column, is_date: bool, step_seconds: int) -> Column:
     return lo + F.make_dt_interval(secs=(i * step_seconds).cast("decimal(18,6)"))
 
 
-def _unroll(df: DataFrame, count: Column) -> DataFrame:
-    """``__i`` = 0 .. count - 1 for each row, in blocks, so a long gap never becomes one large array."""
+def _extent(
+    df: DataFrame, keys: Sequence[str], ts: str, is_date: bool, step_seconds: int
+) -> tuple[tuple[int, int], int]:
+    """((rows of the longest series, rows in all), steps of the longest series), from one aggregate."""
+    spans = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), _steps(F.min(ts), F.max(ts), is_date, step_seconds).alias("steps")
+    )
+    row = spans.agg(F.max("n").alias("n"), F.sum("n").alias("total"), F.max("steps").alias("steps")).first()
+    return (int(row["n"] or 0), int(row["total"] or 0)), int(row["steps"] or 0)
+
+
+def _unroll(df: DataFrame, count: Column, spread: Sequence[str] = ()) -> DataFrame:
+    """``__i`` = 0 .. count - 1 for each row, in blocks, so a long gap never becomes one large array.
+
+    ``spread``: columns to redistribute the blocks by before they are unrolled.
+    """
     blocks = df.withColumn("__count", F.greatest(count, F.lit(1).cast("long"))).withColumn(
         "__b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__count") - 1) / BLOCK)))
     )
+    if spread:
+        blocks = blocks.repartition(*spread, "__b")
     first = F.col("__b") * BLOCK
     index = F.explode(F.sequence(first, F.least(first + (BLOCK - 1), F.col("__count") - 1)))
     return blocks.withColumn("__i", index).drop("__b", "__count")
@@ -58,14 +74,17 @@ def fill_gaps(
     Observed rows all stay; other columns of added rows are NULL. Times are expected on the step grid of
     their series. With ``interpolated`` that column is filled in the same pass (F7, F8): linear in time,
     gaps of more than ``maxgap`` steps stay NULL, ends as in ``interpolate``. Each row yields the steps up
-    to the next row, so one window over the observed rows does it all: one shuffle.
+    to the next row, so one window over the observed rows does it all: one shuffle. When a filled series
+    is beyond ``limit`` rows, its missing steps are spread over the cluster in blocks first.
     """
     is_date = _is_date(df, ts, step_seconds)
     columns = df.columns
     value = interpolated or ts
-    rows = with_neighbours(df, keys, [ts], value, at=ts, limit=limit)
+    sizes, steps = (None, 0) if limit is None else _extent(df, keys, ts, is_date, step_seconds)
+    rows = with_neighbours(df, keys, [ts], value, at=ts, limit=limit, sizes=sizes)
     here, upcoming = F.col(ts), F.col("upcoming")
-    rows = _unroll(rows, F.coalesce(_steps(here, upcoming, is_date, step_seconds), F.lit(1).cast("long")))
+    count = F.coalesce(_steps(here, upcoming, is_date, step_seconds), F.lit(1).cast("long"))
+    rows = _unroll(rows, count, [*keys, ts] if limit is not None and steps > limit else ())
     rows = rows.withColumn("__t", _at(here, F.col("__i"), is_date, step_seconds))
     observed = F.col("__i") == 0
     new = {c: F.when(observed, F.col(c)) for c in columns if c not in keys and c != ts}

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import join_on
+from .joins import group_sizes, join_on
+from .scan import SERIES_LIMIT, with_neighbours
 
 
 def grid_interpolate(
@@ -18,6 +19,7 @@ def grid_interpolate(
     value: str,
     dz: float = 0.5,
     keep_empty: bool = True,
+    limit: int | None = SERIES_LIMIT,
 ) -> DataFrame:
     """Interpolate casts onto every day and every ``dz`` of depth, per key (K8).
 
@@ -28,8 +30,8 @@ def grid_interpolate(
     casts and another outline; both reproduce a plane, and this one any bilinear surface.
 
     The unit of work is a cast in the first pass and a (key, depth) series of calendar days in the
-    second, so no task holds a whole key. ``keys`` should hold the year, as casts of different years
-    are not to be joined up.
+    second, so no task holds a whole key; a cast of more than ``limit`` readings is scanned in chunks.
+    ``keys`` should hold the year, as casts of different years are not to be joined up.
 
     Result: keys, day (x), depth (y), value (z).
     """
@@ -47,10 +49,12 @@ def grid_interpolate(
     frame = frame.withColumn("__levels", levels)
 
     # pass 1: every pair of neighbouring depths of a cast serves the grid levels between them
-    cast = Window.partitionBy(*keys, "x").orderBy("d")
-    seg = join_on(points, frame.select(*keys, "__d0", "__levels"), keys, "inner").withColumns(
-        {"d2": F.lead("d").over(cast), "v2": F.lead("v").over(cast)}
-    )
+    # readings per cast bound the depths per cast, and are cheaper to count
+    sizes = None if limit is None else group_sizes(rows.withColumn("x", F.to_date(date)), [*keys, "x"])
+    seg = with_neighbours(
+        points.withColumn("__p", F.struct("d", "v")), [*keys, "x"], ["d"], "v", at="__p", limit=limit, sizes=sizes
+    ).select(*keys, "x", "d", "v", F.col("upcoming.d").alias("d2"), F.col("upcoming.v").alias("v2"))
+    seg = join_on(seg, frame.select(*keys, "__d0", "__levels"), keys, "inner")
     lo = F.ceil((F.col("d") - F.col("__d0")) / dz - 1e-10).cast("int")
     # a level on d2 itself belongs to the next segment, or is the last point on its own
     hi = F.when(F.col("d2").isNull(), F.floor((F.col("d") - F.col("__d0")) / dz + 1e-10)).otherwise(

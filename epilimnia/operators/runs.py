@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scan import SERIES_LIMIT, with_run_id
+from .scan import SERIES_LIMIT, with_neighbours, with_run_id
 
 
 def runs(
@@ -54,10 +54,13 @@ def observed_run_count(df, keys, order, value, limit=SERIES_LIMIT) -> DataFrame:
     return null_run_stats(df, keys, order, value, limit).drop("longest_null_run")
 
 
-def profile_gradient(df: DataFrame, profile: Sequence[str], depth: str, names: Sequence[str]) -> DataFrame:
+def profile_gradient(
+    df: DataFrame, profile: Sequence[str], depth: str, names: Sequence[str], limit: int | None = SERIES_LIMIT
+) -> DataFrame:
     """Each depth with the next deeper one of the same profile: ``next_<depth>``, ``next_<value>``.
 
-    Needs one row per profile and depth, so a window holds one profile.
+    Needs one row per profile and depth.
     """
-    w = Window.partitionBy(*profile).orderBy(depth)
-    return df.withColumns({f"next_{c}": F.lead(c).over(w) for c in [depth, *names]})
+    points = df.withColumn("__point", F.struct(depth, *names))
+    rows = with_neighbours(points, profile, [depth], depth, at="__point", limit=limit)
+    return rows.select(*df.columns, *[F.col(f"upcoming.{c}").alias(f"next_{c}") for c in [depth, *names]])

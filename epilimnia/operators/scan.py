@@ -70,14 +70,21 @@ class Series:
 
 
 def series(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], limit: int | None = SERIES_LIMIT
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column | str],
+    limit: int | None = SERIES_LIMIT,
+    sizes: tuple[int, int] | None = None,
 ) -> Series:
-    """``order`` must be total inside a series, else results are not repeatable."""
+    """``order`` must be total inside a series, else results are not repeatable.
+
+    ``sizes``: (rows of the longest series, rows in all) when the caller has counted already.
+    """
     keys = list(keys)
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
     if limit is None:
         return Series(df, keys, cols, False)
-    largest, total = group_sizes(df, keys)
+    largest, total = sizes or group_sizes(df, keys)
     if largest <= limit:
         return Series(df, keys, cols, False)
     ranges = math.ceil(total / limit) + 1
@@ -190,6 +197,7 @@ def with_neighbours(
     value: str,
     at: str | None = None,
     limit: int | None = SERIES_LIMIT,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Known values around each row, as structs (at, value).
 
@@ -197,7 +205,7 @@ def with_neighbours(
     and ``upcoming`` (``at`` of the next row). ``at`` is a column, or the row number when not given; that
     one is added as ``position``.
     """
-    s = series(df, keys, order, limit)
+    s = series(df, keys, order, limit, sizes)
     out, axis = s.df, at or "position"
     if at is None:
         out = out.withColumn("position", F.row_number().over(s.window()).cast("long"))

@@ -78,13 +78,17 @@ def turnover_dates(
     return out.withColumn("MDay", overlay_day("datetime", ref_year))
 
 
-def buoyancy_daily(profiles: DataFrame) -> DataFrame:
-    """Largest squared buoyancy frequency per site and day (K17); NULL if any layer is unknown."""
+def buoyancy_daily(profiles: DataFrame, limit: int | None = None) -> DataFrame:
+    """Largest squared buoyancy frequency per site and day (K17); NULL if any layer is unknown.
+
+    Daily profiles have one row per sensor or depth bin; give a ``limit`` for profiles of raw depths.
+    """
     layers = profile_gradient(
         profiles.select("site_id", "datetime", "depth_m", "observation"),
         ["site_id", "datetime"],
         "depth_m",
         ["observation"],
+        limit,
     ).where(F.col("next_depth_m").isNotNull())
     n2 = buoyancy_squared(
         water_density("observation"), water_density("next_observation"), F.col("depth_m"), F.col("next_depth_m")

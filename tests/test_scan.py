@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from epilimnia.operators import aggregate, fill, runs, scan
+from epilimnia.operators import aggregate, fill, grid, runs, scan
 
 LIMIT = 17
 
@@ -121,3 +121,28 @@ def test_long_gap_is_unrolled_in_blocks(spark):
     out = fill.fill_gaps(df, ["k"], "ts", 60, interpolated="v")
     assert out.count() == 20001
     assert out.where(F.abs(F.col("v") - F.unix_timestamp("ts") / 60) > 1e-6).count() == 0
+
+
+def test_profile_steps_of_a_long_profile(rows):
+    df = rows.withColumn("t", F.col("t").cast("double"))
+    a = runs.profile_gradient(df, ["k"], "t", ["v"], limit=LIMIT)
+    assert result(a) == result(runs.profile_gradient(df, ["k"], "t", ["v"], limit=None))
+    seq = by_key(rows)["hot"]
+    got = {r["t"]: (r["next_t"], r["next_v"]) for r in a.where("k = 'hot'").collect()}
+    assert got == {float(t): (float(n[0]), n[1]) if n else (None, None) for (t, _), n in zip(seq, [*seq[1:], None])}
+
+
+def test_grid_of_a_long_cast(spark):
+    df = spark.range(300).select(
+        F.lit("a").alias("k"), F.expr("date_add(date'2020-01-01', cast(id % 3 as int))").alias("d"),
+        (F.floor(F.col("id") / 3) * 0.11).alias("z"), F.sqrt(F.col("id") + 1).alias("v"),
+    )
+    a = grid.grid_interpolate(df, ["k"], "d", "z", "v", limit=LIMIT)
+    assert result(a) == result(grid.grid_interpolate(df, ["k"], "d", "z", "v", limit=None))
+
+
+def test_long_filled_series_is_spread(spark):
+    df = spark.sql("SELECT 'a' k, timestamp_seconds(60 * id * id) ts, double(id * id) v FROM range(200)")
+    a = fill.fill_gaps(df, ["k"], "ts", 60, interpolated="v", limit=1000)
+    assert a.count() == 199 * 199 + 1
+    assert a.where(F.abs(F.col("v") - F.unix_timestamp("ts") / 60) > 1e-6).count() == 0
