@@ -110,7 +110,8 @@ def fill_gaps_hourly(t: Tables) -> DataFrame:
 SELECT user_id, CAST(coalesce(max(CASE WHEN m THEN n END), 0) AS BIGINT) AS longest_null_run,
  CAST(count(CASE WHEN NOT m THEN 1 END) AS BIGINT) AS observed_runs FROM e GROUP BY ALL""")
 def null_run_stats(t: Tables) -> DataFrame:
-    return N.null_run_stats(hourly_filled(t), ["user_id"], ["h"], "v")
+    # one row per user and hour: bounded by the calendar
+    return N.null_run_stats(hourly_filled(t), ["user_id"], ["h"], "v", limit=None)
 
 
 @query(f"""{BRACKET_SQL} SELECT user_id, h,
