@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,10 +51,20 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, usable: Column) -> DataFrame:
-    """``doc_id, text, label`` of the rows whose id passes ``usable`` and whose label is 0 or 1."""
-    chosen = labels.where(usable & F.col(column).isin(0, 1)).select("doc_id", F.col(column).alias("label"))
-    return docs.select("doc_id", "text").join(chosen.dropDuplicates(["doc_id"]), "doc_id")
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, column: str, usable: Column, bounds: dict[int, int], max_chars: int
+) -> pd.DataFrame:
+    """``label, text, mix`` of at most ``bounds[label]`` labelled documents of at most ``max_chars`` characters, for the driver.
+
+    The ids are chosen first, by a hash (``mix``), among the label rows that pass ``usable``; so the side that is broadcast never
+    exceeds the sum of the bounds, and texts don't move. An id with several labels counts with the highest.
+    """
+    known = labels.where(usable & F.col("doc_id").isNotNull() & F.col(column).isin(*bounds)).groupBy("doc_id").agg(F.max(column).alias("label"))
+    mixed = known.select("doc_id", "label", F.xxhash64(F.lit(column), "doc_id").alias("mix"))
+    chosen = reduce(DataFrame.unionAll, [mixed.where(F.col("label") == v).orderBy("mix").limit(n) for v, n in bounds.items()])
+    texts = docs.select("doc_id", "text").where(F.length("text") <= max_chars)
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("label", "text", "mix")
+    return rows.orderBy("label", "mix", "text").limit(sum(bounds.values())).toPandas()
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:

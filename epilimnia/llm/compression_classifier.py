@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epilimnia.llm.common import fit_logistic, fold, keep_rows, labelled, per_text, read_table, sigmoid
+from epilimnia.llm.common import fit_logistic, fold, keep_rows, labelled_sample, per_text, read_table, sigmoid
 
 BLOCK = 256
 DICTIONARY_BYTES = 112_640
@@ -89,19 +89,8 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"".join(blocks)[:DICTIONARY_BYTES].ljust(8, b" ")
 
 
-def training_sample(examples: DataFrame) -> pd.DataFrame:
-    """At most ``SAMPLE_DOCS`` documents of each label, first by a hash of the id, of at most ``SAMPLE_CHARS`` characters.
-
-    Only this bounded table reaches the driver.
-    """
-    mixed = examples.where(F.length("text") <= SAMPLE_CHARS).select("label", "text", F.xxhash64(F.lit("quality"), "doc_id").alias("mix"))
-    parts = [mixed.where(F.col("label") == value).orderBy("mix", "text").limit(SAMPLE_DOCS) for value in (0, 1)]
-    return parts[0].unionAll(parts[1]).toPandas()
-
-
-def fit(examples: DataFrame) -> CompressionModel:
-    """``examples``: doc_id, text, label. Two of three sampled documents build the dictionaries, the rest fit the curve."""
-    sample = training_sample(examples)
+def fit(sample: pd.DataFrame) -> CompressionModel:
+    """``sample``: label, text, mix. Two of three documents build the dictionaries, the rest fit the curve."""
     calibration = sample["mix"] % 3 == 0
     build, rest = sample[~calibration], sample[calibration]
     good, bad = (build.loc[build["label"] == v, "text"].tolist() for v in (1, 0))
@@ -135,7 +124,8 @@ def score(docs: DataFrame, model: CompressionModel) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame) -> CompressionModel:
     """The contract's split: rows with crc32(doc_id) mod 5 = 0 are held out."""
-    return fit(labelled(docs, labels, "quality", fold(F.col("doc_id"), 5) != 0))
+    usable = fold(F.col("doc_id"), 5) != 0
+    return fit(labelled_sample(docs, labels, "quality", usable, {1: SAMPLE_DOCS, 0: SAMPLE_DOCS}, SAMPLE_CHARS))
 
 
 def op2_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

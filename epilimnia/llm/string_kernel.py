@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epilimnia.llm.common import fit_logistic, fold, keep_rows, labelled, per_text, read_table, sigmoid
+from epilimnia.llm.common import fit_logistic, fold, keep_rows, labelled_sample, per_text, read_table, sigmoid
 
 DECAY = 0.6
 #: Extra characters that a subsequence of so many characters may span.
@@ -238,17 +238,6 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: flo
     return w
 
 
-def training_sample(examples: DataFrame) -> pd.DataFrame:
-    """A bounded number of labelled documents of bounded length, first by a hash of the id."""
-    mixed = examples.where(F.length("text") <= SAMPLE_CHARS).select("label", "text", F.xxhash64(F.lit("toxic"), "doc_id").alias("mix"))
-    parts = [mixed.where(F.col("label") == v).orderBy("mix", "text").limit(n) for v, n in SAMPLE_DOCS.items()]
-    return parts[0].unionAll(parts[1]).toPandas()
-
-
-def fit(examples: DataFrame) -> KernelModel:
-    return fit_sample(training_sample(examples))
-
-
 def without_copies(sample: pd.DataFrame) -> pd.DataFrame:
     """The sample's documents without later near copies of earlier ones, whose plain words would look like evidence.
 
@@ -265,7 +254,7 @@ def without_copies(sample: pd.DataFrame) -> pd.DataFrame:
     return sample[keep].reset_index(drop=True)
 
 
-def fit_sample(sample: pd.DataFrame) -> KernelModel:
+def fit(sample: pd.DataFrame) -> KernelModel:
     """Three of four sampled documents teach the machine, the rest the curve."""
     sample = without_copies(sample.sort_values(["label", "mix", "text"], ignore_index=True))
     bags = [sorted({p for w in strings_of(t) if (p := plain(w))}) for t in sample["text"]]
@@ -330,7 +319,8 @@ def fit_sample(sample: pd.DataFrame) -> KernelModel:
 
 def train(docs: DataFrame, labels: DataFrame) -> KernelModel:
     """The contract's split: rows with crc32(doc_id) mod 3 = 1 are held out."""
-    return fit(labelled(docs, labels, "toxic", fold(F.col("doc_id"), 3) != 1))
+    usable = fold(F.col("doc_id"), 3) != 1
+    return fit(labelled_sample(docs, labels, "toxic", usable, SAMPLE_DOCS, SAMPLE_CHARS))
 
 
 def score(docs: DataFrame, model: KernelModel) -> DataFrame:
