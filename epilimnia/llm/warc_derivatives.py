@@ -190,3 +190,45 @@ def _records(path: str, content: bytes) -> Iterator[tuple]:
 
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(responses(read_table(spark, sf_dir, "pages")), carry=("page_id",))
+
+
+def _sql() -> str:
+    """The same records on DuckDB. Its expressions have no look at CRLF pairs, so the message is put together as above."""
+    text = "payload"
+    text = f"regexp_replace({text}, '<!--.*?-->', '', 'gs')"
+    for tag in DROPPED_TAGS:
+        text = f"regexp_replace({text}, '<{tag}(\\s[^>]*)?>.*?</{tag}\\s*>', '', 'gis')"
+    text = f"regexp_replace({text}, '[\\x20\\x09-\\x0D]+', ' ', 'g')"
+    text = f"regexp_replace({text}, '</?({BLOCK_TAGS})(\\s[^>]*)?/?>', chr(10), 'gi')"
+    text = f"regexp_replace({text}, '</?[a-zA-Z!][^>]*>', '', 'g')"
+    for name, sign in ENTITIES:
+        text = f"replace({text}, '{name.replace("'", "''")}', '{sign.replace("'", "''")}')"
+    text = f"regexp_replace({text}, ' +', ' ', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
+    uuid = lambda h: f"'<urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-' || {h}[13:16] || '-' || {h}[17:20] || '-' || {h}[21:32] || '>'"
+    return f"""
+WITH crlf AS (SELECT chr(13) || chr(10) AS n),
+source AS (
+  SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload,
+         md5(concat_ws(chr(10), 'response', coalesce(CAST(page_id AS VARCHAR), ''), coalesce(url, ''), md5(coalesce(html, '')))) AS h
+  FROM pages),
+message AS (
+  SELECT *, {uuid("h")} AS source_id, 'sha256:' || sha256(payload) AS source_payload_digest,
+         'sha256:' || sha256('HTTP/1.1 200 OK' || n || 'Content-Type: text/html; charset=utf-8' || n || 'Content-Length: '
+           || strlen(payload) || n || n || payload) AS source_block
+  FROM source, crlf),
+made AS (
+  SELECT *, 'metadata' AS type, 'application/warc-fields' AS content_type,
+         'source-content-type: text/html; charset=utf-8' || n || 'source-payload-length: ' || strlen(payload) || n
+           || 'source-payload-digest: ' || source_payload_digest || n || 'source-block-digest: ' || source_block || n AS block
+  FROM message
+  UNION ALL BY NAME
+  SELECT *, 'conversion' AS type, 'text/plain; charset=utf-8' AS content_type, {text} AS block FROM message),
+named AS (SELECT *, md5(concat_ws(chr(10), type, source_id)) AS g FROM made)
+SELECT page_id, {uuid("g")} AS record_id, type, target_uri, '{NO_DATE}' AS date, source_id AS refers_to, content_type,
+       strlen(block) AS length, 'sha256:' || sha256(block) AS block_digest, source_payload_digest, block
+FROM named
+"""
+
+
+ORACLE = {"op5_warc_derivatives": _sql()}
