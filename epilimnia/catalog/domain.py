@@ -1,7 +1,8 @@
 """Domain plans on stand-in inputs derived from the given tables.
 
 orders and lineitem are moved by whole days so that their seven years start in 2018; two sites are told
-apart by key parity. Every stand-in keeps all rows of its table.
+apart by key parity. Stand-ins keep all rows of their table; where every day would be taken, days are moved
+by an expression instead. Windows and sites of the study are the plans' own filters.
 """
 
 from __future__ import annotations
@@ -118,15 +119,25 @@ def treatment_onset(t: Tables) -> DataFrame:
 @query(f"""SELECT CAST(row_number() OVER (ORDER BY Reservoir, HOxOn, HOxOff, o_orderkey) AS BIGINT) AS g, o_orderkey FROM (
  SELECT {site_sql('o_custkey')} AS Reservoir, CAST(o_orderdate AS DATE) AS HOxOn, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 30 AS INT) AS HOxOff, o_orderkey FROM orders)""")
 def row_ids(t: Tables) -> DataFrame:
-    return positions(intervals(t), [], ["Reservoir", "HOxOn", "HOxOff", "o_orderkey"], "g").select("g", "o_orderkey")
+    return positions(intervals(t), [], ["Reservoir", "HOxOn", "HOxOff", "o_orderkey"], "g", chunk=F.struct("Reservoir", F.trunc("HOxOn", "month"))).select("g", "o_orderkey")
 
 
-@query(f"""WITH iv AS (SELECT * FROM ({INTERVALS_SQL}) WHERE price > 480000)
+STATE_INTERVALS_SQL = f"""SELECT Reservoir, CAST(date_trunc('quarter', HOxOn) AS DATE) + k AS HOxOn, CAST(date_trunc('quarter', HOxOn) AS DATE) + k + n AS HOxOff FROM (
+ SELECT Reservoir, HOxOn, CAST(HOxOff - HOxOn AS INT) AS n, CAST(CAST(round_even(price, 0) AS BIGINT) % 10 AS INT) AS k FROM ({INTERVALS_SQL}))"""
+
+
+def state_intervals(t: Tables) -> DataFrame:
+    """All intervals, moved to the beginning of their quarter so that some days stay without treatment."""
+    start = F.date_add(F.trunc("HOxOn", "quarter"), (F.bround("price").cast("long") % 10).cast("int"))
+    return intervals(t).select("Reservoir", start.alias("HOxOn"), F.date_add(start, F.date_diff("HOxOff", "HOxOn")).alias("HOxOff"))
+
+
+@query(f"""WITH iv AS ({STATE_INTERVALS_SQL})
 SELECT Reservoir, Layer, HOx, round_even(avg(SFe_mgL / nullif(TFe_mgL, 0)), 3) AS AvgSTFe, round_even(avg(SMn_mgL / nullif(TMn_mgL, 0)), 3) AS AvgSTMn FROM (
  SELECT *, CASE WHEN EXISTS (SELECT 1 FROM iv WHERE iv.Reservoir = m.Reservoir AND m."Date" BETWEEN HOxOn AND HOxOff) THEN 'On' ELSE 'Off' END AS HOx
  FROM ({QC_KEPT_SQL}) m WHERE Layer = 'Hypolimnion') GROUP BY ALL""")
 def ratio_by_state(t: Tables) -> DataFrame:
-    return C.ratio_by_state(C.metals_qc(metals(t)), intervals(t).where(F.col("price") > 480000))
+    return C.ratio_by_state(C.metals_rows(metals(t)), state_intervals(t))
 
 
 EVENTS_SQL = f"""SELECT Reservoir, "Year", min("Date") AS "Date" FROM (
@@ -148,7 +159,7 @@ RELEASE_SQL = f"""SELECT m."Year", greatest(TMn_mgL, SMn_mgL) AS y, CAST(m."Date
 g AS (SELECT *, n - 2 AS df, b / (s / sqrt(sxx)) AS t FROM f), h AS (SELECT *, atan(abs(t) / sqrt(df)) AS th FROM g)
 SELECT "Year", CAST(n AS BIGINT) AS n, round(b, 8) AS slope, round(a, 5) AS intercept, round(s, 6) AS residual_error, round(t, 4) AS slope_t, round({P_SQL}, 5) AS slope_p FROM h""")
 def release_rate(t: Tables) -> DataFrame:
-    out = C.release_rate(C.metals_qc(metals(t)), 2020, "2020-03-11", turnover_events(t))
+    out = C.release_rate(C.metals_rows(metals(t)), 2020, "2020-03-11", turnover_events(t))
     return out.select(
         "Year", "n", r("slope", 8).alias("slope"), r("intercept", 5).alias("intercept"), r("residual_error").alias("residual_error"),
         r("slope_t", 4).alias("slope_t"), r("slope_p", 5).alias("slope_p"),
@@ -186,8 +197,8 @@ def onset_vs_max(t: Tables) -> DataFrame:
     )
     onset = C.treatment_onset(intervals(t))
     rows = C.oxygen_at_onset(oxygen, oxygen, onset, col="DOsat_percent", handheld_at="2018-04-23 00:00:00")
-    maxima = C.season_maximum(C.metals_qc(metals(t)), active_windows(t))
-    out = C.natural_join(rows, maxima, "full", limit=None)
+    maxima = C.season_maximum(C.metals_rows(metals(t)), active_windows(t))
+    out = C.natural_join(rows, maxima, "full")
     return rounded(out, "AvgDOsat_percent_9", "MaxTFe_mgL", "MaxTMn_mgL")
 
 
@@ -269,13 +280,14 @@ SITE_RATES_SQL = f"""SELECT Reservoir, "Year" AS y, round_even(max(CumulFe_gm2)
  FROM ({CUMULATIVE_SQL.format(AVERAGE_SQL, "")}) GROUP BY ALL"""
 
 
-@query(f"""WITH s AS ({SITE_RATES_SQL}), y AS (SELECT y, max(CASE WHEN Reservoir = 'FCR' THEN fe END) - max(CASE WHEN Reservoir = 'BVR' THEN fe END) AS d FROM s GROUP BY y),
-a AS (SELECT count(d) AS n, avg(d) AS m, stddev_samp(d) AS sd, count(d) - 1 AS df FROM y), h AS (SELECT *, m * sqrt(n) / sd AS t, atan(abs(m * sqrt(n) / sd) / sqrt(df)) AS th FROM a)
-SELECT 'FeFlux' AS measure, CAST(n AS BIGINT) AS pairs, CAST(df AS INT) AS df, round(m, 6) AS mean_difference, round(t, 5) AS t, round({P_SQL}, 6) AS p FROM h""")
+@query(f"""WITH s AS (SELECT Reservoir, y, unnest(['FeFlux', 'MnFlux']) AS measure, unnest([fe, mn]) AS v FROM ({SITE_RATES_SQL})),
+y AS (SELECT measure, y, max(CASE WHEN Reservoir = 'FCR' THEN v END) - max(CASE WHEN Reservoir = 'BVR' THEN v END) AS d FROM s GROUP BY ALL),
+a AS (SELECT measure, count(d) AS n, avg(d) AS m, stddev_samp(d) AS sd, count(d) - 1 AS df FROM y GROUP BY measure), h AS (SELECT *, m * sqrt(n) / sd AS t, atan(abs(m * sqrt(n) / sd) / sqrt(df)) AS th FROM a)
+SELECT measure, CAST(n AS BIGINT) AS pairs, CAST(df AS INT) AS df, round(m, 6) AS mean_difference, round(t, 5) AS t, round({P_SQL}, 6) AS p FROM h""")
 def flux_paired_t(t: Tables) -> DataFrame:
     """Season rates of the two sites, paired by year."""
     season = X.flux_season(X.cumulative_fluxes(average_fluxes(t)))
-    out = paired(season, "Year", "Reservoir", "FCR", "BVR", ["FeFlux"])
+    out = paired(season, "Year", "Reservoir", "FCR", "BVR", ["FeFlux", "MnFlux"])
     return out.select("measure", "pairs", "df", r("mean_difference").alias("mean_difference"), r("t", 5).alias("t"), r("p").alias("p"))
 
 
@@ -294,7 +306,7 @@ def rates_with_oxygen(t: Tables) -> DataFrame:
  SELECT Reservoir, "Date", "Year", Depth_m, "TO", 'Soluble', round(least(TMn_mgL, SMn_mgL), 6) FROM ({{0}})""".format(f"""SELECT m.*, CASE WHEN m."Date" >= e."Date" THEN 'Post' WHEN m."Date" < e."Date" THEN 'Pre' END AS "TO"
  FROM ({QC_KEPT_SQL}) m LEFT JOIN ({EVENTS_SQL}) e ON e.Reservoir = m.Reservoir AND e."Year" = m."Year" WHERE m."Year" = 2023 AND MnDiff <> 0 AND Layer = 'Hypolimnion'"""))
 def year_metals_long(t: Tables) -> DataFrame:
-    rows = C.long_metal(C.year_metals(C.metals_qc(metals(t)), 2023, turnover_events(t)), "Mn")
+    rows = C.long_metal(C.year_metals(C.metals_rows(metals(t)), 2023, turnover_events(t)), "Mn")
     return rounded(rows.select("Reservoir", "Date", "Year", "Depth_m", "TO", "Type", "Mn_mgL"), "Mn_mgL")
 
 
@@ -450,10 +462,12 @@ def temperature_profiles(t: Tables) -> DataFrame:
 
 SLOT = "time_bucket(INTERVAL 10 MINUTE, ts)"
 WIDE_SQL = f"""SELECT {SLOT} AS datetime, {site_sql('user_id')} AS site_id, avg(value) FILTER (event_type = 'view') AS t, avg(value) FILTER (event_type = 'click') AS c,
- avg(value) FILTER (event_type = 'error') AS o, avg(value) FILTER (event_type = 'signup') AS b, CAST(count(*) % 4 AS INT) AS f1, CAST(max(event_id) % 11 AS INT) AS f2, CAST(max(event_id) % 3 AS INT) AS f3 FROM events GROUP BY ALL"""
+ avg(value) FILTER (event_type = 'error') AS o, avg(value) FILTER (event_type = 'signup') AS b, avg(value) FILTER (event_type = 'purchase') AS s, avg(user_id) AS h, CAST(count(*) % 4 AS INT) AS f1, CAST(max(event_id) % 11 AS INT) AS f2, CAST(max(event_id) % 3 AS INT) AS f3 FROM events GROUP BY ALL"""
 TARGETS_SQL = f"""WITH w AS ({WIDE_SQL}),
  a AS (SELECT datetime, site_id, CASE site_id WHEN 'FCR' THEN 1.6 ELSE 1.5 END::DOUBLE AS z, 'Temp_C' AS k, t AS v FROM w WHERE f1 NOT IN (9, 7, 2, 1, 5, 3)
   UNION ALL SELECT datetime, site_id, CASE site_id WHEN 'FCR' THEN 1.6 ELSE 1.5 END, 'Chla_ugL', c FROM w WHERE f2 NOT IN (9, 7, 2, 1, 5, 3)
+  UNION ALL SELECT datetime, site_id, CASE site_id WHEN 'FCR' THEN 1.6 ELSE 1.5 END, 'SpCond_uScm', s FROM w WHERE f1 NOT IN (9, 7, 2, 1, 5, 3)
+  UNION ALL SELECT datetime, site_id, CASE site_id WHEN 'FCR' THEN 1.6 ELSE 1.5 END, 'fDOM_QSU', h FROM w WHERE f2 NOT IN (9, 7, 2, 1, 5, 3)
   UNION ALL SELECT datetime, site_id, 9, 'DO_mgL', o FROM w UNION ALL SELECT datetime, site_id, 9, 'Temp_C', b FROM w WHERE f3 = 0),
  o AS (SELECT * FROM a WHERE v IS NOT NULL),
  sp AS (SELECT site_id, z, k, unnest(generate_series(min(datetime), max(datetime), INTERVAL 10 MINUTE)) AS datetime FROM o GROUP BY site_id, z, k),
@@ -471,6 +485,8 @@ def sensor_targets(t: Tables) -> DataFrame:
     mean = lambda k: F.avg(F.when(F.col("event_type") == k, F.col("value")))
     wide = t("events").groupBy(slot.alias("DateTime"), site("user_id").alias("Reservoir")).agg(
         mean("view").alias("EXOTemp_C_1"), mean("click").alias("EXOChla_ugL_1"), mean("error").alias("RDO_mgL_9_adjusted"),
+        mean("purchase").alias("EXOSpCond_uScm_1"), F.avg("user_id").alias("EXOfDOM_QSU_1"),
+        (F.count(F.lit(1)) % 4).cast("int").alias("Flag_EXOSpCond_uScm_1"), (F.max("event_id") % 11).cast("int").alias("Flag_EXOfDOM_QSU_1"),
         mean("signup").alias("ThermistorTemp_C_9"), F.lit(1.0).alias("ThermistorTemp_C_surface"),
         (F.count(F.lit(1)) % 4).cast("int").alias("Flag_EXOTemp_C_1"), (F.max("event_id") % 11).cast("int").alias("Flag_EXOChla_ugL_1"),
         (F.max("event_id") % 3).cast("int").alias("Flag_ThermistorTemp_C_9"), F.lit(50).alias("Site"),
@@ -523,8 +539,8 @@ def csv_round_trip(t: Tables) -> DataFrame:
 
 # --- casts, oxygen, weather ----------------------------------------------------------------------
 
-CTD_SQL = f"""SELECT {site_sql('l_suppkey')} AS Reservoir, CAST(50 AS INT) AS Site, l_shipdate + INTERVAL {SHIFT} DAY AS DateTime, CAST(l_linenumber - 1 AS DOUBLE) AS Depth_m,
- l_quantity AS Temp_C, CASE WHEN l_discount > 0.01 THEN l_discount * 100 END AS DO_mgL FROM lineitem WHERE l_tax = 0.08 AND l_quantity = 50"""
+CTD_SQL = f"""SELECT {site_sql('l_suppkey')} AS Reservoir, CAST(50 AS INT) AS Site, l_shipdate + to_days(CAST({SHIFT} - (CAST(l_shipdate AS DATE) - DATE '1970-01-01') % 5 AS INT)) AS DateTime, CAST(l_linenumber - 1 AS DOUBLE) AS Depth_m,
+ l_quantity AS Temp_C, CASE WHEN l_discount > 0.01 THEN l_discount * 100 END AS DO_mgL FROM lineitem"""
 HAND_SQL = f"""SELECT {site_sql('o_custkey')} AS Reservoir, CAST(50 AS INT) AS Site, o_orderdate + INTERVAL {SHIFT} DAY AS DateTime, CAST(o_orderkey % 5 AS DOUBLE) AS Depth_m,
  o_totalprice / 20000 AS Temp_C, CASE WHEN o_custkey % 7 <> 0 THEN o_totalprice / 40000 END AS DO_mgL FROM orders"""
 MERGED_SQL = f"""WITH c AS (SELECT *, CAST(DateTime AS DATE) AS d FROM ({CTD_SQL}) WHERE DateTime > TIMESTAMP '2018-01-01' AND DateTime < TIMESTAMP '2023-12-31' AND Depth_m > 0),
@@ -534,9 +550,10 @@ MERGED_SQL = f"""WITH c AS (SELECT *, CAST(DateTime AS DATE) AS d FROM ({CTD_SQL
 
 
 def merged(t: Tables) -> DataFrame:
-    li = t("lineitem").where((F.col("l_tax") == 0.08) & (F.col("l_quantity") == 50))
-    ctd = li.select(
-        site("l_suppkey").alias("Reservoir"), F.lit(50).alias("Site"), shifted("l_shipdate").alias("DateTime"),
+    # profiles lie on every fifth day, so the others are left to the handheld
+    every_fifth = shifted("l_shipdate") - F.make_dt_interval(days=F.unix_date(F.to_date("l_shipdate")) % 5)
+    ctd = t("lineitem").select(
+        site("l_suppkey").alias("Reservoir"), F.lit(50).alias("Site"), every_fifth.alias("DateTime"),
         (F.col("l_linenumber") - 1).cast("double").alias("Depth_m"), F.col("l_quantity").alias("Temp_C"),
         F.when(F.col("l_discount") > 0.01, F.col("l_discount") * 100).alias("DO_mgL"),
     )

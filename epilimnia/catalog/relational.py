@@ -262,6 +262,7 @@ def patch_censor(t: Tables) -> DataFrame:
 @query("""
 SELECT event_id, 'error' AS branch, value * 2 AS x FROM events WHERE event_type = 'error'
 UNION ALL SELECT event_id, 'view', value + 1 FROM events WHERE event_type = 'view'
+UNION ALL SELECT event_id, event_type, value FROM events WHERE event_type IS NULL OR event_type NOT IN ('error', 'view')
 """)
 def route_by_site(t: Tables) -> DataFrame:
     cols = lambda x: ("event_id", F.col("event_type").alias("branch"), x.alias("x"))
@@ -272,6 +273,7 @@ def route_by_site(t: Tables) -> DataFrame:
             "error": lambda d: d.select(*cols(F.col("value") * 2)),
             "view": lambda d: d.select(*cols(F.col("value") + 1)),
         },
+        rest=lambda d: d.select(*cols(F.col("value"))),
     )
 
 
@@ -464,12 +466,13 @@ def standard_names(t: Tables) -> DataFrame:
 
 @query("""
 SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) NOT IN (
- SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_quantity = 50 AND l_discount = 0)
+ SELECT CAST(l_shipdate AS DATE) - CAST((CAST(l_shipdate AS DATE) - DATE '1970-01-01') % 3 AS INT) FROM lineitem)
 """)
 def anti_days(t: Tables) -> DataFrame:
     rows = t("orders").select("o_orderkey", F.to_date("o_orderdate").alias("Date"))
-    busy = t("lineitem").where((F.col("l_quantity") == 50) & (F.col("l_discount") == 0))
-    return J.exclude_days(rows, busy.select(F.to_date("l_shipdate").alias("Date")), ["Date"]).select("o_orderkey")
+    day = F.to_date("l_shipdate")
+    busy = t("lineitem").select(F.date_sub(day, F.unix_date(day) % 3).alias("Date"))
+    return J.exclude_days(rows, busy, ["Date"]).select("o_orderkey")
 
 
 YEAR_WINDOWS_SQL = """SELECT year(o_orderdate) AS y, CAST(min(o_orderdate) AS DATE) + 40 AS a, CAST(max(o_orderdate) AS DATE) - 70 AS b
@@ -495,16 +498,15 @@ def window_semi(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH iv AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(20 + o_orderkey % 100 AS INT) AS b
- FROM orders WHERE o_orderstatus = 'P')
+WITH iv AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) + 15 AS a, CAST(o_orderdate AS DATE) + CAST(20 + o_orderkey % 100 AS INT) AS b FROM orders)
 SELECT o_orderkey, CASE WHEN EXISTS (SELECT 1 FROM iv WHERE iv.k = o.o_custkey AND CAST(o.o_orderdate AS DATE) BETWEEN a AND b)
  THEN 'On' ELSE 'Off' END AS state FROM orders o
 """)
 def interval_tag(t: Tables) -> DataFrame:
     o = t("orders")
     day = F.to_date("o_orderdate")
-    intervals = o.where(F.col("o_orderstatus") == "P").select(
-        "o_custkey", day.alias("a"), F.date_add(day, (20 + F.col("o_orderkey") % 100).cast("int")).alias("b")
+    intervals = o.select(
+        "o_custkey", F.date_add(day, 15).alias("a"), F.date_add(day, (20 + F.col("o_orderkey") % 100).cast("int")).alias("b")
     )
     return J.tag_intervals(o, intervals, "o_orderdate", ["o_custkey"], "a", "b").select("o_orderkey", "state")
 
@@ -611,11 +613,11 @@ def to_wide(t: Tables) -> DataFrame:
     + ", ".join(
         f"max(CASE WHEN event_type = '{x}' AND user_id % 2 = {s} THEN value END) AS value_{x}_{s}, "
         f"max(CASE WHEN event_type = '{x}' AND user_id % 2 = {s} THEN event_id END) AS event_id_{x}_{s}"
-        for x in ("click", "view") for s in (0, 1)
+        for x in TYPES for s in (0, 1)
     )
     + " FROM events GROUP BY ALL"
 )
 def to_wide_multi(t: Tables) -> DataFrame:
     rows = t("events").withColumns({"day": F.to_date("ts"), "site": F.col("user_id") % 2})
-    cells = R.cell_names(["click", "view"], [0, 1])
+    cells = R.cell_names(TYPES, [0, 1])
     return R.to_wide(rows, ["day"], ["event_type", "site"], ["value", "event_id"], cells)

@@ -68,14 +68,14 @@ def daily_state(t: Tables) -> DataFrame:
 
 @query(f"{RUNS_SQL} SELECT * FROM e")
 def rle_runs(t: Tables) -> DataFrame:
-    return N.runs(daily_state(t), ["y"], ["d"], "state", limit=None)
+    return N.runs(daily_state(t), ["y"], ["d"], "state", bounded=True)
 
 
 @query(f"""{RUNS_SQL} SELECT y, length, "start", "end" FROM e WHERE state = 1 AND y IN (SELECT y FROM a GROUP BY y HAVING count(*) >= 300)
  QUALIFY row_number() OVER (PARTITION BY y ORDER BY length DESC, run_id) = 1""")
 def longest_run(t: Tables) -> DataFrame:
     rows = A.having_rows(daily_state(t), ["y"], 300, bounded=True)
-    return N.longest_run(N.runs(rows, ["y"], ["d"], "state", limit=None), ["y"], "state", 1)
+    return N.longest_run(N.runs(rows, ["y"], ["d"], "state", bounded=True), ["y"], "state", 1)
 
 
 HOURLY_SQL = "SELECT user_id, date_trunc('hour', ts) AS h, avg(value) AS v FROM events GROUP BY ALL"
@@ -111,7 +111,7 @@ SELECT user_id, CAST(coalesce(max(CASE WHEN m THEN n END), 0) AS BIGINT) AS long
  CAST(count(CASE WHEN NOT m THEN 1 END) AS BIGINT) AS observed_runs FROM e GROUP BY ALL""")
 def null_run_stats(t: Tables) -> DataFrame:
     # one row per user and hour: bounded by the calendar
-    return N.null_run_stats(hourly_filled(t), ["user_id"], ["h"], "v", limit=None)
+    return N.null_run_stats(hourly_filled(t), ["user_id"], ["h"], "v")
 
 
 @query(f"""{BRACKET_SQL} SELECT user_id, h,
@@ -142,7 +142,7 @@ SELECT s, d, round(coalesce(v, v0 + (v1 - v0) * (i - i0) / (i1 - i0), v0, v1), 4
 def interpolate_edges(t: Tables) -> DataFrame:
     high = F.when(F.col("o_totalprice") > 200000, F.col("o_totalprice"))
     daily = t("orders").groupBy(F.col("o_orderstatus").alias("s"), F.to_date("o_orderdate").alias("d")).agg(F.avg(high).alias("v"))
-    return rounded(G.densify_daily(daily, ["s"], "d", interpolated="v", edges="nearest", limit=None), "v", digits=4)
+    return rounded(G.densify_daily(daily, ["s"], "d", interpolated="v", edges="nearest", bounded=True), "v", digits=4)
 
 
 @query("""WITH x AS (SELECT o_custkey, o_orderkey, o_orderdate, CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END AS v FROM orders),

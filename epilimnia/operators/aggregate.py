@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import strict_avg, strict_max, strict_sum
 from ..functions.scalars import half_even, ratio
-from .joins import group_sizes, join_on
-from .scan import SERIES_LIMIT, running_sums
+from .joins import join_on
+from .scan import running_sums
 
 
 def daily_mean(
@@ -50,22 +50,15 @@ def mean_reps(df: DataFrame, keys: Sequence[str], names: Sequence[str], strict:
     return df.groupBy(*keys).agg(*[(strict_avg(c) if c in strict else F.avg(c)).alias(c) for c in names])
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], col: str, probs: dict[str, float], limit: int = SERIES_LIMIT
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: dict[str, float]) -> DataFrame:
     """Exact quantiles by linear interpolation between order statistics, one column per entry.
 
-    Small groups use Spark's exact percentile. It buffers a group's distinct values in one task, so
-    beyond ``limit`` the values are counted, ranked with a chunked running sum, and picked by rank.
+    Values are counted, ranked with a running sum in chunks of their magnitude, and picked by rank; a
+    built-in percentile would buffer a group's distinct values in one task.
     """
     values = df.where(F.col(col).isNotNull()).select(*keys, col)
-    largest, _ = group_sizes(values, keys)
-    if largest <= limit:
-        return values.groupBy(*keys).agg(
-            *[F.percentile(col, F.lit(p)).alias(name) for name, p in probs.items()]
-        )
     counts = values.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = running_sums(counts, keys, [col], {"__to": F.col("__n")}, limit=limit)
+    ranked = running_sums(counts, keys, [col], {"__to": F.col("__n")})
     sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("__size"))
     ranked = join_on(ranked, sizes, keys, "left").withColumn("__from", F.col("__to") - F.col("__n"))
     picks, out = [], []
@@ -84,7 +77,7 @@ def exact_quantiles(
 
 
 def summarise_stats(
-    df: DataFrame, keys: Sequence[str], names: dict[str, str], digits: int = 3, limit: int = SERIES_LIMIT
+    df: DataFrame, keys: Sequence[str], names: dict[str, str], digits: int = 3
 ) -> DataFrame:
     """Mean, median, min and max per group, rounded half to even (E5).
 
@@ -97,13 +90,9 @@ def summarise_stats(
             half_even(F.min(c), digits).alias(f"Min{s}"),
             half_even(F.max(c), digits).alias(f"Max{s}"),
         ]
-    largest, _ = group_sizes(df, keys)
-    if largest <= limit:
-        medians = [half_even(F.median(c), digits).alias(f"Median{s}") for c, s in names.items()]
-        return df.groupBy(*keys).agg(*aggs, *medians)
     out = df.groupBy(*keys).agg(*aggs)
     for c, s in names.items():
-        median = exact_quantiles(df, keys, c, {f"Median{s}": 0.5}, limit)
+        median = exact_quantiles(df, keys, c, {f"Median{s}": 0.5})
         out = join_on(out, median, keys, "left").withColumn(f"Median{s}", half_even(f"Median{s}", digits))
     return out
 
@@ -132,7 +121,7 @@ def profile_ends(df: DataFrame, keys: Sequence[str], depth: str, names: Sequence
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First whole row per key (E11): a combined minimum instead of a window sort."""
+    """First whole row per key (E11): a minimum by the order, combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
     row = F.struct(*[F.col(c) for c in rest])
     first = F.min_by(row, F.struct(*[F.col(c) for c in order])).alias("__row")

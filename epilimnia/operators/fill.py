@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
-from .scan import SERIES_LIMIT, with_neighbours
+from .scan import with_neighbours
 
 BLOCK = 4096
 
@@ -24,7 +24,12 @@ def _steps(lo: Column, hi: Column, is_date: bool, step_seconds: int) -> Column:
     """Whole steps from lo to hi, counting a started one."""
     if is_date:
         return F.ceil(F.date_diff(hi, lo) / (step_seconds // 86400)).cast("long")
-    return F.ceil(F.timestamp_diff("MICROSECOND", lo, hi) / (step_seconds * 1_000_000)).cast("long")
+    # the difference is taken on the type itself: one without a zone must not pass through the session's
+    span = hi - lo
+    part = lambda unit: F.extract(F.lit(unit), span)
+    minutes = (part("DAY").cast("long") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    micros = minutes * 60_000_000 + (part("SECOND") * 1_000_000).cast("long")
+    return F.ceil(micros / (step_seconds * 1_000_000)).cast("long")
 
 
 def _at(lo: Column, i: Column, is_date: bool, step_seconds: int) -> Column:
@@ -33,17 +38,6 @@ def _at(lo: Column, i: Column, is_date: bool, step_seconds: int) -> Column:
     return lo + F.make_dt_interval(secs=(i * step_seconds).cast("decimal(18,6)"))
 
 
-def _extent(
-    df: DataFrame, keys: Sequence[str], ts: str, is_date: bool, step_seconds: int
-) -> tuple[tuple[int, int], int]:
-    """((rows of the longest series, rows in all), steps of the longest series), from one aggregate."""
-    spans = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), _steps(F.min(ts), F.max(ts), is_date, step_seconds).alias("steps")
-    )
-    row = spans.agg(F.max("n").alias("n"), F.sum("n").alias("total"), F.max("steps").alias("steps")).first()
-    return (int(row["n"] or 0), int(row["total"] or 0)), int(row["steps"] or 0)
-
-
 def _unroll(df: DataFrame, count: Column, spread: Sequence[str] = ()) -> DataFrame:
     """``__i`` = 0 .. count - 1 for each row, in blocks, so a long gap never becomes one large array.
 
@@ -67,24 +61,24 @@ def fill_gaps(
     interpolated: str | None = None,
     maxgap: int | None = None,
     edges: str = "null",
-    limit: int | None = SERIES_LIMIT,
+    bounded: bool = False,
+    chunk: Column | None = None,
 ) -> DataFrame:
     """Add a row for every missing step between the first and last time of each series.
 
     Observed rows all stay; other columns of added rows are NULL. Times are expected on the step grid of
     their series. With ``interpolated`` that column is filled in the same pass (F7, F8): linear in time,
     gaps of more than ``maxgap`` steps stay NULL, ends as in ``interpolate``. Each row yields the steps up
-    to the next row, so one window over the observed rows does it all: one shuffle. When a filled series
-    is beyond ``limit`` rows, its missing steps are spread over the cluster in blocks first.
+    to the next row, so one window over the observed rows does it all. The missing steps are spread over the
+    cluster in blocks before they are unrolled, so no task holds a long gap.
     """
     is_date = _is_date(df, ts, step_seconds)
     columns = df.columns
     value = interpolated or ts
-    sizes, steps = (None, 0) if limit is None else _extent(df, keys, ts, is_date, step_seconds)
-    rows = with_neighbours(df, keys, [ts], value, at=ts, limit=limit, sizes=sizes)
+    rows = with_neighbours(df, keys, [ts], value, at=ts, bounded=bounded, chunk=chunk)
     here, upcoming = F.col(ts), F.col("upcoming")
     count = F.coalesce(_steps(here, upcoming, is_date, step_seconds), F.lit(1).cast("long"))
-    rows = _unroll(rows, count, [*keys, ts] if limit is not None and steps > limit else ())
+    rows = _unroll(rows, count, () if bounded else [*keys, ts])
     rows = rows.withColumn("__t", _at(here, F.col("__i"), is_date, step_seconds))
     observed = F.col("__i") == 0
     new = {c: F.when(observed, F.col(c)) for c in columns if c not in keys and c != ts}
@@ -124,14 +118,15 @@ def interpolate(
     maxgap: int | None = None,
     edges: str = "null",
     out: str | None = None,
-    limit: int | None = SERIES_LIMIT,
+    bounded: bool = False,
+    chunk: Column | None = None,
 ) -> DataFrame:
     """Linear interpolation over row positions.
 
     Gaps of more than ``maxgap`` rows stay NULL. Leading and trailing NULLs stay NULL, or take the
     nearest value with ``edges="nearest"``.
     """
-    rows = with_neighbours(df, keys, order, col, limit=limit)
+    rows = with_neighbours(df, keys, order, col, bounded=bounded, chunk=chunk)
     before, after, position = F.col("before"), F.col("after"), F.col("position")
     span = after["at"] - before["at"]
     line = before["value"] + (after["value"] - before["value"]) * (position - before["at"]) / span

@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import group_sizes, join_on
-from .scan import SERIES_LIMIT, with_neighbours
+from .joins import join_on
+from .scan import with_neighbours
+
+
+CHUNK = 64
 
 
 def grid_interpolate(
@@ -19,7 +22,6 @@ def grid_interpolate(
     value: str,
     dz: float = 0.5,
     keep_empty: bool = True,
-    limit: int | None = SERIES_LIMIT,
 ) -> DataFrame:
     """Interpolate casts onto every day and every ``dz`` of depth, per key (K8).
 
@@ -30,7 +32,7 @@ def grid_interpolate(
     casts and another outline; both reproduce a plane, and this one any bilinear surface.
 
     The unit of work is a cast in the first pass and a (key, depth) series of calendar days in the
-    second, so no task holds a whole key; a cast of more than ``limit`` readings is scanned in chunks.
+    second, so no task holds a whole key; a cast is scanned in chunks of ``CHUNK`` depth units.
     ``keys`` should hold the year, as casts of different years are not to be joined up.
 
     Result: keys, day (x), depth (y), value (z).
@@ -39,20 +41,15 @@ def grid_interpolate(
     points = rows.groupBy(*keys, F.to_date(date).alias("x"), F.col(depth).cast("double").alias("d")).agg(
         F.avg(value).alias("v")
     )
-    frame = rows.groupBy(*keys).agg(
-        F.min(F.col(depth).cast("double")).alias("__d0"),
-        F.max(F.col(depth).cast("double")).alias("__d1"),
-        F.min(F.to_date(date)).alias("__x0"),
-        F.max(F.to_date(date)).alias("__x1"),
+    frame = points.groupBy(*keys).agg(
+        F.min("d").alias("__d0"), F.max("d").alias("__d1"), F.min("x").alias("__x0"), F.max("x").alias("__x1")
     )
     levels = F.floor((F.col("__d1") - F.col("__d0")) / dz + 1e-10).cast("int").alias("__levels")
     frame = frame.withColumn("__levels", levels)
 
     # pass 1: every pair of neighbouring depths of a cast serves the grid levels between them
-    # readings per cast bound the depths per cast, and are cheaper to count
-    sizes = None if limit is None else group_sizes(rows.withColumn("x", F.to_date(date)), [*keys, "x"])
     seg = with_neighbours(
-        points.withColumn("__p", F.struct("d", "v")), [*keys, "x"], ["d"], "v", at="__p", limit=limit, sizes=sizes
+        points.withColumn("__p", F.struct("d", "v")), [*keys, "x"], ["d"], "v", at="__p", chunk=F.floor(F.col("d") / CHUNK)
     ).select(*keys, "x", "d", "v", F.col("upcoming.d").alias("d2"), F.col("upcoming.v").alias("v2"))
     seg = join_on(seg, frame.select(*keys, "__d0", "__levels"), keys, "inner")
     lo = F.ceil((F.col("d") - F.col("__d0")) / dz - 1e-10).cast("int")

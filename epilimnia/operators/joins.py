@@ -15,18 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _RIGHT = "__r_"
-KEY_LIMIT = 2_000_000
-
-
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(rows of the largest group, rows in all): one map-side combined aggregate, two numbers back."""
-    row = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.max("n").alias("largest"), F.sum("n").alias("total"))
-        .first()
-    )
-    return int(row["largest"] or 0), int(row["total"] or 0)
 
 
 def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -43,34 +31,23 @@ def shared_columns(a: DataFrame, b: DataFrame) -> list[str]:
     return [c for c in a.columns if c in b.columns]
 
 
-def natural_join(
-    a: DataFrame, b: DataFrame, how: str = "inner", on: Sequence[str] | None = None, limit: int | None = KEY_LIMIT
-) -> DataFrame:
+def natural_join(a: DataFrame, b: DataFrame, how: str = "inner", on: Sequence[str] | None = None) -> DataFrame:
     """Join on every shared column name, NULL matching NULL.
 
-    A full outer join cannot be split when a key is hot. So when some key has more than ``limit`` rows on
-    a side, it is written as matches + rows of a without a match + rows of b without one, three joins AQE
-    can split. ``limit=None``: keys are known to be nearly unique.
+    A full outer join cannot be split when a key is hot, so it is written as matches + rows of a without a
+    match + rows of b without one: three joins that AQE can split. The columns are the keys, then the rest
+    of a, then the rest of b.
     """
     on = list(on) if on is not None else shared_columns(a, b)
     if how != "full":
         return join_on(a, b, on, how)
     if set(on) == set(a.columns) == set(b.columns):
         return _merge_equal_rows(a, b, on)
-    if limit is None or max(group_sizes(a, on)[0], group_sizes(b, on)[0]) <= limit:
-        right = b.withColumnsRenamed({k: _RIGHT + k for k in on})
-        # keys are compared as one struct: a constant key column that differs must not turn the whole
-        # condition into FALSE, which Spark would run as a nested loop
-        condition = F.struct(*on) == F.struct(*[F.col(_RIGHT + k).alias(k) for k in on])
-        # a marker tells an unmatched row from one whose keys are all NULL
-        both = a.withColumn("__a", F.lit(1)).join(right, condition, "full")
-        keys = [F.when(F.col("__a") == 1, F.col(k)).otherwise(F.col(_RIGHT + k)).alias(k) for k in on]
-        rest = [c for c in (*a.columns, *b.columns) if c not in on]
-        return both.select(*keys, *rest)
     both = join_on(a, b, on, "inner")
     only_a = join_on(a, b.select(*on).distinct(), on, "left_anti")
     only_b = join_on(b, a.select(*on).distinct(), on, "left_anti")
-    return both.unionByName(only_a, allowMissingColumns=True).unionByName(only_b, allowMissingColumns=True)
+    out = both.unionByName(only_a, allowMissingColumns=True).unionByName(only_b, allowMissingColumns=True)
+    return out.select(*on, *[c for c in (*a.columns, *b.columns) if c not in on])
 
 
 def _merge_equal_rows(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -189,12 +166,14 @@ def phase_of(
     out: str = "phase",
     before: str = "Pre",
     after: str = "Post",
+    rule_order: str | None = None,
 ) -> DataFrame:
     """Phase of a row relative to the event of its key and year.
 
     On or after the event: ``after``; before it: ``before``; no event that year: NULL. Where
     ``windows`` (``window_keys``, start, end, phase) names a key and year, the time before the event
-    takes its phase from those windows alone, and is NULL outside them.
+    takes its phase from those windows alone, and is NULL outside them. Where they overlap, the last one
+    holds: by ``rule_order``, a column of ``windows``, or without one the window that starts last.
     """
     ev = (
         events.withColumn("__year", F.year(event_date))
@@ -207,9 +186,10 @@ def phase_of(
     temporary = ["__year", "__day", "__event"]
     if windows is not None:
         special = windows.select(*keys, F.year("start").alias("__year"), F.lit(True).alias("__special")).distinct()
-        cells = day_cells(windows, window_keys, "start", "end", keep=["phase"]).withColumnRenamed(
-            "phase", "__phase"
-        )
+        # one phase per key and day: of overlapping windows the last rule holds
+        rule = F.col(rule_order) if rule_order else F.struct("start", "end", "phase")
+        cells = day_cells(windows.withColumn("__rule", rule), window_keys, "start", "end", keep=["phase", "__rule"])
+        cells = cells.groupBy(*window_keys, "__day").agg(F.max_by("phase", "__rule").alias("__phase"))
         rows = join_on(rows, special, [*keys, "__year"], "left")
         rows = join_on(rows, cells, [*window_keys, "__day"], "left")
         early = F.when(F.col("__special"), F.col("__phase")).otherwise(F.lit(before))

@@ -62,7 +62,16 @@ def censor(df: DataFrame, col: str, lo: float, hi: float, out: str | None = None
     return df.withColumn(out or col, F.when(F.col(col).between(lo, hi), F.col(col)))
 
 
-def route_by(df: DataFrame, col: str, branches: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Send the rows of each site through their own branch and stack the results."""
+def route_by(
+    df: DataFrame,
+    col: str,
+    branches: dict[str, Callable[[DataFrame], DataFrame]],
+    rest: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> DataFrame:
+    """Send the rows of each site through their own branch and stack the results.
+
+    Rows of another or of no site go through ``rest``, which leaves them as they are unless given.
+    """
     parts = [fn(df.where(F.col(col) == value)) for value, fn in branches.items()]
+    parts.append(rest(df.where(~F.coalesce(F.col(col).isin(list(branches)), F.lit(False)))))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -1,33 +1,34 @@
 """Ordered scans over series of any length.
 
-A window over ``keys`` puts a whole series into one task. That is right while every series is small,
-so the operators here first look at the largest one. When it is beyond ``limit`` rows, the rows are
-range-partitioned on (keys, order) into chunks of about ``limit`` rows: the window then runs inside a
-chunk, a small per-chunk summary carries state across chunk edges, and both are joined back. Results
-are the same either way, and no task ever holds more than about one chunk.
-
-``limit=None`` says the caller knows the series are bounded (for instance one row per site and day).
+A window over ``keys`` puts a whole series into one task. So a series is cut into chunks by a fixed bucket
+of its order, the calendar month for dates and times: the window runs inside a chunk, a small per-chunk
+summary carries state across chunk edges, and both are joined back. The plan is the same for every size
+and nothing has to be counted, sampled or written for it.
+
+``chunk`` gives another bucket; it must never fall while the order rises. Numbers are cut by magnitude
+unless the caller knows better. ``bounded=True`` says that the series are short by construction (for
+instance one row per site and day of a year) and stay whole.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..session import freeze
-from .joins import KEY_LIMIT, group_sizes, join_on
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
+
+from .joins import join_on
 
-SERIES_LIMIT = KEY_LIMIT
+_MONTH_MICROS = 30 * 86_400 * 1_000_000
 _CHUNK = "__chunk"
 
 
 @dataclass
 class Series:
-    """Rows of many ordered series, chunked when one of them is too long for a task."""
+    """Rows of many ordered series, cut into chunks unless they are bounded."""
 
     df: DataFrame
     keys: list[str]
@@ -69,30 +70,28 @@ class Series:
         return df.drop(_CHUNK, *temporary)
 
 
+def order_bucket(df: DataFrame, order: Sequence[Column]) -> Column:
+    """Default chunk: the month of a date or time, the magnitude of a number in steps of about one percent."""
+    first = order[0]
+    kind = df.select(first).schema[0].dataType
+    if isinstance(kind, (DateType, TimestampNTZType)):
+        return F.trunc(first.cast("date"), "month")
+    if isinstance(kind, TimestampType):  # free of the session's zone, whose clocks may go back
+        return F.floor(F.unix_micros(first) / _MONTH_MICROS)
+    if isinstance(kind, NumericType):
+        return F.signum(first) * F.floor(F.log2(1 + F.abs(first.cast("double"))) * 64)
+    raise ValueError(f"give a chunk for an order of {kind.simpleString()}, or declare the series bounded")
+
+
 def series(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column | str],
-    limit: int | None = SERIES_LIMIT,
-    sizes: tuple[int, int] | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bounded: bool = False, chunk: Column | None = None
 ) -> Series:
-    """``order`` must be total inside a series, else results are not repeatable.
-
-    ``sizes``: (rows of the longest series, rows in all) when the caller has counted already.
-    """
-    keys = list(keys)
+    """``order`` must be total inside a series, else results are not repeatable."""
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    if limit is None:
-        return Series(df, keys, cols, False)
-    largest, total = sizes or group_sizes(df, keys)
-    if largest <= limit:
-        return Series(df, keys, cols, False)
-    ranges = math.ceil(total / limit) + 1
-    chunks = df.repartitionByRange(ranges, *[F.col(k) for k in keys], *cols).withColumn(
-        _CHUNK, F.spark_partition_id()
-    )
-    # chunk ids come from sampled range bounds: freeze them, two branches read them below
-    return Series(freeze(chunks), keys, cols, True)
+    if bounded:
+        return Series(df, list(keys), cols, False)
+    bucket = order_bucket(df, cols) if chunk is None else chunk
+    return Series(df.withColumn(_CHUNK, bucket), list(keys), cols, True)
 
 
 def running_sums(
@@ -101,10 +100,11 @@ def running_sums(
     order: Sequence[Column | str],
     sums: dict[str, Column],
     strict: bool = True,
-    limit: int | None = SERIES_LIMIT,
+    bounded: bool = False,
+    chunk: Column | None = None,
 ) -> DataFrame:
     """Cumulative sums (F2). Strict: NULL from the first NULL input on."""
-    s = series(df, keys, order, limit)
+    s = series(df, keys, order, bounded, chunk)
     value = {name: f"__v_{name}" for name in sums}
     gap = {name: f"__g_{name}" for name in sums}
     rows = s.df.withColumns(
@@ -148,10 +148,11 @@ def positions(
     keys: Sequence[str],
     order: Sequence[Column | str],
     name: str = "position",
-    limit: int | None = SERIES_LIMIT,
+    bounded: bool = False,
+    chunk: Column | None = None,
 ) -> DataFrame:
     """1-based row number inside each series."""
-    return running_sums(df, keys, order, {name: F.lit(1).cast("long")}, limit=limit)
+    return running_sums(df, keys, order, {name: F.lit(1).cast("long")}, bounded=bounded, chunk=chunk)
 
 
 def with_run_id(
@@ -160,10 +161,11 @@ def with_run_id(
     order: Sequence[Column | str],
     value: str,
     name: str = "run_id",
-    limit: int | None = SERIES_LIMIT,
+    bounded: bool = False,
+    chunk: Column | None = None,
 ) -> DataFrame:
     """Number the runs of equal neighbouring values (NULL equals NULL) inside each series."""
-    s = series(df, keys, order, limit)
+    s = series(df, keys, order, bounded, chunk)
     v = F.struct(F.col(value))
     changed = ~v.eqNullSafe(F.lag(v).over(s.window()))
     out = s.df.withColumn("__step", changed.cast("long")).withColumn(
@@ -196,8 +198,8 @@ def with_neighbours(
     order: Sequence[Column | str],
     value: str,
     at: str | None = None,
-    limit: int | None = SERIES_LIMIT,
-    sizes: tuple[int, int] | None = None,
+    bounded: bool = False,
+    chunk: Column | None = None,
 ) -> DataFrame:
     """Known values around each row, as structs (at, value).
 
@@ -205,7 +207,7 @@ def with_neighbours(
     and ``upcoming`` (``at`` of the next row). ``at`` is a column, or the row number when not given; that
     one is added as ``position``.
     """
-    s = series(df, keys, order, limit, sizes)
+    s = series(df, keys, order, bounded, chunk)
     out, axis = s.df, at or "position"
     if at is None:
         out = out.withColumn("position", F.row_number().over(s.window()).cast("long"))

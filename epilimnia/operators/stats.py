@@ -127,7 +127,8 @@ def paired_t(
 def grouped_density(df: DataFrame, keys: Sequence[str], col: str, points: int = 512) -> DataFrame:
     """Gaussian kernel density per group on an even grid from its minimum to its maximum.
 
-    Bandwidth: 0.9 * min(sd, IQR / 1.34) * n^-0.2. Values are first shared out linearly between their
+    Bandwidth: 0.9 * min(sd, IQR / 1.34) * n^-0.2, where a spread of 0 falls back to the standard deviation,
+    then to the size of a value, then to 1, so a group of equal values keeps its rows. Values are first shared out linearly between their
     two grid neighbours, so a group of any size shrinks to at most ``points`` weights.
     """
     rows = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("__x"))
@@ -140,14 +141,20 @@ def grouped_density(df: DataFrame, keys: Sequence[str], col: str, points: int =
     quartiles = exact_quantiles(rows, keys, "__x", {"__q1": 0.25, "__q3": 0.75})
     shape = join_on(shape, quartiles, keys, "inner")
     iqr = (F.col("__q3") - F.col("__q1")) / 1.34
-    spread = F.when(iqr > 0, F.least("__sd", iqr)).otherwise(F.col("__sd"))
+    deviation, size = F.coalesce("__sd", F.lit(0.0)), F.abs(F.col("__lo"))
+    spread = (
+        F.when((iqr > 0) & (deviation > 0), F.least(deviation, iqr))
+        .when(deviation > 0, deviation)
+        .when(size > 0, size)
+        .otherwise(1.0)
+    )
     shape = shape.withColumns(
         {
             "__h": 0.9 * spread * F.pow(F.col("__n"), F.lit(-0.2)),
             "__step": (F.col("__hi") - F.col("__lo")) / (points - 1),
         }
-    ).where(F.col("__h") > 0)
-    at = (F.col("__x") - F.col("__lo")) / F.col("__step")
+    )
+    at = F.coalesce((F.col("__x") - F.col("__lo")) / F.nullif(F.col("__step"), F.lit(0.0)), F.lit(0.0))
     node = F.least(F.floor(at), F.lit(points - 2)).cast("int")
     binned = join_on(rows, shape, keys, "inner").select(*keys, node.alias("__k"), (at - node).alias("__w"))
     weights = binned.groupBy(*keys, "__k").agg(

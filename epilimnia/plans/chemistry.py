@@ -28,11 +28,7 @@ def _unflagged(df: DataFrame) -> DataFrame:
     return rows.withColumns({d: F.col(t) - F.col(s) for d, (t, s) in DIFFS.items()})
 
 
-def metals_qc(df: DataFrame, since: str = S.SPAN[0], sites: Sequence[str] = S.SITES) -> DataFrame:
-    """Unflagged metals with differences, soluble shares, layers and layer-day means (K9).
-
-    The layer means are taken before rows with an implausible difference are dropped.
-    """
+def _layered(df: DataFrame, since: str, sites: Sequence[str]) -> DataFrame:
     rows = between_time(df, "DateTime", since).where(
         (F.col("Site") == S.MAIN_STATION) & F.col("Reservoir").isin(list(sites))
     )
@@ -45,13 +41,24 @@ def metals_qc(df: DataFrame, since: str = S.SPAN[0], sites: Sequence[str] = S.SI
             "Year": F.year("DateTime"),
         }
     )
-    rows = layer_of(rows, "Reservoir", "Depth_m", S.LAYER_BOUNDARY)
-    rows = attach_stats(
-        rows, ["Reservoir", "Site", "Date", "Layer"], {"AvgSTFe": F.avg("STFe"), "AvgSTMn": F.avg("STMn")}
-    )
+    return layer_of(rows, "Reservoir", "Depth_m", S.LAYER_BOUNDARY)
+
+
+def _plausible(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("FeDiff") >= S.FE_TOLERANCE) & (F.col("MnDiff") >= S.MN_TOLERANCE))
 
 
+def metals_rows(df: DataFrame, since: str = S.SPAN[0], sites: Sequence[str] = S.SITES) -> DataFrame:
+    """Unflagged, plausible metals with differences, soluble shares and layers (K9): filters only."""
+    return _plausible(_layered(df, since, sites))
+
+
+def metals_qc(df: DataFrame, since: str = S.SPAN[0], sites: Sequence[str] = S.SITES) -> DataFrame:
+    """``metals_rows`` with layer-day means (K9), taken before implausible rows are dropped."""
+    means = {"AvgSTFe": F.avg("STFe"), "AvgSTMn": F.avg("STMn")}
+    return _plausible(attach_stats(_layered(df, since, sites), ["Reservoir", "Site", "Date", "Layer"], means))
+
+
 def metals_for_grid(df: DataFrame, since_year: int = 2018, max_depth: float = 9.0) -> DataFrame:
     """Unflagged metals of the day x depth figures (K9)."""
     rows = df.where((F.col("DateTime") >= F.lit(f"{since_year}-01-01").cast("timestamp")) & (F.col("Depth_m") <= max_depth))
@@ -78,10 +85,11 @@ def sample_days(rows: DataFrame, ref_year: int = 2001) -> DataFrame:
 def treatment_intervals(intervals: DataFrame) -> DataFrame:
     """Intervals with number, year and day-of-year columns.
 
-    The number follows site and dates; interval tables are control tables, one row per switch-on, so
-    one ordered pass over them is small.
+    The number follows site and dates. It is a row number inside a site and month plus the rows of those
+    before, so only the counts per site and month meet in one place.
     """
-    numbered = positions(intervals, [], ["Reservoir", "HOxOn", "HOxOff"], "Group")
+    chunk = F.struct(F.col("Reservoir"), F.trunc("HOxOn", "month"))
+    numbered = positions(intervals, [], ["Reservoir", "HOxOn", "HOxOff"], "Group", chunk=chunk)
     return numbered.withColumns(
         {
             "Group": F.col("Group").cast("string"),
@@ -125,7 +133,7 @@ def oxygen_at_onset(
         F.col("DOsat_percent").alias("AvgDOsat_percent_9"),
     )
     # both sides are a handful of rows per site and season
-    return natural_join(logger, hand, "full", limit=None)
+    return natural_join(logger, hand, "full")
 
 
 def season_maximum(metals: DataFrame, windows: DataFrame, depth: float = 9.0, site: str = S.TREATED) -> DataFrame:
@@ -141,7 +149,7 @@ def onset_vs_max(
     oxygen: DataFrame, handheld: DataFrame, metals: DataFrame, onset: DataFrame, windows: DataFrame
 ) -> DataFrame:
     """Oxygen at treatment onset next to the seasonal metal maxima."""
-    return natural_join(oxygen_at_onset(oxygen, handheld, onset), season_maximum(metals, windows), "full", limit=None)
+    return natural_join(oxygen_at_onset(oxygen, handheld, onset), season_maximum(metals, windows), "full")
 
 
 def ratio_by_state(metals: DataFrame, intervals: DataFrame, layer: str = "Hypolimnion") -> DataFrame:
@@ -155,8 +163,12 @@ def ratio_by_state(metals: DataFrame, intervals: DataFrame, layer: str = "Hypoli
 
 
 def year_metals(metals: DataFrame, year: int, events: DataFrame) -> DataFrame:
-    """One year's metals with swapped manganese pairs repaired, shares and phase."""
-    rows = unswap(metals.where(F.col("Year") == year), {"MnDiff": DIFFS["MnDiff"]}, mode="each")
+    """One year's metals with swapped manganese pairs repaired, shares and phase.
+
+    The year is asked for as a range of times, which reaches the scan.
+    """
+    one = between_time(metals, "DateTime", f"{year}-01-01", f"{year + 1}-01-01")
+    rows = unswap(one, {"MnDiff": DIFFS["MnDiff"]}, mode="each")
     rows = rows.withColumns({"STFe": ratio("SFe_mgL", "TFe_mgL"), "STMn": ratio("SMn_mgL", "TMn_mgL")})
     return phase_of(rows, events, "Date", ["Reservoir"], "Date", out="TO")
 

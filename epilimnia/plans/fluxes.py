@@ -47,7 +47,7 @@ def cumulative_fluxes(average: DataFrame, active: DataFrame | None = None, layer
             "CumulMn_gm2": F.col("AvgTMnFlux_gm2d") * days,
             "CumulDuration_days": days,
         },
-        limit=None,
+        bounded=True,
     )
 
 
@@ -85,4 +85,4 @@ def flux_table(average: DataFrame) -> DataFrame:
 def rates_with_oxygen(season: DataFrame, oxygen: DataFrame, site: str = S.TREATED, since: int = 2018) -> DataFrame:
     """Season rates of the treated site next to oxygen at onset."""
     rates = season.where((F.col("Reservoir") == site) & (F.col("Year") >= since))
-    return natural_join(rates.select("Reservoir", "Year", "FeFlux", "MnFlux"), oxygen, "full", limit=None)
+    return natural_join(rates.select("Reservoir", "Year", "FeFlux", "MnFlux"), oxygen, "full")

@@ -33,13 +33,13 @@ def daily_stratification(profiles: DataFrame, density_diff: float = S.DENSITY_DI
     stratified = (difference > density_diff) & (top > bottom)
     flag = F.when(F.col("top").isNotNull(), F.when(stratified, F.lit(1.0)).otherwise(F.lit(0.0)))
     daily = ends.select("site_id", "datetime", flag.alias("strat"))
-    return densify_daily(daily, ["site_id"], "datetime", interpolated="strat", edges="nearest", limit=None)
+    return densify_daily(daily, ["site_id"], "datetime", interpolated="strat", edges="nearest", bounded=True)
 
 
 def periods_from_flags(flags: DataFrame, min_rows: int = S.MIN_ROWS_PER_YEAR) -> DataFrame:
     """Longest stratified run per site and year with enough days."""
     yearly = having_rows(flags.withColumn("year", F.year("datetime")), ["site_id", "year"], min_rows, bounded=True)
-    table = runs(yearly, ["site_id", "year"], ["datetime"], "strat", limit=None)
+    table = runs(yearly, ["site_id", "year"], ["datetime"], "strat", bounded=True)
     best = longest_run(table, ["site_id", "year"], "strat", 1.0)
     return best.select("year", "length", "start", "end", "site_id")
 
@@ -78,17 +78,17 @@ def turnover_dates(
     return out.withColumn("MDay", overlay_day("datetime", ref_year))
 
 
-def buoyancy_daily(profiles: DataFrame, limit: int | None = None) -> DataFrame:
+def buoyancy_daily(profiles: DataFrame) -> DataFrame:
     """Largest squared buoyancy frequency per site and day (K17); NULL if any layer is unknown.
 
-    Daily profiles have one row per sensor or depth bin; give a ``limit`` for profiles of raw depths.
+    Daily profiles have one row per sensor or depth bin, so a profile is bounded.
     """
     layers = profile_gradient(
         profiles.select("site_id", "datetime", "depth_m", "observation"),
         ["site_id", "datetime"],
         "depth_m",
         ["observation"],
-        limit,
+        bounded=True,
     ).where(F.col("next_depth_m").isNotNull())
     n2 = buoyancy_squared(
         water_density("observation"), water_density("next_observation"), F.col("depth_m"), F.col("next_depth_m")

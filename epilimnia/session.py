@@ -1,4 +1,4 @@
-"""Session helpers: literal tables and lineage cuts."""
+"""Session helpers: literal tables and the shared folder."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ def literal_table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> D
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts: the session's own setting, else a temp folder in local mode."""
+    """Shared folder for what a query writes: the session's own setting, else a temp folder in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -30,9 +30,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(named)
         current = sc.getCheckpointDir()
     return current
-
-
-def freeze(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later reads see the same rows even after executors are lost."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

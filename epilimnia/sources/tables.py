@@ -32,21 +32,44 @@ def sensor_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, column_type(n)) for n in names])
 
 
-def read_table(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
-    """Read delimited or Parquet files (A1).
+def _format(path: str, format: str | None) -> str:
+    """``csv`` or ``parquet``: as told, else by the path's suffix."""
+    if format is None:
+        name = path.rstrip("/").lower().removesuffix(".gz").removesuffix("*")
+        format = "parquet" if name.endswith(".parquet") else "csv" if name.endswith((".csv", ".txt")) else None
+    if format not in ("csv", "parquet"):
+        raise ValueError(f"name the format of {path}: csv or parquet")
+    return format
+
+
+def read_table(
+    spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, format: str | None = None
+) -> DataFrame:
+    """Read delimited or Parquet files (A1); columns of several files meet by name.
 
     Without a schema the header line gives the names and ``column_type`` the types. Empty fields and
-    ``NA`` are NULL; non-finite numbers become NULL.
+    ``NA`` are NULL; non-finite numbers become NULL. A file whose header differs from what its path's first
+    file or the schema says raises an error instead of being read by position.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    if all(p.rstrip("/").endswith(".parquet") for p in paths):
+    kinds = {_format(p, format) for p in paths}
+    if kinds == {"parquet"}:
         return spark.read.parquet(*paths)
-    reader = spark.read.option("header", True).option("nullValue", "NA")
-    if schema is None:
-        schema = sensor_schema(reader.csv(paths[0]).columns)
-    df = reader.schema(schema).csv(paths)
+    if len(kinds) > 1:
+        raise ValueError("files of different formats")
+    reader = spark.read.option("header", True).option("nullValue", "NA").option("enforceSchema", False)
+    if schema is not None:
+        return _clean(reader.schema(schema).csv(paths))
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for p in paths:
+        headers.setdefault(tuple(reader.csv(p).columns), []).append(p)
+    parts = [_clean(reader.schema(sensor_schema(names)).csv(same)) for names, same in headers.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _clean(df: DataFrame) -> DataFrame:
     clean = {}
-    for f in schema.fields:
+    for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
             clean[f.name] = F.nullif(c, F.lit(""))
@@ -88,11 +111,11 @@ def read_periods(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path)
 
 
-def write_table(df: DataFrame, path: str | None, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write when a path is given and hand the table back (A7): CSV for ``.csv`` paths, else Parquet."""
+def write_table(df: DataFrame, path: str | None, partition_by: Sequence[str] = (), format: str | None = None) -> DataFrame:
+    """Write when a path is given and hand the table back (A7), as the suffix or ``format`` says."""
     if path is not None:
         writer = df.write.mode("overwrite").partitionBy(*partition_by)
-        if path.endswith(".csv"):
+        if _format(path, format) == "csv":
             writer.option("header", True).option("nullValue", "NA").csv(path)
         else:
             writer.parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from epilimnia.functions import nulls, pvalues, scalars
 from epilimnia.operators import aggregate, fill, grid, joins, quality, reshape, select, stats
+from epilimnia.sources import tables
 
 
 def tuples(df, *cols):
@@ -74,8 +75,7 @@ def test_natural_join_matches_nulls(spark):
     a = spark.sql("SELECT * FROM VALUES (1, 'x'), (NULL, 'y'), (3, 'z'), (3, 'zz') AS t(k, a)")
     b = spark.sql("SELECT * FROM VALUES (1, 'p'), (NULL, 'q'), (4, 'r'), (3, 's'), (3, 't') AS t(k, b)")
     want = [(1, "x", "p"), (3, "z", "s"), (3, "z", "t"), (3, "zz", "s"), (3, "zz", "t"), (4, None, "r"), (None, "y", "q")]
-    for limit in (None, 100, 1):  # known unique, checked, with a hot key
-        assert tuples(joins.natural_join(a, b, "full", limit=limit)) == sorted(want, key=str)
+    assert tuples(joins.natural_join(a, b, "full")) == sorted(want, key=str)
     assert tuples(joins.natural_join(a, b, "inner")) == sorted((w for w in want if w[1] and w[2]), key=str)
     same = joins.natural_join(a.select("k"), b.select("k"), "full")
     assert sorted(map(str, (r[0] for r in same.collect()))) == sorted(["1", "None", "3", "3", "3", "3", "4"])
@@ -194,6 +194,68 @@ def test_p_values_against_numeric_integration(spark, nu):
         assert got == pytest.approx(1 - 2 * area, abs=2e-8)
 
 
+@pytest.mark.parametrize(
+    "t, nu, p",
+    [
+        (12.0, 60, 1.3786322641817738e-17), (5.0, 400, 8.594825129118688e-07), (5.0, 401, 8.58648736907e-07), (10.0, 401, 3.62058935629e-21),
+        (15.0, 500, 2.9001023164859657e-42), (40.0, 1, 0.015912179824051628), (40.0, 2, 0.0006244146721847406), (0.001, 1, 0.9993633804398389),
+        (1.5, 4, 0.208), (12.706204736432095, 1, 0.05), (1.959963984540054, 10**12, 0.05), (0.0, 7, 1.0),
+    ],
+)
+def test_small_p_values_keep_their_digits(spark, t, nu, p):
+    assert spark.range(1).select(pvalues.two_sided_p(F.lit(t), F.lit(nu))).first()[0] == pytest.approx(p, rel=1e-9)
+
+
+def test_p_values_are_never_negative(spark):
+    df = spark.range(1, 60).selectExpr("id * 0.7 AS t", "id").crossJoin(spark.sql("SELECT explode(array(1, 2, 5, 60, 399, 400, 401, 10000)) AS nu"))
+    assert df.where(~pvalues.two_sided_p(F.col("t"), F.col("nu")).between(0, 1)).count() == 0
+    falling = df.withColumn("p", pvalues.two_sided_p(F.col("t"), F.col("nu")))
+    assert falling.groupBy("nu").agg(F.corr("t", F.log(F.col("p") + 1e-300)).alias("c")).where("c > -0.6").count() == 0
+
+
+def test_overlapping_phase_windows_last_rule_wins(spark):
+    rows = spark.sql("SELECT 'a' k, timestamp'2018-05-05' ts UNION ALL SELECT 'a', timestamp'2018-05-20'")
+    events = spark.sql("SELECT 'a' k, date'2018-11-01' d")
+    windows = spark.sql("SELECT 'a' k, date'2018-01-01' start, date'2018-06-01' end, 'Pre' phase, 2 o UNION ALL SELECT 'a', date'2018-05-01', date'2018-05-10', 'Pre_', 1")
+    by_start = joins.phase_of(rows, events, "ts", ["k"], "d", windows, ["k"])
+    assert sorted(r["phase"] for r in by_start.collect()) == ["Pre", "Pre_"]
+    by_rule = joins.phase_of(rows, events, "ts", ["k"], "d", windows, ["k"], rule_order="o")
+    assert [r["phase"] for r in by_rule.collect()] == ["Pre", "Pre"]
+
+
+def test_routing_keeps_other_rows(spark):
+    df = spark.sql("SELECT * FROM VALUES ('a', 1), ('b', 2), ('c', 3), (NULL, 4) AS t(k, v)")
+    out = quality.route_by(df, "k", {"a": lambda d: d.withColumn("v", F.col("v") * 10)})
+    assert sorted(r["v"] for r in out.collect()) == [2, 3, 4, 10]
+
+
+def test_density_of_equal_values(spark):
+    df = spark.sql("SELECT * FROM VALUES ('a', 5D), ('a', 5D), ('a', 5D), ('z', 0D), ('z', 0D), ('o', 3D) AS t(k, v)")
+    peak = {r["k"]: r["density"] for r in stats.grouped_density(df, ["k"], "v", points=4).groupBy("k").agg(F.max("density").alias("density")).collect()}
+    bell = lambda h: 1 / (h * math.sqrt(2 * math.pi))
+    assert peak == pytest.approx({"a": bell(0.9 * 5 * 3**-0.2), "z": bell(0.9 * 2**-0.2), "o": bell(0.9 * 3)})
+
+
+def test_files_meet_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Reservoir,Depth_m,Temp_C\nFCR,1,10\n")
+    (tmp_path / "b.csv").write_text("Reservoir,Temp_C,Depth_m,Extra_x\nBVR,20,2,7\n")
+    out = tables.read_table(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert sorted((r["Reservoir"], r["Depth_m"], r["Temp_C"], r["Extra_x"]) for r in out.collect()) == [("BVR", 2.0, 20.0, 7.0), ("FCR", 1.0, 10.0, None)]
+    with pytest.raises(Exception):
+        tables.read_table(spark, f"{tmp_path}/*.csv").collect()
+
+
+@pytest.mark.parametrize("format", ["csv", "parquet"])
+def test_format_argument_round_trip(spark, tmp_path, format):
+    df = spark.sql("SELECT 'FCR' Reservoir, 1D Depth_m")
+    tables.write_table(df, f"{tmp_path}/out", format=format)
+    assert [tuple(r) for r in tables.read_table(spark, f"{tmp_path}/out", format=format).collect()] == [("FCR", 1.0)]
+    with pytest.raises(ValueError):
+        tables.read_table(spark, f"{tmp_path}/out")
+    with pytest.raises(ValueError):
+        tables.write_table(df, f"{tmp_path}/other")
+
+
 def test_large_groups_need_no_long_series(spark):
     p = spark.range(1).select(pvalues.two_sided_p(F.lit(1.959963984540054), F.lit(10**12))).first()[0]
     assert p == pytest.approx(0.05, abs=1e-9)

@@ -3,7 +3,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from epilimnia.operators.aggregate import daily_mean_gated
-from epilimnia.session import ensure_checkpoint_dir, freeze
 from epilimnia.streaming.daily import daily_mean_stream, run_available
 
 
@@ -21,8 +20,3 @@ def test_stream_equals_batch_for_closed_days(spark, tmp_path):
     want = sorted(tuple(r) for r in batch.select("k", "Date", F.round("x", 6)).collect())
     assert got == want and len(got) == 6
 
-
-def test_freeze_is_a_reliable_checkpoint(spark):
-    ensure_checkpoint_dir(spark)
-    frozen = freeze(spark.range(10).repartition(3))
-    assert frozen.count() == 10
