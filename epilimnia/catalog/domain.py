@@ -8,12 +8,14 @@ by an expression instead. Windows and sites of the study are the plans' own filt
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import settings as S
+from ..operators import select as P
 from ..operators.runs import profile_gradient
 from ..operators.scan import positions
 from ..operators.stats import paired_t as paired
@@ -23,9 +25,10 @@ from ..plans import sensors as N
 from ..plans import series as W
 from ..plans import stratification as Z
 from ..session import ensure_checkpoint_dir, literal_table
+from ..sources import tables as IO
 from ..sources.tables import read_table, write_table
 from ..streaming.daily import daily_mean_stream as stream_op
-from ..streaming.daily import run_available
+from ..streaming.daily import run_available, with_open_days
 from .base import Tables, query, r, rounded
 from .relational import MISSING
 from .series import FIT_SQL, P_SQL, rho_sql
@@ -166,6 +169,26 @@ def release_rate(t: Tables) -> DataFrame:
     )
 
 
+RATES = [(2020, "2020-03-11", "Mn"), (2020, "2020-03-11", "Fe"), (2023, "2023-03-20", "Mn"), (2023, "2023-03-20", "Fe")]
+RATES_SQL = " UNION ALL ".join(
+    f"SELECT '{metal}' AS metal, * FROM (" + RELEASE_SQL.replace("2020-03-11", start).replace('"Year" = 2020', f'"Year" = {year}').replace(
+        "greatest(TMn_mgL, SMn_mgL) AS y", "TFe_mgL AS y" if metal == "Fe" else "greatest(TMn_mgL, SMn_mgL) AS y") + ")"
+    for year, start, metal in RATES
+)
+
+
+@query(f"""WITH f AS ({FIT_SQL.format(keys='metal, "Year"', y="y", x="x", table=f"({RATES_SQL})")})
+SELECT metal, "Year", CAST(n AS BIGINT) AS n, round(b, 8) AS slope, round(a, 5) AS intercept, round(b / (s / sqrt(sxx)), 4) AS slope_t FROM f""")
+def release_rates(t: Tables) -> DataFrame:
+    """Both metals and both years."""
+    rows, events = C.metals_rows(metals(t)), turnover_events(t)
+    parts = [C.release_rate(rows, year, start, events, metal).withColumn("metal", F.lit(metal)) for year, start, metal in RATES]
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select(
+        "metal", "Year", "n", r("slope", 8).alias("slope"), r("intercept", 5).alias("intercept"), r("slope_t", 4).alias("slope_t")
+    )
+
+
 WINDOWS_SQL = "(VALUES " + ", ".join(
     f"({w['Year']}, DATE '{w['start']}', DATE '{w['end']}')" for w in S.ACTIVE_WINDOWS
 ) + ") AS w(y, a, b)"
@@ -537,6 +560,49 @@ def csv_round_trip(t: Tables) -> DataFrame:
     return back.withColumn("DateTime", F.col("DateTime").cast("timestamp_ntz"))
 
 
+def scratch(t: Tables, name: str) -> str:
+    return f"{ensure_checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}.csv"
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderkey % 2 = 0 AS even FROM orders")
+def read_many_files(t: Tables) -> DataFrame:
+    """Two delimited files with the same columns in another order, appended by name (A3, A4)."""
+    even = F.col("o_orderkey") % 2 == 0
+    a, b = scratch(t, "even"), scratch(t, "odd")
+    write_table(t("orders").where(even).select("o_orderkey", "o_custkey", "o_totalprice"), a)
+    write_table(t("orders").where(~even).select("o_totalprice", "o_custkey", "o_orderkey"), b)
+    rows = IO.read_many(t.spark, [a, b])
+    return rows.select(
+        F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), "o_totalprice", F.col("source_file").contains("even-").alias("even")
+    )
+
+
+@query(f"""SELECT Reservoir, HOxOn, HOxOff FROM ({INTERVALS_SQL})""")
+def control_intervals(t: Tables) -> DataFrame:
+    """Treatment intervals through their control file (A2)."""
+    path = scratch(t, "intervals")
+    write_table(intervals(t).select("HOxOff", "Reservoir", "HOxOn", F.col("price").alias("unused")), path)
+    return IO.read_intervals(t.spark, path)
+
+
+@query(f"""SELECT Reservoir, "Date", 'Turnover' AS "Event", CAST("Year" - 2017 AS INT) AS "ID" FROM ({EVENTS_SQL})""")
+def control_events(t: Tables) -> DataFrame:
+    """Dated events through their control file (A2)."""
+    path = scratch(t, "events")
+    write_table(turnover_events(t).withColumns({"Event": F.lit("Turnover"), "ID": F.col("Year") - 2017}), path)
+    return IO.read_events(t.spark, path)
+
+
+@query("""SELECT o_orderkey, o_custkey, o_totalprice FROM orders UNION ALL SELECT -o_orderkey, NULL, o_totalprice FROM orders""")
+def current_appended(t: Tables) -> DataFrame:
+    """A historic path and a current table without one of its columns (A3, A5), in the historic order."""
+    path = scratch(t, "historic").removesuffix(".csv") + ".parquet"
+    historic = t("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    write_table(historic, path)
+    current = t("orders").select("o_totalprice", (-F.col("o_orderkey")).alias("o_orderkey"))
+    return P.select_like(IO.with_current(IO.as_df(t.spark, path), current), historic)
+
+
 # --- casts, oxygen, weather ----------------------------------------------------------------------
 
 CTD_SQL = f"""SELECT {site_sql('l_suppkey')} AS Reservoir, CAST(50 AS INT) AS Site, l_shipdate + to_days(CAST({SHIFT} - (CAST(l_shipdate AS DATE) - DATE '1970-01-01') % 5 AS INT)) AS DateTime, CAST(l_linenumber - 1 AS DOUBLE) AS Depth_m,
@@ -639,17 +705,18 @@ def weather_daily(t: Tables) -> DataFrame:
 
 @query(f"""WITH v AS (SELECT *, CAST(ts AS DATE) AS day FROM ({MISSING.format(13)}) WHERE value IS NOT NULL),
  d AS (SELECT site, event_type, day, count(*) AS n, avg(value) AS m FROM v GROUP BY ALL)
-SELECT site, event_type, day, CASE WHEN n >= 30 THEN round(m, 6) END AS value FROM d
-WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM v) - INTERVAL 2 HOUR""")
+SELECT site, event_type, day, CASE WHEN n >= 30 THEN round(m, 6) END AS value FROM d""")
 def daily_mean_stream(t: Tables) -> DataFrame:
-    """Gated daily mean as a stream over the events file; the day still open at the end is not emitted."""
+    """Gated daily mean as a stream over the events file; days still open at the end are closed by a batch pass."""
     base = ensure_checkpoint_dir(t.spark)
     schema = t("events").schema
     source = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-    rows = source.select(
+    columns = (
         "event_type", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 2).cast("int").alias("site"),
         F.when(F.col("event_id") % 13 != 0, F.col("value")).alias("value"),
     )
+    rows = source.select(*columns)
     out = f"{base}/stream-{uuid.uuid4().hex}"
     run_available(stream_op(rows, ["site", "event_type"], "ts", "value", "2 hours", 30, "day"), f"{out}/rows", f"{out}/state")
-    return rounded(t.spark.read.parquet(f"{out}/rows"), "value")
+    closed = t.spark.read.schema("site int, event_type string, day date, value double").parquet(f"{out}/rows")
+    return rounded(with_open_days(closed, t("events").select(*columns), ["site", "event_type"], "ts", "value", 30, "day"), "value")

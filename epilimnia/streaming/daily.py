@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.aggregate import daily_mean_gated
+
 
 def daily_mean_stream(
     sdf: DataFrame, keys: Sequence[str], ts: str, col: str, delay: str, min_n: int, date: str = "Date"
@@ -15,7 +17,7 @@ def daily_mean_stream(
     """Streaming form of the gated daily mean (L1), for append mode.
 
     A day is emitted once the watermark has passed its end; rows later than ``delay`` are dropped. State
-    is one running sum and count per key and open day.
+    is one running sum and count per key and open day. ``with_open_days`` closes the last days at the end.
     """
     rows = sdf.where(F.col(col).isNotNull()).withWatermark(ts, delay)
     daily = rows.groupBy(*keys, F.window(ts, "1 day")).agg(
@@ -28,6 +30,19 @@ def daily_mean_stream(
     )
 
 
+def with_open_days(
+    closed: DataFrame, rows: DataFrame, keys: Sequence[str], ts: str, col: str, min_n: int, date: str = "Date"
+) -> DataFrame:
+    """The stream's days and, by one batch pass, the days still open when it ended (L1 equals E2).
+
+    A day of all keys is emitted when the watermark passes its end, so the open days are those after the last
+    one emitted. ``rows`` is the stream's source, read as a table.
+    """
+    last = F.coalesce(closed.agg(F.max(date)).scalar(), F.lit("0001-01-01").cast("date"))
+    rest = daily_mean_gated(rows.where(F.to_date(ts) > last), keys, ts, col, min_n, date=date)
+    return closed.unionByName(rest)
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process everything available now into Parquet files and stop."""
     query = (

@@ -3,7 +3,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from epilimnia.operators.aggregate import daily_mean_gated
-from epilimnia.streaming.daily import daily_mean_stream, run_available
+from epilimnia.streaming.daily import daily_mean_stream, run_available, with_open_days
 
 
 def test_stream_equals_batch_for_closed_days(spark, tmp_path):
@@ -19,4 +19,6 @@ def test_stream_equals_batch_for_closed_days(spark, tmp_path):
     batch = daily_mean_gated(rows, ["k"], "ts", "x", 50).where("Date < date'2020-01-04'")
     want = sorted(tuple(r) for r in batch.select("k", "Date", F.round("x", 6)).collect())
     assert got == want and len(got) == 6
-
+    whole = with_open_days(spark.read.parquet(str(tmp_path / "out")), rows, ["k"], "ts", "x", 50)
+    batch = daily_mean_gated(rows, ["k"], "ts", "x", 50)
+    assert sorted(map(str, whole.select("k", "Date", F.round("x", 6)).collect())) == sorted(map(str, batch.select("k", "Date", F.round("x", 6)).collect()))
