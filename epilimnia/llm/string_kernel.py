@@ -17,6 +17,7 @@ both classes every score is 0.5. Repeated rows get equal scores; other columns a
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable
@@ -58,6 +59,8 @@ CACHE_WORDS = 400_000
 #: Digits and signs read as letters (fixed values).
 LOOKALIKES = str.maketrans("013457@", "oieastA".lower())
 
+PART = re.compile(r"[^\W\d_]{3,}")
+
 #: (positions, weight) of each kept subsequence shape, relative to its first character.
 SHAPES = [
     (np.cumsum((0, *(g + 1 for g in gaps))), DECAY ** sum(gaps))
@@ -83,12 +86,16 @@ def strings_of(text: str | None) -> list[str]:
     return list(out)
 
 
-def plain(word: str) -> str:
-    """Letters only, lookalike digits replaced; at most the first and last ``MAX_LENGTH`` / 2 characters of a very long string."""
+def pieces(word: str) -> list[str]:
+    """A string's letters, lookalike digits replaced.
+
+    A long string stands as its parts between signs and as windows of ``MAX_LENGTH`` letters that overlap by half.
+    """
     letters = word if word.isalpha() else "".join(c for c in word.translate(LOOKALIKES) if c.isalpha())
-    if len(letters) > MAX_LENGTH:
-        letters = letters[: MAX_LENGTH // 2] + letters[-MAX_LENGTH // 2 :]
-    return letters
+    if len(letters) <= MAX_LENGTH:
+        return [letters] if letters else []
+    windows = [letters[i : i + MAX_LENGTH] for i in range(0, len(letters) - MAX_LENGTH // 2, MAX_LENGTH // 2)]
+    return windows + [x for x in PART.findall(word.translate(LOOKALIKES)) if len(x) <= MAX_LENGTH]
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,10 +190,12 @@ class Scorer:
 
     def learn(self, words: set[str]) -> None:
         self.known.update(dict.fromkeys(words, self.model.lowest))
-        usable = [(w, p) for w in words if (p := plain(w))]
+        usable = [(w, p) for w in words if (p := pieces(w))]
         if usable:
-            found = self.model.decide([p for _, p in usable]).tolist()
-            self.known.update((w, f) for (w, _), f in zip(usable, found, strict=True))
+            found = self.model.decide([x for _, p in usable for x in p])
+            starts = np.cumsum([0, *(len(p) for _, p in usable[:-1])])
+            highest = np.maximum.reduceat(found, starts).tolist()
+            self.known.update((w, f) for (w, _), f in zip(usable, highest, strict=True))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         return self.model.scores(self.decisions(texts))
@@ -251,13 +260,13 @@ def without_copies(sample: pd.DataFrame) -> pd.DataFrame:
         marks = {(k, int(label), int((runs * np.uint32(m)).min())) for k, m in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))}
         keep.append(not marks & seen)
         seen |= marks
-    return sample[keep].reset_index(drop=True)
+    return sample[np.array(keep, dtype=bool)].reset_index(drop=True)
 
 
 def fit(sample: pd.DataFrame) -> KernelModel:
     """Three of four sampled documents teach the machine, the rest the curve."""
     sample = without_copies(sample.sort_values(["label", "mix", "text"], ignore_index=True))
-    bags = [sorted({p for w in strings_of(t) if (p := plain(w))}) for t in sample["text"]]
+    bags = [sorted({p for w in strings_of(t) for p in pieces(w)}) for t in sample["text"]]
     label = sample["label"].to_numpy()
     calibration = (sample["mix"].to_numpy() % 4) == 0
     teach = [i for i in range(len(bags)) if not calibration[i] and bags[i]]

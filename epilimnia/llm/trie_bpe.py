@@ -133,6 +133,8 @@ class TrieEncoder:
                         last.append(token)
                         start.append(before)
                         break
+                else:
+                    raise ValueError(f"the vocabulary has no token for {word!r}")
             node = below
             path.append(node)
         return node

@@ -230,6 +230,7 @@ def test_gapped_and_spoilt_insults():
     scorer = string_kernel.Scorer(model)
     toxic = ["the erin idiot on", "an i d i o t in", "an i.d.i.o.t in", "er mo-ron", "the m0ron of", "thin scumbbag er"]
     assert (scorer.scores(toxic) > 0.5).all()
+    assert (scorer.scores(["then-erin-stan-" * 40 + "idiot" + "-erth-anon-inst" * 40]) > 0.5).all()
     assert (scorer.scores(["the erin on an", "anin thst er", "", None]) < 0.2).all()
 
 
