@@ -304,6 +304,22 @@ def test_classes_by_brute_force(spark, texts):
     assert all(r["class_size"] == sizes[r["class_id"]] and r["kept"] == (i == r["class_id"]) for i, r in got.items())
 
 
+def test_rows_without_words_stay(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    docs = docs.unionAll(docs.where("doc_id = 5 OR text IS NULL"))
+    wordless = lambda rows: sorted(repr(r["doc_id"]) for r in rows if not (r["text"] or "").split())
+    want = sorted(map(repr, [3, 3, 4, 5, 5, None, None]))
+    assert wordless(docs.collect()) == want
+    got = [r for r in dart_minhash.classes(docs).collect() if r["node"] is None]
+    assert sorted(repr(r["doc_id"]) for r in got) == want
+    assert all(r["kept"] and r["class_size"] == 1 and r["class_id"] == r["doc_id"] for r in got)
+    kept = dart_minhash.keep_one_of_each(spark, docs, odd)
+    assert kept.columns == docs.columns
+    kept = kept.collect()
+    assert wordless(kept) == want
+    assert sorted(r["doc_id"] for r in kept if (r["text"] or "").split() and r["doc_id"]) == [1, 6, 8, 9, 10]  # 1, 2 and 7 are near copies
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     error = []
