@@ -1,11 +1,13 @@
 """Quality rules by robust multivariate outliers: a minimum covariance determinant estimate for each language and source.
 
 Each text's statistics become a vector of four: log mean word length, and logs of the shares of symbols, repeated lines and
-repeated words. For each group (language, source) concentration steps look for the ``COVERAGE`` of documents whose covariance has
-the least determinant: a pass over all rows adds up, for each group and each small range of distance, counts, sums and products;
-the ranges up to the coverage give the next centre and covariance. The first centre and spread are median and median deviation,
-the last step weighs in all documents within the 97.5 % quantile. A document goes if its squared Mahalanobis distance exceeds the
-``CUT`` quantile of chi squared.
+repeated words. For each group (language, source) concentration steps look for the half of the documents, (n + p + 1) / 2 of n in p
+parts, whose covariance has the least determinant, so that any outliers short of that half can't shape it. A pass over all rows
+adds up, for each group, start and small range of distance, counts, sums and products; the ranges up to the half, the last one in
+part, give the next centre and covariance. Each group has ``STARTS``: the median with the median deviation, the shortest half
+of each part, and about the median the correlations of squashed parts and of directions. A start goes on until its determinant
+stops falling; the least determinant of all starts and steps wins. The last step weighs in all documents within the 97.5 %
+quantile of the winner. A document goes if its squared Mahalanobis distance exceeds the ``CUT`` quantile of chi squared.
 
 Vectors are whole numbers (``STEP`` parts of one), so all sums are exact and the result does not depend on the order of rows. Rows
 are added up before they are shuffled, and a group's estimate comes from at most ``BINS`` sums, so a hot group costs no task more.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
+from functools import reduce
 from math import exp
 
 import numpy as np
@@ -33,10 +36,14 @@ from epilimnia.llm.common import SPACE_CHARS, per_text, read_table, settle
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
-COVERAGE = 0.75
 CUT = 0.9999
 MIN_ROWS = 100
+#: Steps of each start before its determinant is watched, and the fall of its logarithm that counts as one.
 CONCENTRATIONS = 4
+FALL = 1e-4
+STARTS = ("median", "shortest half", "squashed", "directions")
+#: Parts of one of squashed values and directions.
+FINE = 1000
 STEP = 1000
 BINS = 512
 #: Least standard deviation of each part: most texts have no symbol and no repeat at all, which must not make one a crime.
@@ -128,32 +135,76 @@ def groups(measured: DataFrame) -> DataFrame:
     return sizes.join(by_lang, "lang", "left").select("lang", "source", gid.alias("gid"))
 
 
-def _solved(centre: np.ndarray, spread: np.ndarray) -> list[float]:
-    """Centre and inverse covariance as ten plus four numbers, parts never below their least deviation."""
+def _solved(centre: np.ndarray, spread: np.ndarray) -> tuple[list[float], float]:
+    """Centre and inverse covariance as four plus ten numbers, parts never below their least deviation; the log determinant."""
     spread = spread.copy()
     np.fill_diagonal(spread, np.maximum(np.diag(spread), (np.array(LEAST) * STEP) ** 2))
     inverse = np.linalg.inv(spread)
-    return [*centre, *(inverse[i, j] * (1 if i == j else 2) for i, j in PAIRS)]
+    return [*centre, *(inverse[i, j] * (1 if i == j else 2) for i, j in PAIRS)], float(np.linalg.slogdet(spread)[1])
 
 
 ESTIMATE = [*(f"c{i}" for i in range(4)), *(f"p{i}{j}" for i, j in PAIRS)]
-ESTIMATE_SCHEMA = "gid string, " + ", ".join(f"{n} double" for n in ESTIMATE)
+ESTIMATE_SCHEMA = "gid string, start int, logdet double, before double, " + ", ".join(f"{n} double" for n in ESTIMATE)
+ESTIMATE_NAMES = ["gid", "start", "logdet", "before", *ESTIMATE]
 
 
 def first_estimate(rows: DataFrame) -> DataFrame:
-    """Median and median deviation of each part, from counts of values in hundredths."""
+    """The ``STARTS`` of each group; none has a determinant yet."""
     value = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.round(F.col(z) / 10).cast("int").alias("v")) for i, z in enumerate(PARTS))))
     counts = rows.select("gid", value.alias("x")).groupBy("gid", "x.part", "x.v").agg(F.count("*").alias("n"))
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        centre, width = np.zeros(4), np.zeros(4)
+    def plain(group: pd.DataFrame) -> pd.DataFrame:
+        """Median and median deviation, and the shortest half, of each part, from counts of values in hundredths."""
+        centre, width, middle, half = np.zeros((4, 4))
         for part, values in group.groupby("part"):
             v, n = values["v"].to_numpy(float), values["n"].to_numpy()
             centre[part] = _median(v, n)
             width[part] = 1.4826 * _median(np.abs(v - centre[part]), n)
-        return pd.DataFrame([[group["gid"].iloc[0], *_solved(centre * 10, np.diag((width * 10) ** 2))]], columns=["gid", *ESTIMATE])
-
-    return counts.groupBy("gid").applyInPandas(one, ESTIMATE_SCHEMA)
+            middle[part], half[part] = _shortest_half(v, n)
+        found = [(0, centre, width), (1, middle, half / (2 * 0.6745))]
+        return _estimates(group["gid"].iloc[0], [(k, c * 10, np.diag((w * 10) ** 2)) for k, c, w in found])
+
+    first = settle(counts.groupBy("gid").applyInPandas(plain, ESTIMATE_SCHEMA), "estimate")
+    # Standardised by median and median deviation, squashed or put on a sphere, as whole numbers: sums are exact.
+    u = [(F.col(z) - F.col(f"c{i}")) * F.sqrt(F.col(f"p{i}{i}")) for i, z in enumerate(PARTS)]
+    norm = F.greatest(F.sqrt(sum((x * x for x in u), F.lit(0.0))), F.lit(1e-9))
+    whole = {f"t{i}": F.round(F.tanh(x / 2) * FINE).cast("long") for i, x in enumerate(u)}
+    whole |= {f"r{i}": F.round(x / norm * FINE).cast("long") for i, x in enumerate(u)}
+    sums = [F.sum(F.col(f"{k}{i}") * F.col(f"{k}{j}")).alias(f"{k}{i}{j}") for k in "tr" for i, j in PAIRS]
+    median = with_estimate(rows, first.where("start = 0"))
+    added = median.withColumns(whole).groupBy("gid", *(f"c{i}" for i in range(4)), *(f"p{i}{i}" for i in range(4))).agg(*sums)
+
+    def turned(group: pd.DataFrame) -> pd.DataFrame:
+        one, found = group.iloc[0], []
+        for start, kind in ((2, "t"), (3, "r")):
+            m = np.zeros((4, 4))
+            for i, j in PAIRS:
+                m[i, j] = m[j, i] = one[f"{kind}{i}{j}"]
+            size = np.sqrt(np.maximum(np.diag(m), 1.0))
+            width = np.array([one[f"p{i}{i}"] ** -0.5 for i in range(4)])
+            # Parts that always agree must leave the matrix with an inverse.
+            alike = 0.99 * m / np.outer(size, size)
+            np.fill_diagonal(alike, 1.0)
+            found.append((start, np.array([one[f"c{i}"] for i in range(4)]), alike * np.outer(width, width)))
+        return _estimates(one["gid"], found)
+
+    return first.unionAll(added.groupBy("gid").applyInPandas(turned, ESTIMATE_SCHEMA))
+
+
+def _estimates(gid: str, starts: list[tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    rows = [[gid, start, np.inf, np.inf, *_solved(centre, spread)[0]] for start, centre, spread in starts]
+    return pd.DataFrame(rows, columns=ESTIMATE_NAMES)
+
+
+def _shortest_half(values: np.ndarray, counts: np.ndarray) -> tuple[float, float]:
+    """Middle and width of the shortest range that holds half of the values; the first of equally short ones."""
+    order = np.argsort(values, kind="stable")
+    v, ends = values[order], np.cumsum(counts[order])
+    last = np.searchsorted(ends, ends - counts[order] + (ends[-1] + 1) // 2)
+    first = np.flatnonzero(last < len(v))
+    width = v[last[first]] - v[first]
+    k = int(np.argmin(width))
+    return float(v[last[first[k]]] + v[first[k]]) / 2, float(width[k])
 
 
 def _median(values: np.ndarray, counts: np.ndarray) -> float:
@@ -176,34 +227,54 @@ def with_estimate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     return rows.join(salted, ["gid", "salt"])
 
 
+def best(estimates: DataFrame) -> DataFrame:
+    """The estimate of least determinant of each group; ties go by start, then by the numbers."""
+    least = F.min(F.struct("logdet", "start", "before", *ESTIMATE)).alias("best")
+    return estimates.groupBy("gid").agg(least).select("gid", "best.start", "best.logdet", "best.before", *(f"best.{n}" for n in ESTIMATE))
+
+
 def concentrate(rows: DataFrame, estimate: DataFrame, reweigh: bool = False) -> DataFrame:
-    """The next estimate: of the nearest ``COVERAGE`` of each group, or of all within the 97.5 % quantile."""
+    """The next estimate of each start: of the nearest half of its group. Or one of the best start: of all within the 97.5 % quantile."""
     bin_ = F.least(F.floor(F.log2(1 + squared_distance() * 64) * 32).cast("int"), F.lit(BINS - 1))
     sums = [F.sum(z).alias(f"s{i}") for i, z in enumerate(PARTS)]
     sums += [F.sum(F.col(PARTS[i]) * F.col(PARTS[j])).alias(f"q{i}{j}") for i, j in PAIRS]
-    added = with_estimate(rows, estimate).groupBy("gid", bin_.alias("bin")).agg(F.count("*").alias("n"), *sums)
+    placed = with_estimate(rows, best(estimate) if reweigh else estimate)
+    added = placed.groupBy("gid", "start", "logdet", bin_.alias("bin")).agg(F.count("*").alias("n"), *sums)
     last = int(np.log2(1 + chi2_quantile(0.975, 2) * 64) * 32)
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("bin", ignore_index=True)
-        total = group["n"].sum()
+        n = group["n"].to_numpy(float)
+        total = n.sum()
         if reweigh:
-            inside = group[group["bin"] <= last]
-            share = 0.975
+            weight, share = (group["bin"] <= last).to_numpy(float), 0.975
         else:
-            ends = group["n"].cumsum().to_numpy()
-            inside = group.iloc[: int(np.searchsorted(ends, COVERAGE * total)) + 1]
-            share = min(inside["n"].sum() / total, 0.999)
-        if not len(inside):
-            inside = group
-        n = float(inside["n"].sum())
-        centre = np.array([inside[f"s{i}"].sum() for i in range(4)]) / n
+            half = (total + len(PARTS) + 1) // 2
+            weight = np.clip((half - (np.cumsum(n) - n)) / n, 0, 1)
+            share = min(half / total, 0.999)
+        if not weight.any():
+            weight = np.ones(len(n))
+        inside = float((weight * n).sum())
+        centre = np.array([(weight * group[f"s{i}"]).sum() for i in range(4)]) / inside
         spread = np.zeros((4, 4))
         for i, j in PAIRS:
-            spread[i, j] = spread[j, i] = inside[f"q{i}{j}"].sum() / n - centre[i] * centre[j]
-        return pd.DataFrame([[group["gid"].iloc[0], *_solved(centre, spread * widened(share))]], columns=["gid", *ESTIMATE])
+            spread[i, j] = spread[j, i] = (weight * group[f"q{i}{j}"]).sum() / inside - centre[i] * centre[j]
+        numbers, logdet = _solved(centre, spread * widened(share))
+        return pd.DataFrame([[group["gid"].iloc[0], group["start"].iloc[0], logdet, group["logdet"].iloc[0], *numbers]], columns=ESTIMATE_NAMES)
+
+    return added.groupBy("gid", "start").applyInPandas(one, ESTIMATE_SCHEMA)
+
 
-    return added.groupBy("gid").applyInPandas(one, ESTIMATE_SCHEMA)
+def least_determinant(rows: DataFrame) -> DataFrame:
+    """Each group's estimate of least determinant over all steps of all starts. Every further step lowers one, so they end."""
+    step, found = settle(first_estimate(rows), "estimate"), []
+    while True:
+        step = settle(concentrate(rows, step), "estimate")
+        found.append(step)
+        if len(found) >= CONCENTRATIONS:
+            step = step.where(F.col("logdet") < F.col("before") - FALL)
+            if step.isEmpty():
+                return settle(best(reduce(DataFrame.unionAll, found)), "estimate")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -213,10 +284,7 @@ def judge(docs: DataFrame) -> DataFrame:
     gids = groups(measured).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     rows = settle(measured.join(gids, ["lang", "source", "salt"]), "grouped")
     usable = rows.where("gid IS NOT NULL").select("gid", "salt", *PARTS)
-    estimate = settle(first_estimate(usable), "estimate")
-    for _ in range(CONCENTRATIONS):
-        estimate = settle(concentrate(usable, estimate), "estimate")
-    estimate = settle(concentrate(usable, estimate, reweigh=True), "estimate")
+    estimate = settle(concentrate(usable, least_determinant(usable), reweigh=True), "estimate")
     salted = estimate.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     judged = rows.join(salted, ["gid", "salt"], "left").withColumn("distance2", F.when(F.col("c0").isNotNull(), squared_distance()))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -67,6 +67,26 @@ def test_concentration_finds_the_covariance_of_the_clean_part(spark):
     assert np.allclose([r[f"p{i}{i}"] ** -0.5 / robust_outliers.STEP for i in range(4)], [0.5, 0.6, 0.7, 0.8], rtol=0.08)
 
 
+@pytest.mark.parametrize("share", [0.3, 0.33, 0.42])
+def test_outlying_copies_do_not_shape_their_group(spark, share):
+    rng = np.random.default_rng(7)
+    n, copies = 3000, int(3000 * share)
+    z = np.rint(rng.normal([1.6, 0, 0, 0], [0.1, 0.05, 0.1, 0.1], (n, 4)) * robust_outliers.STEP).astype(int)
+    z[:copies] = z[0] + np.array([0, 2900, 0, 0])
+    frame = pd.DataFrame(z, columns=robust_outliers.PARTS).assign(copy=np.arange(n) < copies)
+    rows = spark.createDataFrame(frame).selectExpr("'g' AS gid", "*", "pmod(hash(*), 8) AS salt").cache()
+    found = robust_outliers.least_determinant(rows)
+    judged = robust_outliers.with_estimate(rows, robust_outliers.concentrate(rows, found, reweigh=True))
+    far = robust_outliers.squared_distance() > robust_outliers.chi2_quantile(robust_outliers.CUT, 2)
+    gone = Counter((r["copy"], r["gone"]) for r in judged.select("copy", far.alias("gone")).collect())
+    assert gone[True, True] == copies and gone[False, True] <= 0.002 * n
+
+
+def test_shortest_half():
+    assert robust_outliers._shortest_half(np.array([9.0, 0.0, 1.0, 2.0]), np.array([2, 1, 1, 1])) == (1.0, 2.0)
+    assert robust_outliers._shortest_half(np.array([9.0, 0.0]), np.array([3, 1])) == (9.0, 0.0)
+
+
 # 2: compression classifier
 
 
