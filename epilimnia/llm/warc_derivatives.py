@@ -1,13 +1,18 @@
 """WARC derivatives: from each response record a metadata record and a plain-text conversion record that refer to it.
 
-Records are rows: ``record_id, type, target_uri, date, refers_to, content_type, headers, block`` and the digests of the block and
-of its payload. ``responses`` makes response records of fetched pages, ``derive`` the two derivatives of each, ``warc_text`` the
+Records are rows: ``record_id, type, target_uri, date, refers_to, content_type, block`` and the digests of the block and of its
+payload. Records that were read also have ``headers`` (their WARC header lines as they stand), ``raw`` (the block's bytes) and the
+digests that they recorded; with ``raw``, lengths and digests are those of the bytes, and ``block`` is the text, its body decoded by
+the charset of its content type. ``responses`` makes response records of fetched pages, ``derive`` the two derivatives of each, ``warc_text`` the
 record as it stands in a WARC 1.1 file, ``write_warc`` and ``read_warc`` files of such records. Everything but parsing files is
 column expressions: rows stay where they are, there is no shuffle.
 
 A response's block is an HTTP message; its payload is what follows the first empty line. A derivative has its response's target
 URI and date, ``WARC-Refers-To`` with the response's id, ``-Target-URI`` and ``-Date``, and in its own fields the source's content
-type, length and payload digest, so the chain can be checked without the source. Ids are name-based and thus equal on every run.
+type, length and digests, so the chain can be checked without the source. Its metadata block also has the response's WARC headers
+(``source-warc-header``) and, line by line, the status line and headers of the HTTP message (``source-http-header``). These are
+left out for a message whose head is just ``HTTP/1.1 200 OK``, the content type and the content length, as the other fields say it
+all, which holds for those that ``responses`` makes. Ids are name-based and thus equal on every run.
 
 Plain text is the payload of an HTML response without comments, scripts, styles and tags, with a line for each block element, the
 usual character references resolved, and white space of a line made single.
@@ -19,6 +24,9 @@ records. Other columns are ignored.
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -75,6 +83,17 @@ def http_header(block: Column, name: str) -> Column:
     return F.regexp_extract(head, rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)", 1)
 
 
+def raw_payload(raw: Column) -> Column:
+    """The payload's bytes. ISO 8859-1 has a character for each byte, so places in it are places in the bytes."""
+    return F.encode(http_payload(F.decode(raw, "ISO-8859-1")), "ISO-8859-1")
+
+
+def header_fields(lines: Column, name: str) -> Column:
+    """A field for each line of a head, NULL without any. A folded line stays with its own, a line of its field."""
+    some = F.filter(F.split(lines, r"\r\n"), lambda x: x != "")
+    return F.when(F.size(some) > 0, F.array_join(F.transform(some, lambda x: F.concat(F.lit(f"{name}: "), x)), CRLF))
+
+
 def plain_text(html: Column) -> Column:
     text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     for tag in DROPPED_TAGS:
@@ -90,6 +109,9 @@ def plain_text(html: Column) -> Column:
 
 def derive(records: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Metadata and conversion records of the response records; ``carry`` names further columns to keep."""
+    read = "raw" in records.columns
+    whole = F.col("raw") if read else F.col("block")
+    body = raw_payload(F.col("raw")) if read else http_payload(F.col("block"))
     source = records.where(F.col("type") == "response").select(
         *carry,
         F.col("record_id").alias("source_id"),
@@ -97,9 +119,15 @@ def derive(records: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         "date",
         http_header(F.col("block"), "Content-Type").alias("source_type"),
         http_payload(F.col("block")).alias("payload"),
-        sha256(F.col("block")).alias("source_block"),
+        F.substring_index("block", CRLF + CRLF, 1).alias("head"),
+        (F.col("headers") if "headers" in records.columns else F.lit(None).cast("string")).alias("warc_head"),
+        *((F.col(c) if c in records.columns else F.lit(None).cast("string")).alias(f"recorded_{c}") for c in ("block_digest", "payload_digest")),
+        body.alias("body"),
+        sha256(whole).alias("source_block"),
     )
-    source = source.withColumn("source_payload", sha256(F.col("payload"))).withColumn("source_length", F.octet_length("payload"))
+    source = source.withColumn("source_payload", sha256(F.col("body"))).withColumn("source_length", F.octet_length("body"))
+    length = F.col("source_length").cast("string")
+    plain = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: "), "source_type", F.lit(f"{CRLF}Content-Length: "), length)
     is_text = F.col("source_type").rlike(r"(?i)^(text/|application/xhtml)")
     text = F.when(F.col("source_type").rlike(r"(?i)html"), plain_text(F.col("payload"))).otherwise(F.col("payload"))
     fields = F.concat_ws(
@@ -108,6 +136,10 @@ def derive(records: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         F.concat(F.lit("source-payload-length: "), F.col("source_length").cast("string")),
         F.concat(F.lit("source-payload-digest: "), "source_payload"),
         F.concat(F.lit("source-block-digest: "), "source_block"),
+        F.concat(F.lit("source-recorded-block-digest: "), "recorded_block_digest"),
+        F.concat(F.lit("source-recorded-payload-digest: "), "recorded_payload_digest"),
+        header_fields(F.col("warc_head"), "source-warc-header"),
+        F.when(F.col("head") != plain, header_fields(F.col("head"), "source-http-header")),
     )
     made = F.array(
         F.struct(F.lit("metadata").alias("type"), F.lit("application/warc-fields").alias("content_type"), F.concat(fields, F.lit(CRLF)).alias("block")),
@@ -129,46 +161,72 @@ def derive(records: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def warc_text() -> Column:
-    """The record as in a file, without the two line ends that close it."""
+def warc_text(columns: list[str]) -> Column:
+    """The record as in a file, without the two line ends that close it. A record that was read has its bytes and its headers."""
+    read = "raw" in columns
+    block = F.col("raw") if read else F.col("block")
+    body = raw_payload(block) if read else http_payload(block)
+    payload = F.when(F.col("type") == "response", sha256(body)).when(F.col("type") == "conversion", sha256(block))
+    source = F.col("source_payload_digest") if "source_payload_digest" in columns else F.lit(None).cast("string")
+    optional = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     derived = F.when(
         F.col("refers_to").isNotNull(),
         F.concat(line("WARC-Refers-To", F.col("refers_to")), line("WARC-Refers-To-Target-URI", F.col("target_uri")), line("WARC-Refers-To-Date", F.col("date"))),
     ).otherwise("")
-    return F.concat(
+    made = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", F.col("type")),
         line("WARC-Record-ID", F.col("record_id")),
         line("WARC-Target-URI", F.regexp_replace("target_uri", r"[\r\n]", "")),
         line("WARC-Date", F.col("date")),
         derived,
-        line("WARC-Block-Digest", sha256(F.col("block"))),
+        line("WARC-Block-Digest", sha256(block)),
+        optional("WARC-Payload-Digest", payload),
+        optional("WARC-Source-Payload-Digest", source),
         line("Content-Type", F.col("content_type")),
-        line("Content-Length", F.octet_length("block").cast("string")),
-        F.lit(CRLF),
-        F.col("block"),
+        line("Content-Length", F.octet_length(block).cast("string")),
     )
+    if "headers" in columns:
+        made = F.coalesce(F.concat(F.lit(f"WARC/1.1{CRLF}"), F.col("headers")), made)
+    # A cast of bytes to text leaves them as they are.
+    return F.concat(made, F.lit(CRLF), block.cast("string"))
 
 
 def write_warc(records: DataFrame, folder: str) -> None:
     """Files of whole records. Spark's text sink closes each record with the two line ends that the format asks for."""
     if "refers_to" not in records.columns:
         records = records.withColumn("refers_to", F.lit(None).cast("string"))
-    records.select(warc_text().alias("value")).write.option("lineSep", CRLF + CRLF).text(folder)
+    records.select(warc_text(records.columns).alias("value")).write.option("lineSep", CRLF + CRLF).text(folder)
+
+
+READ_SCHEMA = (
+    "record_id string, type string, target_uri string, date string, refers_to string, content_type string, block string, "
+    "raw binary, headers string, block_digest string, payload_digest string, source_payload_digest string"
+)
+#: The header of each column that is one.
+READ_HEADERS = {
+    "record_id": "warc-record-id", "type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to",
+    "content_type": "content-type", "block_digest": "warc-block-digest", "payload_digest": "warc-payload-digest",
+    "source_payload_digest": "warc-source-payload-digest",
+}
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of uncompressed WARC files below ``folder``; a file has to fit into a task, 2 GB at most. Raises on a damaged file."""
+    """Records of uncompressed WARC files below ``folder``; a file has to fit into a task, 2 GB at most. Raises on a damaged file.
+
+    A file is damaged too if a block's bytes or a response's payload do not have the digest that the record states. Digests of
+    unknown algorithms, and of payloads under a transfer encoding, about which tools differ, are kept but not compared.
+    """
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
+    columns = [x.split()[0] for x in READ_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows = list(_records(path, content))
-                yield pd.DataFrame(rows, columns=["record_id", "type", "target_uri", "date", "refers_to", "content_type", "block"])
+                yield pd.DataFrame(list(_records(path, content)), columns=columns)
 
-    return files.mapInPandas(run, "record_id string, type string, target_uri string, date string, refers_to string, content_type string, block string")
+    return files.mapInPandas(run, READ_SCHEMA)
 
 
 def _records(path: str, content: bytes) -> Iterator[tuple]:
@@ -183,11 +241,37 @@ def _records(path: str, content: bytes) -> Iterator[tuple]:
         stop = start + int(head["content-length"])
         if content[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} of {path} does not end where it says")
-        names = ("warc-record-id", "warc-type", "warc-target-uri", "warc-date", "warc-refers-to", "content-type")
-        yield (*map(head.get, names), content[start:stop].decode("utf-8", "replace"))
+        raw = content[start:stop]
+        http, gap, body = raw.partition(b"\r\n\r\n") if head.get("warc-type") == "response" else (b"", b"", raw)
+        _compare(head.get("warc-block-digest"), raw, f"block of the record at byte {at} of {path}")
+        if gap and not re.search(rb"(?im)^transfer-encoding:", http):
+            _compare(head.get("warc-payload-digest"), body, f"payload of the record at byte {at} of {path}")
+        typed = re.search(rb"(?im)^content-type:[^\r\n]*", http) if gap else None
+        text = http.decode("utf-8", "replace") + gap.decode() + _decoded(body, typed[0].decode("latin-1") if typed else head.get("content-type", ""))
+        named = {k: head.get(v) for k, v in READ_HEADERS.items()}
+        yield (*(named[k] for k in list(READ_HEADERS)[:6]), text, raw, "".join(x + CRLF for x in lines), *(named[k] for k in list(READ_HEADERS)[6:]))
         at = stop + 4
 
 
+def _compare(stated: str | None, data: bytes, what: str) -> None:
+    """Raise if a digest in hexadecimal or base 32 is not that of the bytes."""
+    name, _, value = (stated or "").partition(":")
+    name = name.lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return
+    digest = hashlib.new(name, data).digest()
+    if value.lower() != digest.hex() and value.upper().rstrip("=") != base64.b32encode(digest).decode().rstrip("="):
+        raise ValueError(f"the {what} does not have its digest")
+
+
+def _decoded(body: bytes, content_type: str) -> str:
+    charset = re.search(r"(?i)charset\s*=\s*[\"']?([\w.:-]+)", content_type)
+    try:
+        return body.decode(charset[1] if charset else "utf-8", "replace")
+    except (LookupError, ValueError):
+        return body.decode("utf-8", "replace")
+
+
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(responses(read_table(spark, sf_dir, "pages")), carry=("page_id",))
 

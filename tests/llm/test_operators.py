@@ -206,6 +206,37 @@ def test_other_content_types_get_metadata_only(spark):
     )
 
 
+def test_headers_digests_and_bytes_of_a_read_response(spark, tmp_path):
+    import hashlib
+
+    http = ["HTTP/1.1 404 Not Found", "Last-Modified: Mon, 01 Jan 2024 00:00:00 GMT", "Content-Language: fr", "Set-Cookie: a=1", "Set-Cookie: b=2",
+            "Content-Type: text/html; charset=iso-8859-1"]
+    body = "<p>d\xe9j\xe0 vu</p>".encode("latin-1")
+    block = "\r\n".join(http).encode() + b"\r\n\r\n" + body
+    sha = lambda b: "sha256:" + hashlib.sha256(b).hexdigest()
+    head = ["WARC-Type: response", "WARC-Record-ID: <urn:x>", "WARC-Target-URI: http://a/", "WARC-Date: 2024-01-01T00:00:00Z", "WARC-IP-Address: 192.0.2.1",
+            f"WARC-Block-Digest: {sha(block)}", f"WARC-Payload-Digest: {sha(body)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    content = ("WARC/1.1\r\n" + "\r\n".join(head)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/x.warc").write_bytes(content)
+    back = warc_derivatives.read_warc(spark, f"{tmp_path}/in")
+    warc_derivatives.write_warc(back, f"{tmp_path}/copy")
+    assert [p.read_bytes() for p in (tmp_path / "copy").glob("part-*") if p.stat().st_size] == [content]
+    derived = warc_derivatives.derive(back)
+    warc_derivatives.write_warc(derived, f"{tmp_path}/out")
+    out = {r["type"]: r for r in warc_derivatives.read_warc(spark, f"{tmp_path}/out").collect()}
+    lines = out["metadata"]["block"].split("\r\n")
+    assert [x.removeprefix("source-http-header: ") for x in lines if x.startswith("source-http-header: ")] == http
+    assert [x.removeprefix("source-warc-header: ") for x in lines if x.startswith("source-warc-header: ")] == head
+    assert {f"source-payload-digest: {sha(body)}", f"source-block-digest: {sha(block)}", f"source-payload-length: {len(body)}"} <= {*lines}
+    assert f"source-recorded-payload-digest: {sha(body)}" in lines
+    assert out["conversion"]["block"] == "d\xe9j\xe0 vu" and out["conversion"]["source_payload_digest"] == sha(body)
+    assert out["conversion"]["payload_digest"] == sha("d\xe9j\xe0 vu".encode())
+    for old, new in ((body, body.replace(b"vu", b"vv")), (sha(body).encode(), sha(b"").encode())):
+        with pytest.raises(ValueError, match="does not have its digest"):
+            list(warc_derivatives._records("x", content.replace(old, new)))
+
+
 # 6: string kernel
 
 
