@@ -14,6 +14,9 @@ from epilimnia.llm import (
     compression_classifier,
     dart_minhash,
     digest_index,
+    multi_index,
+    phrases,
+    prefix_trie,
     range_coder,
     robust_outliers,
     string_kernel,
@@ -36,7 +39,10 @@ QUERIES = {
     "op8_dart_minhash": dart_minhash.op8_dart_minhash,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_range_coder": range_coder.op10_range_coder,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_multi_index": multi_index.op12_multi_index,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 #: SQL with the same rows, where SQL can state them.
-SQL = {**digest_index.ORACLE, **url_rules.ORACLE, **warc_derivatives.ORACLE}
+SQL = {**digest_index.ORACLE, **phrases.ORACLE, **prefix_trie.ORACLE, **url_rules.ORACLE, **warc_derivatives.ORACLE}

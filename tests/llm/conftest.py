@@ -34,23 +34,63 @@ PAGES = [
     (7, "http://notexample.com/en/", "<br>" * 3),
     (8, "http://example.com?/en/", "x" * 200_000),
 ]
+CONVERSATIONS = [
+    (0, 1, "user", "hello there"),
+    (0, None, "system", None),
+    (0, 2, None, "and so on"),
+    (0, 2, None, "and so on"),
+    (3, 1, "user", "hello there"),
+    (3, 2, "assistant", "x" * 100_000),
+    (7, 1, "user", ""),
+    (105, None, None, None),
+    (203, 1, "user", "\x00 é 😀"),
+    (203, 2, "user", "b"),
+    (203, 2, "user", "a"),
+    (-5, 1, "user", "hello there"),
+    (-5, 2, "user", "more"),
+    (None, 1, "user", "nobody"),
+    (2_000_000_000_000, 1, "user", "hello there"),
+]
+VECTORS = [
+    (0, [1.0, 0.0, 2.0]),
+    (0, [1.0, 0.0, 2.0]),
+    (1, [1.0, 0.0, 2.0]),
+    (20, [0.5, -1.0, 0.0]),
+    (20, [0.25, -1.0, 0.0]),
+    (40, None),
+    (60, [0.0, 0.0, 0.0]),
+    (80, [1.0, None, 2.0]),
+    (100, [float("nan"), 1.0, 1.0]),
+    (120, [float("inf"), 1.0, 1.0]),
+    (None, [1.0, 1.0, 1.0]),
+    (140, [1.0, 2.0]),
+    (160, []),
+    (-20, [-1.0, 0.0, -2.0]),
+    *[(1000 + i, [3.0, 0.0, 0.0]) for i in range(30)],
+]
 
 
-def write(spark, folder, docs, labels, pages):
+def write(spark, folder, docs, labels, pages, conversations, vectors):
     spark.createDataFrame(
         [(i, t, la, s, len(t or ""), 1, 2, 0.5, 3, 4, 5, True, None) for i, t, la, s in docs],
         f"doc_id long, text string, lang string, source string, n_chars long, {CLASHES}",
     ).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, block int").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([(*c, 1, "x") for c in conversations], "conv_id long, turn long, role string, text string, id int, row string").write.parquet(
+        f"{folder}/conversations.parquet"
+    )
+    spark.createDataFrame([(*v, 1, 2, 0.5) for v in vectors], "vec_id long, embedding array<float>, label int, cell int, score double").write.parquet(
+        f"{folder}/embeddings.parquet"
+    )
     return folder
 
 
 @pytest.fixture(scope="session")
 def odd(spark, tmp_path_factory):
-    return write(spark, str(tmp_path_factory.mktemp("odd")), DOCS, LABELS, PAGES)
+    return write(spark, str(tmp_path_factory.mktemp("odd")), DOCS, LABELS, PAGES, CONVERSATIONS, VECTORS)
 
 
 @pytest.fixture(scope="session")
 def empty(spark, tmp_path_factory):
-    return write(spark, str(tmp_path_factory.mktemp("empty")), [], [], [])
+    return write(spark, str(tmp_path_factory.mktemp("empty")), [], [], [], [], [])
