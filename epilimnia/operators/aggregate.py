@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import strict_avg, strict_max, strict_sum
 from ..functions.scalars import half_even, ratio
-from .joins import join_on
-from .scan import running_sums
+from .keyed import join_on
 
 
 def daily_mean(
@@ -50,30 +51,59 @@ def mean_reps(df: DataFrame, keys: Sequence[str], names: Sequence[str], strict:
     return df.groupBy(*keys).agg(*[(strict_avg(c) if c in strict else F.avg(c)).alias(c) for c in names])
 
 
+#: Steps of a value's bucket for each doubling of its size.
+_STEPS = 1 << 16
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: dict[str, float]) -> DataFrame:
-    """Exact quantiles by linear interpolation between order statistics, one column per entry.
+    """Exact quantiles by linear interpolation between order statistics, one column per entry."""
+    return exact_quantiles_of(df, keys, {col: probs})
+
 
-    Values are counted, ranked with a running sum in chunks of their magnitude, and picked by rank; a
-    built-in percentile would buffer a group's distinct values in one task.
+def exact_quantiles_of(df: DataFrame, keys: Sequence[str], wanted: dict[str, dict[str, float]]) -> DataFrame:
+    """Exact quantiles of several columns: ``wanted`` gives result name and share for each column.
+
+    Radix selection: all columns in one pass are counted by the leading bits of their values, a running sum over the counts (as
+    many as a group's values have leading bits, not rows) finds the bucket of each wanted rank, and only the values of those
+    buckets, equal to five digits, are counted and ranked in a second pass. NULLs are left out, infinite values keep their
+    order, and NaN counts as the largest value.
     """
-    values = df.where(F.col(col).isNotNull()).select(*keys, col)
-    counts = values.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = running_sums(counts, keys, [col], {"__to": F.col("__n")})
-    sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("__size"))
-    ranked = join_on(ranked, sizes, keys, "left").withColumn("__from", F.col("__to") - F.col("__n"))
+    cells = [F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(wanted)]
+    values = df.select(*keys, F.explode(F.array(*cells)).alias("__x")).select(*keys, F.col("__x.c").alias("__c"), F.col("__x.v").alias("__v"))
+    v = F.col("__v")
+    bucket = F.when(F.isnan(v), F.lit(1e19)).otherwise(F.signum(v) * F.floor(F.log2(1 + F.abs(v)) * _STEPS))
+    values = values.where(v.isNotNull()).withColumn("__b", bucket)
+    groups = [*keys, "__c"]
+
+    def ranked(counts: DataFrame, within: Sequence[str], by: str, before: Column) -> DataFrame:
+        upto = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return counts.withColumn("__to", F.sum("__n").over(upto) + before).withColumn("__from", F.col("__to") - F.col("__n"))
+
+    def at(p: float) -> Column:
+        return F.lit(p) * (F.col("__size") - 1)
+
+    def holds(rank: Column) -> Column:
+        return (F.col("__from") <= rank) & (rank < F.col("__to"))
+
+    names = [(i, name, p) for i, probs in enumerate(wanted.values()) for name, p in probs.items()]
+    counts = values.groupBy(*groups, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    sized = ranked(counts, groups, "__b", F.lit(0)).withColumn("__size", F.sum("__n").over(Window.partitionBy(*groups)))
+    needed = [(F.col("__c") == i) & (holds(F.floor(at(p))) | holds(F.ceil(at(p)))) for i, _, p in names]
+    targets = sized.where(reduce(or_, needed)).select(*groups, "__b", "__size", F.col("__from").alias("__before"))
+    inside = join_on(values, targets, [*groups, "__b"], "inner")
+    exact = inside.groupBy(*groups, "__b", "__v").agg(F.count(F.lit(1)).alias("__n"), F.max("__size").alias("__size"), F.max("__before").alias("__before"))
+    exact = ranked(exact, [*groups, "__b"], "__v", F.col("__before"))
     picks, out = [], []
-    for name, p in probs.items():
-        at = F.lit(p) * (F.col("__size") - 1)
-        lo, hi = F.floor(at), F.ceil(at)
-        holds = lambda r: (F.col("__from") <= r) & (r < F.col("__to"))
+    for i, name, p in names:
+        own = F.col("__c") == i
         picks += [
-            F.max(F.when(holds(lo), F.col(col))).alias(f"__lo_{name}"),
-            F.max(F.when(holds(hi), F.col(col))).alias(f"__hi_{name}"),
-            F.max(at - lo).alias(f"__w_{name}"),
+            F.max(F.when(own & holds(F.floor(at(p))), v)).alias(f"__lo_{name}"),
+            F.max(F.when(own & holds(F.ceil(at(p))), v)).alias(f"__hi_{name}"),
+            F.max(F.when(own, at(p) - F.floor(at(p)))).alias(f"__w_{name}"),
         ]
         low, high, w = F.col(f"__lo_{name}"), F.col(f"__hi_{name}"), F.col(f"__w_{name}")
-        out.append((low * (1 - w) + high * w).alias(name))
-    return ranked.groupBy(*keys).agg(*picks).select(*keys, *out)
+        out.append(F.when(low == high, low).otherwise(low * (1 - w) + high * w).alias(name))
+    return exact.groupBy(*keys).agg(*picks).select(*keys, *out)
 
 
 def summarise_stats(
@@ -90,11 +120,9 @@ def summarise_stats(
             half_even(F.min(c), digits).alias(f"Min{s}"),
             half_even(F.max(c), digits).alias(f"Max{s}"),
         ]
-    out = df.groupBy(*keys).agg(*aggs)
-    for c, s in names.items():
-        median = exact_quantiles(df, keys, c, {f"Median{s}": 0.5})
-        out = join_on(out, median, keys, "left").withColumn(f"Median{s}", half_even(f"Median{s}", digits))
-    return out
+    medians = exact_quantiles_of(df, keys, {c: {f"Median{s}": 0.5} for c, s in names.items()})
+    out = join_on(df.groupBy(*keys).agg(*aggs), medians, keys, "left")
+    return out.withColumns({f"Median{s}": half_even(f"Median{s}", digits) for s in names.values()})
 
 
 def season_summary(

@@ -8,24 +8,11 @@ AQE splits a hot key on the row side.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_RIGHT = "__r_"
-
-
-def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi join where NULL keys match each other; the left key columns are kept.
-
-    ``how``: inner, left, left_semi or left_anti.
-    """
-    right = right.withColumnsRenamed({k: _RIGHT + k for k in on})
-    condition = reduce(and_, [F.col(k).eqNullSafe(F.col(_RIGHT + k)) for k in on])
-    return left.join(right, condition, how).drop(*[_RIGHT + k for k in on])
-
+from .keyed import join_on
+from .scan import running_sums
 
 def shared_columns(a: DataFrame, b: DataFrame) -> list[str]:
     return [c for c in a.columns if c in b.columns]
@@ -155,6 +142,37 @@ def within_windows(
     return _with_cover(df, windows, time, keys, start, end).where("__hit").drop("__hit")
 
 
+def open_intervals(
+    df: DataFrame, intervals: DataFrame, time: str, keys: Sequence[str], start: str, end: str, out: str = "open"
+) -> DataFrame:
+    """Number of intervals of its key that hold each row's time, both ends included, at the resolution of the times.
+
+    One ordered scan over starts, rows and ends together counts what is open, so long, many or overlapping intervals and
+    hot keys cost no range join, and every row comes back once. NULL times and ends and reversed intervals hold nothing.
+    """
+    valid = intervals.where(F.col(start) <= F.col(end))
+    mark = lambda at, kind, step: [*keys, F.col(at).alias("__at"), F.lit(kind).alias("__kind"), F.lit(step).alias("__step")]
+    rows = df.select(*mark(time, 1, 0), F.struct(*df.columns).alias("__row"))
+    marks = valid.select(*mark(start, 0, 1)).unionAll(valid.select(*mark(end, 2, -1)))
+    swept = running_sums(rows.unionByName(marks, allowMissingColumns=True), keys, ["__at", "__kind"], {"__open": F.col("__step").cast("long")}, strict=False)
+    held = F.when(F.col("__at").isNull(), F.lit(0).cast("long")).otherwise(F.col("__open"))
+    return swept.where("__kind = 1").withColumn("__open", held).select("__row.*", F.col("__open").alias(out))
+
+
+def tag_intervals_at(
+    df: DataFrame, intervals: DataFrame, time: str, keys: Sequence[str], start: str, end: str, out: str = "state",
+    on: str = "On", off: str = "Off",
+) -> DataFrame:
+    """``tag_intervals`` for intervals that begin and end within a day."""
+    tagged = open_intervals(df, intervals, time, keys, start, end, "__held")
+    return tagged.withColumn(out, F.when(F.col("__held") > 0, F.lit(on)).otherwise(F.lit(off))).drop("__held")
+
+
+def within_intervals(df: DataFrame, intervals: DataFrame, time: str, keys: Sequence[str], start: str, end: str) -> DataFrame:
+    """Rows whose time lies in an interval of their key."""
+    return open_intervals(df, intervals, time, keys, start, end, "__held").where("__held > 0").drop("__held")
+
+
 def phase_of(
     df: DataFrame,
     events: DataFrame,

@@ -1,13 +1,16 @@
 """Ordered scans over series of any length.
 
-A window over ``keys`` puts a whole series into one task. So a series is cut into chunks by a fixed bucket
-of its order, the calendar month for dates and times: the window runs inside a chunk, a small per-chunk
-summary carries state across chunk edges, and both are joined back. The plan is the same for every size
-and nothing has to be counted, sampled or written for it.
-
-``chunk`` gives another bucket; it must never fall while the order rises. Numbers are cut by magnitude
-unless the caller knows better. ``bounded=True`` says that the series are short by construction (for
-instance one row per site and day of a year) and stay whole.
+A window over ``keys`` puts a whole series into one task. So a series is cut into chunks: the window runs inside a chunk, a small
+per-chunk summary carries state across chunk edges, and both are joined back.
+
+Chunks are planned from counts. One aggregate counts the rows of each key and fine bucket of the order (an hour, a day, the leading bits
+of a number); a running sum over those counts cuts chunks of at most ``CHUNK_ROWS`` rows, whatever the order's values are. The number of
+buckets of a key is bounded by its range, not by its rows, so the running sum itself is short. The plan is the same for every size. Only rows
+that share a bucket can't be parted: more than half of ``CHUNK_ROWS`` rows of one hour, of numbers that agree to 5 digits, or of one
+day whose second order column, if it has one, agrees to 2 digits.
+
+``chunk`` gives another cut; it must never fall while the order rises. ``bounded=True`` says that the series are short by
+construction (for instance one row per site and day of a year) and stay whole.
 """
 
 from __future__ import annotations
@@ -20,9 +23,12 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
-from .joins import join_on
+from .keyed import join_on
 
-_MONTH_MICROS = 30 * 86_400 * 1_000_000
+CHUNK_ROWS = 500_000
+_HOUR_MICROS = 3_600 * 1_000_000
+#: Steps of a number's bucket for each doubling of its size.
+_FINE, _COARSE = 1 << 14, 32
 _CHUNK = "__chunk"
 
 
@@ -70,19 +76,44 @@ class Series:
         return df.drop(_CHUNK, *temporary)
 
 
+def _leading(c: Column, steps: int) -> Column:
+    return F.signum(c) * F.floor(F.log2(1 + F.abs(c.cast("double"))) * steps)
+
+
 def order_bucket(df: DataFrame, order: Sequence[Column]) -> Column:
-    """Default chunk: the month of a date or time, the magnitude of a number in steps of about one percent."""
+    """Fine bucket of the first order column: the day of a date, the hour of a time, the leading bits of a number."""
     first = order[0]
     kind = df.select(first).schema[0].dataType
-    if isinstance(kind, (DateType, TimestampNTZType)):
-        return F.trunc(first.cast("date"), "month")
+    if isinstance(kind, DateType):
+        return F.unix_date(first)
+    if isinstance(kind, TimestampNTZType):
+        return F.unix_date(first.cast("date")) * 24 + F.hour(first)
     if isinstance(kind, TimestampType):  # free of the session's zone, whose clocks may go back
-        return F.floor(F.unix_micros(first) / _MONTH_MICROS)
+        return F.floor(F.unix_micros(first) / _HOUR_MICROS)
     if isinstance(kind, NumericType):
-        return F.signum(first) * F.floor(F.log2(1 + F.abs(first.cast("double"))) * 64)
+        return _leading(first, _FINE)
     raise ValueError(f"give a chunk for an order of {kind.simpleString()}, or declare the series bounded")
 
 
+def _within_day(df: DataFrame, order: Sequence[Column]) -> Column:
+    """Bucket of the second order column, for rows of one date."""
+    kinds = [f.dataType for f in df.select(*[c.alias(f"c{i}") for i, c in enumerate(order[:2])]).schema]
+    if len(kinds) == 2 and isinstance(kinds[0], DateType) and isinstance(kinds[1], NumericType):
+        return _leading(order[1], _COARSE)
+    return F.lit(0)
+
+
+def planned_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """All rows with the number of their chunk."""
+    buckets = ["__bucket", "__part"]
+    rows = df.withColumns({"__bucket": order_bucket(df, order), "__part": _within_day(df, order)})
+    counts = rows.groupBy(*keys, *buckets).agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # a bucket that crosses a mark is in the chunk behind it, so a chunk holds half of CHUNK_ROWS and one bucket at most
+    cuts = counts.withColumn("__upto", upto).select(*keys, *buckets, F.expr(f"(__upto - 1) div {max(1, CHUNK_ROWS // 2)}").alias(_CHUNK))
+    return join_on(rows, cuts, [*keys, *buckets], "inner").drop(*buckets)
+
+
 def series(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bounded: bool = False, chunk: Column | None = None
 ) -> Series:
@@ -90,8 +121,8 @@ def series(
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
     if bounded:
         return Series(df, list(keys), cols, False)
-    bucket = order_bucket(df, cols) if chunk is None else chunk
-    return Series(df.withColumn(_CHUNK, bucket), list(keys), cols, True)
+    rows = planned_chunks(df, keys, cols) if chunk is None else df.withColumn(_CHUNK, chunk)
+    return Series(rows, list(keys), cols, True)
 
 
 def running_sums(
