@@ -1,4 +1,4 @@
 """Queries over the given tables, each with the SQL that states the expected result."""
 
-from . import domain, relational, series  # noqa: F401  (registration)
+from . import detail, domain, relational, series  # noqa: F401  (registration)
 from .base import REGISTRY  # noqa: F401

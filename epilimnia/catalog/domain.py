@@ -28,7 +28,7 @@ from ..session import ensure_checkpoint_dir, literal_table
 from ..sources import tables as IO
 from ..sources.tables import read_table, write_table
 from ..streaming.daily import daily_mean_stream as stream_op
-from ..streaming.daily import run_available, with_open_days
+from ..streaming.daily import current_rows, run_updates
 from .base import Tables, query, r, rounded
 from .relational import MISSING
 from .series import FIT_SQL, P_SQL, rho_sql
@@ -122,7 +122,7 @@ def treatment_onset(t: Tables) -> DataFrame:
 @query(f"""SELECT CAST(row_number() OVER (ORDER BY Reservoir, HOxOn, HOxOff, o_orderkey) AS BIGINT) AS g, o_orderkey FROM (
  SELECT {site_sql('o_custkey')} AS Reservoir, CAST(o_orderdate AS DATE) AS HOxOn, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 30 AS INT) AS HOxOff, o_orderkey FROM orders)""")
 def row_ids(t: Tables) -> DataFrame:
-    return positions(intervals(t), [], ["Reservoir", "HOxOn", "HOxOff", "o_orderkey"], "g", chunk=F.struct("Reservoir", F.trunc("HOxOn", "month"))).select("g", "o_orderkey")
+    return positions(intervals(t), [], ["Reservoir", "HOxOn", "HOxOff", "o_orderkey"], "g").select("g", "o_orderkey")
 
 
 STATE_INTERVALS_SQL = f"""SELECT Reservoir, CAST(date_trunc('quarter', HOxOn) AS DATE) + k AS HOxOn, CAST(date_trunc('quarter', HOxOn) AS DATE) + k + n AS HOxOff FROM (
@@ -657,7 +657,7 @@ def heatmap_grid(t: Tables) -> DataFrame:
     return rounded(W.heatmap_grid(merged(t), ["Temp_C", "DO_mgL"]), "z", "z_shown")
 
 
-LOGGERS = (("view", "FCR", "9"), ("click", "BVR", "13"), ("error", "BVR", "10"))
+LOGGERS = (("view", "FCR", "9"), ("click", "BVR", "13"), ("error", "BVR", "10"), ("purchase", "FCR", "1.6"), ("signup", "BVR", "1.5"))
 
 
 @query(" UNION ALL ".join(
@@ -707,7 +707,7 @@ def weather_daily(t: Tables) -> DataFrame:
  d AS (SELECT site, event_type, day, count(*) AS n, avg(value) AS m FROM v GROUP BY ALL)
 SELECT site, event_type, day, CASE WHEN n >= 30 THEN round(m, 6) END AS value FROM d""")
 def daily_mean_stream(t: Tables) -> DataFrame:
-    """Gated daily mean as a stream over the events file; days still open at the end are closed by a batch pass."""
+    """Gated daily mean as a stream over the events file, open days included."""
     base = ensure_checkpoint_dir(t.spark)
     schema = t("events").schema
     source = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
@@ -717,6 +717,6 @@ def daily_mean_stream(t: Tables) -> DataFrame:
     )
     rows = source.select(*columns)
     out = f"{base}/stream-{uuid.uuid4().hex}"
-    run_available(stream_op(rows, ["site", "event_type"], "ts", "value", "2 hours", 30, "day"), f"{out}/rows", f"{out}/state")
-    closed = t.spark.read.schema("site int, event_type string, day date, value double").parquet(f"{out}/rows")
-    return rounded(with_open_days(closed, t("events").select(*columns), ["site", "event_type"], "ts", "value", 30, "day"), "value")
+    run_updates(stream_op(rows, ["site", "event_type"], "ts", "value", "2 hours", 30, "day"), f"{out}/rows", f"{out}/state")
+    daily = current_rows(t.spark, f"{out}/rows", "site int, event_type string, day date, value double", ["site", "event_type", "day"])
+    return rounded(daily, "value")

@@ -110,8 +110,8 @@ def fill_gaps_hourly(t: Tables) -> DataFrame:
 SELECT user_id, CAST(coalesce(max(CASE WHEN m THEN n END), 0) AS BIGINT) AS longest_null_run,
  CAST(count(CASE WHEN NOT m THEN 1 END) AS BIGINT) AS observed_runs FROM e GROUP BY ALL""")
 def null_run_stats(t: Tables) -> DataFrame:
-    # one row per user and hour: bounded by the calendar
-    return N.null_run_stats(hourly_filled(t), ["user_id"], ["h"], "v")
+    # a filled series has one row per hour, so a month bounds a chunk and nothing needs to be counted
+    return N.null_run_stats(hourly_filled(t), ["user_id"], ["h"], "v", chunk=F.trunc(F.col("h").cast("date"), "month"))
 
 
 @query(f"""{BRACKET_SQL} SELECT user_id, h,

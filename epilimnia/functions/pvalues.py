@@ -13,6 +13,7 @@ work per row never grows with the data.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column
@@ -55,3 +56,26 @@ def two_sided_p(t: Column, df: Column) -> Column:
     front = 2 / math.sqrt(math.pi) * _gamma_quotient(df / 2) / df
     p = F.least(front * F.exp(-df / 2 * log_base) * _integral(t, df, log_base), F.lit(1.0))
     return F.when((df < 1) | t.isNull() | df.isNull(), F.lit(None).cast("double")).when(t == math.inf, F.lit(0.0)).otherwise(p)
+
+
+_NEWTON = 16
+
+
+def t_quantile(level: float, df: Column) -> Column:
+    """The t beyond which both tails of a Student T hold ``1 - level``; NULL when undefined.
+
+    Newton steps on the logarithm of the tail over the logarithm of t, in which the tail is nearly a line for few degrees of
+    freedom and bends evenly for many; they start from the normal quantile, and their number is fixed.
+    """
+    tail, df = 1 - level, df.cast("double")
+    front = 2 / math.sqrt(math.pi) * _gamma_quotient(df / 2) / F.sqrt(df)  # twice the density at 0
+
+    def step(u: Column, _: Column) -> Column:
+        t = F.exp(u)
+        p = two_sided_p(t, df)
+        slope = front * F.exp(-(df + 1) / 2 * F.log1p(t * t / df)) * t / p
+        return u + F.least(F.log(p / tail) / slope, F.lit(4.0))
+
+    start = F.lit(math.log(NormalDist().inv_cdf(1 - tail / 2)))
+    found = F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(_NEWTON)), start, step))
+    return F.when(df >= 1, found)

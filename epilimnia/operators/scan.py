@@ -4,10 +4,10 @@ A window over ``keys`` puts a whole series into one task. So a series is cut int
 per-chunk summary carries state across chunk edges, and both are joined back.
 
 Chunks are planned from counts. One aggregate counts the rows of each key and fine bucket of the order (an hour, a day, the leading bits
-of a number); a running sum over those counts cuts chunks of at most ``CHUNK_ROWS`` rows, whatever the order's values are. The number of
+of a number beyond its key's least); a running sum over those counts cuts chunks of at most ``CHUNK_ROWS`` rows, whatever the order's values are. The number of
 buckets of a key is bounded by its range, not by its rows, so the running sum itself is short. The plan is the same for every size. Only rows
 that share a bucket can't be parted: more than half of ``CHUNK_ROWS`` rows of one hour, of numbers that agree to 5 digits, or of one
-day whose second order column, if it has one, agrees to 2 digits.
+day whose second order column, if it has one, agrees to 2 digits. Texts in front are names: the second column is cut within each.
 
 ``chunk`` gives another cut; it must never fall while the order rises. ``bounded=True`` says that the series are short by
 construction (for instance one row per site and day of a year) and stay whole.
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DataType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from .keyed import join_on
 
@@ -80,10 +80,10 @@ def _leading(c: Column, steps: int) -> Column:
     return F.signum(c) * F.floor(F.log2(1 + F.abs(c.cast("double"))) * steps)
 
 
-def order_bucket(df: DataFrame, order: Sequence[Column]) -> Column:
-    """Fine bucket of the first order column: the day of a date, the hour of a time, the leading bits of a number."""
+def order_bucket(df: DataFrame, order: Sequence[Column], base: Column | None = None) -> Column:
+    """Fine bucket of the first order column: the day of a date, the hour of a time, the leading bits of a number beyond ``base``."""
     first = order[0]
-    kind = df.select(first).schema[0].dataType
+    kind = _kinds(df, order)[0]
     if isinstance(kind, DateType):
         return F.unix_date(first)
     if isinstance(kind, TimestampNTZType):
@@ -91,22 +91,39 @@ def order_bucket(df: DataFrame, order: Sequence[Column]) -> Column:
     if isinstance(kind, TimestampType):  # free of the session's zone, whose clocks may go back
         return F.floor(F.unix_micros(first) / _HOUR_MICROS)
     if isinstance(kind, NumericType):
-        return _leading(first, _FINE)
+        return _leading(first if base is None else first - base, _FINE)
     raise ValueError(f"give a chunk for an order of {kind.simpleString()}, or declare the series bounded")
 
 
-def _within_day(df: DataFrame, order: Sequence[Column]) -> Column:
-    """Bucket of the second order column, for rows of one date."""
-    kinds = [f.dataType for f in df.select(*[c.alias(f"c{i}") for i, c in enumerate(order[:2])]).schema]
-    if len(kinds) == 2 and isinstance(kinds[0], DateType) and isinstance(kinds[1], NumericType):
-        return _leading(order[1], _COARSE)
-    return F.lit(0)
+def _kinds(df: DataFrame, order: Sequence[Column]) -> list[DataType]:
+    return [f.dataType for f in df.select(*[c.alias(f"c{i}") for i, c in enumerate(order[:2])]).schema]
+
+
+def _with_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[Column], names: Sequence[str]) -> DataFrame:
+    """Buckets of the first order column, and of the second one where rows of a bucket all have the same first value.
+
+    Numbers are taken beyond the least of their key, so that a series of large ids or times is cut as finely as one from zero.
+    """
+    kinds = _kinds(df, order)
+    text = isinstance(kinds[0], StringType) and len(kinds) > 1
+    cut = order[1:] if text else order
+    base = None
+    if isinstance(kinds[int(text)], NumericType):
+        df = join_on(df, df.groupBy(*keys).agg(F.min(cut[0]).alias("__base")), keys, "left")
+        base = F.col("__base")
+    if text:
+        pair = order[0], order_bucket(df, cut, base)
+    elif len(kinds) == 2 and isinstance(kinds[0], DateType) and isinstance(kinds[1], NumericType):
+        pair = order_bucket(df, order), _leading(order[1], _COARSE)
+    else:
+        pair = order_bucket(df, order, base), F.lit(0)
+    return df.withColumns(dict(zip(names, pair, strict=True))).drop("__base")
 
 
 def planned_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """All rows with the number of their chunk."""
     buckets = ["__bucket", "__part"]
-    rows = df.withColumns({"__bucket": order_bucket(df, order), "__part": _within_day(df, order)})
+    rows = _with_buckets(df, keys, order, buckets)
     counts = rows.groupBy(*keys, *buckets).agg(F.count(F.lit(1)).alias("__n"))
     upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # a bucket that crosses a mark is in the chunk behind it, so a chunk holds half of CHUNK_ROWS and one bucket at most

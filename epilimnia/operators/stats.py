@@ -8,10 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pvalues import two_sided_p
+from ..functions.pvalues import t_quantile, two_sided_p
 from ..functions.scalars import ratio
 from .aggregate import exact_quantiles
-from .joins import join_on
+from .keyed import join_on
 
 
 def linear_fit(
@@ -70,11 +70,12 @@ def linear_fit(
 
 
 def fit_line(
-    df: DataFrame, y: str, x: str, keys: Sequence[str], points: int = 80, quantile: float | None = None
+    df: DataFrame, y: str, x: str, keys: Sequence[str], points: int = 80, quantile: float | None = None, level: float | None = None
 ) -> DataFrame:
     """Fitted line on an even grid of ``points`` x values per group.
 
-    ``quantile``: the t quantile of the wanted confidence level, for a band ``low``..``high``.
+    ``level``: confidence level of a band ``low``..``high``, by each group's own t quantile; ``quantile`` gives one for all
+    groups instead. Groups of less than three points have no band.
     """
     group = [*keys, "__all"]
     df = df.withColumn("__all", F.lit(1))
@@ -87,13 +88,18 @@ def fit_line(
         F.regr_sxx(y, x).alias("__sxx"),
     )
     grid = join_on(fits, span, group, "inner")
+    if level is not None:  # it hangs on the degrees of freedom alone, so each of those is solved once
+        solved = fits.select("df").distinct().withColumn("__quantile", t_quantile(level, F.col("df")))
+        grid = join_on(grid, solved, ["df"], "left")
     i = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     grid = grid.withColumn("__i", i).withColumn(
         "x", F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__i") / (points - 1)
     )
     grid = grid.withColumn("fit", F.col("intercept") + F.col("slope") * F.col("x"))
     out = [*keys, "x", "fit"]
-    if quantile is not None:
+    if quantile is not None or level is not None:
+        if level is not None:
+            quantile = F.col("__quantile")
         off = F.col("x") - F.col("__mx")
         half = quantile * F.col("residual_error") * F.sqrt(1 / F.col("n") + ratio(off * off, F.col("__sxx")))
         grid = grid.withColumns({"low": F.col("fit") - half, "high": F.col("fit") + half})

@@ -85,11 +85,9 @@ def sample_days(rows: DataFrame, ref_year: int = 2001) -> DataFrame:
 def treatment_intervals(intervals: DataFrame) -> DataFrame:
     """Intervals with number, year and day-of-year columns.
 
-    The number follows site and dates. It is a row number inside a site and month plus the rows of those
-    before, so only the counts per site and month meet in one place.
+    The number follows site and dates. Only the counts per site and day meet in one place.
     """
-    chunk = F.struct(F.col("Reservoir"), F.trunc("HOxOn", "month"))
-    numbered = positions(intervals, [], ["Reservoir", "HOxOn", "HOxOff"], "Group", chunk=chunk)
+    numbered = positions(intervals, [], ["Reservoir", "HOxOn", "HOxOff"], "Group")
     return numbered.withColumns(
         {
             "Group": F.col("Group").cast("string"),

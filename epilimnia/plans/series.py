@@ -136,6 +136,12 @@ def merge_casts(
     return stack_strict(a, b).dropna()
 
 
+def turbidity_casts(profiler: DataFrame, limit: float = S.MAX_TURBIDITY) -> DataFrame:
+    """Profiler turbidity up to the sensor's limit; there are no handheld readings of it (K7)."""
+    names = ["Reservoir", "Site", "DateTime", "Depth_m", "Turbidity_NTU", "Date", "Year"]
+    return profiler.select(*names).dropna().where(F.col("Turbidity_NTU") <= limit)
+
+
 def cast_days(rows: DataFrame, ref_year: int = 2001) -> DataFrame:
     """First cast per site and day, with its overlay day (K7)."""
     first = first_per_key(rows.select("Reservoir", "Date", "DateTime", "Year"), ["Reservoir", "Date"], ["DateTime"])
@@ -153,7 +159,7 @@ def heatmap_grid(
     ids = ["Reservoir", "DateTime", "Depth_m"]
     long = to_long(rows.select(*ids, *variables), ids, "variable", "value").withColumn("Year", F.year("DateTime"))
     grid = grid_interpolate(
-        long, ["Reservoir", "Year", "variable"], "DateTime", "Depth_m", "value", dz, keep_empty=False
+        long, ["Reservoir", "Year", "variable"], "DateTime", "Depth_m", "value", dz, keep_empty=False, depth_range=S.DEPTH_RANGE
     ).where(F.col("y") > min_depth)
     shown = F.col("z")
     for name, (lo, hi) in limits.items():

@@ -6,6 +6,9 @@ calendar: a century of days is 36 525 rows. The readings themselves are only eve
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ from ..operators.aggregate import having_rows, profile_ends, slice_min
 from ..operators.fill import densify_daily
 from ..operators.reshape import to_wide
 from ..operators.runs import longest_run, profile_gradient, runs
-from ..operators.select import stack
+from ..operators.select import patch, stack
 
 
 def daily_stratification(profiles: DataFrame, density_diff: float = S.DENSITY_DIFF) -> DataFrame:
@@ -96,6 +99,15 @@ def buoyancy_daily(profiles: DataFrame) -> DataFrame:
     return layers.withColumn("n2", n2).groupBy("site_id", "datetime").agg(strict_max("n2").alias("bf"))
 
 
+def comparable_profiles(profiles: DataFrame, since: int = S.BUOYANCY_SINCE, wrong: list[dict] = S.WRONG_PROFILE_POINTS) -> DataFrame:
+    """Profiles of the compared years with known wrong readings set to NULL."""
+    rows = profiles.where(F.year("datetime") >= since)
+    for point in wrong:
+        here = reduce(and_, [F.col(c) == F.lit(v) for c, v in point.items()])
+        rows = patch(rows, here, "observation", F.lit(None).cast("double"))
+    return rows
+
+
 def by_site(df: DataFrame, ids: list[str], value: str, sites=S.SITES) -> DataFrame:
     """One column per site, for one-to-one comparison."""
     return to_wide(df, ids, "site_id", value, list(sites))

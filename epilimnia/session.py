@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,3 +31,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(named)
         current = sc.getCheckpointDir()
     return current
+
+
+def settled(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: made once, however many times it is used."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

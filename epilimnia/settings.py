@@ -131,3 +131,9 @@ ONSET_MIN_DAYS = 7
 GRID_STEP = 0.5
 GRID_MIN_DEPTH = 0.1
 MAX_TURBIDITY = 100.0
+
+# fixed values: first year and wrong readings of the buoyancy comparison
+BUOYANCY_SINCE = 2021
+WRONG_PROFILE_POINTS = [{"site_id": CONTROL, "datetime": date(2022, 6, 21), "depth_m": 0.0}]
+# fixed values: depths that a cast of these waters can have
+DEPTH_RANGE = (0.0, 100.0)

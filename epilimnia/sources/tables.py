@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,7 +44,8 @@ def _format(path: str, format: str | None) -> str:
 
 
 def read_table(
-    spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, format: str | None = None
+    spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, format: str | None = None,
+    damaged: str | None = None, strict: bool = False,
 ) -> DataFrame:
     """Read delimited or Parquet files (A1); columns of several files meet by name.
 
@@ -54,22 +56,32 @@ def read_table(
     paths = [path] if isinstance(path, str) else list(path)
     kinds = {_format(p, format) for p in paths}
     if kinds == {"parquet"}:
-        return spark.read.parquet(*paths)
+        return spark.read.option("mergeSchema", len(paths) > 1).parquet(*paths)
     if len(kinds) > 1:
         raise ValueError("files of different formats")
     reader = spark.read.option("header", True).option("nullValue", "NA").option("enforceSchema", False)
+    if strict:
+        reader = reader.option("mode", "FAILFAST")
+    extra = [T.StructField(damaged, T.StringType())] if damaged else []
+    if damaged or strict:  # else only the fields that a query uses are looked at
+        reader = reader.option("columnPruning", False)
+    if damaged:
+        reader = reader.option("columnNameOfCorruptRecord", damaged)
     if schema is not None:
-        return _clean(reader.schema(schema).csv(paths))
+        return _clean(reader.schema(T.StructType([*schema.fields, *extra])).csv(paths), damaged)
     headers: dict[tuple[str, ...], list[str]] = {}
     for p in paths:
         headers.setdefault(tuple(reader.csv(p).columns), []).append(p)
-    parts = [_clean(reader.schema(sensor_schema(names)).csv(same)) for names, same in headers.items()]
+    typed = {names: T.StructType([*sensor_schema(names).fields, *extra]) for names in headers}
+    parts = [_clean(reader.schema(typed[names]).csv(same), damaged) for names, same in headers.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def _clean(df: DataFrame) -> DataFrame:
+def _clean(df: DataFrame, damaged: str | None = None) -> DataFrame:
     clean = {}
     for f in df.schema.fields:
+        if f.name == damaged:
+            continue
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
             clean[f.name] = F.nullif(c, F.lit(""))
@@ -78,11 +90,22 @@ def _clean(df: DataFrame) -> DataFrame:
     return df.withColumns(clean)
 
 
-def read_many(spark: SparkSession, paths: Sequence[str], same_header: bool = False) -> DataFrame:
-    """Several files appended by column name, with their path in ``source_file`` (A4)."""
+def damaged_lines(df: DataFrame, damaged: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Number of rows, of damaged lines, and of rows without any value, for instance by ``source_file``."""
+    values = [F.col(f"`{c}`") for c in df.columns if c not in (damaged, *keys, "source_file")]
+    empty = reduce(and_, [c.isNull() for c in values], F.lit(True))
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.count(damaged).alias("damaged"), F.count(F.when(empty, F.lit(1))).alias("empty")
+    )
+
+
+def read_many(
+    spark: SparkSession, paths: Sequence[str], same_header: bool = False, damaged: str | None = None, strict: bool = False
+) -> DataFrame:
+    """Several files appended by column name, with their path in ``source_file`` (A4); ``damaged`` and ``strict`` as in ``read_table``."""
     if same_header:
-        return read_table(spark, list(paths)).withColumn("source_file", F.input_file_name())
-    parts = [read_table(spark, p).withColumn("source_file", F.input_file_name()) for p in paths]
+        return read_table(spark, list(paths), damaged=damaged, strict=strict).withColumn("source_file", F.input_file_name())
+    parts = [read_table(spark, p, damaged=damaged, strict=strict).withColumn("source_file", F.input_file_name()) for p in paths]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -120,3 +143,40 @@ def write_table(df: DataFrame, path: str | None, partition_by: Sequence[str] = (
         else:
             writer.parquet(path)
     return df
+
+
+def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Save as a table of the catalogue that is bucketed and sorted by ``keys`` (A7), and read it back.
+
+    Tables with equal buckets join and exclude each other on these keys, or aggregate by them, without moving rows; use
+    ``join_buckets``. Rows of one key lie in one bucket, so give keys without a hot value, and as many buckets as make files that
+    a task can sort.
+    """
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def join_buckets(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Sort-merge join of two bucketed tables on their bucket keys; NULL keys match nothing."""
+    return left.join(right.hint("merge"), list(keys), how)
+
+
+def write_sorted(df: DataFrame, path: str, order: Sequence[str], files: int | None = None) -> str:
+    """Write Parquet files whose names follow ``order``, sorted inside (G1). Ranges are cut by a sample, so files are about even."""
+    ranges = df.repartitionByRange(*([files] if files else []), *order)
+    ranges.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    return path
+
+
+def read_sorted(spark: SparkSession, path: str, position: str = "position") -> DataFrame:
+    """Rows of ``write_sorted`` with their place in the order, from 1.
+
+    The place is that within the file plus the rows of all earlier files: one row for each file is summed, no row is sorted or moved.
+    """
+    file = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
+    rows = spark.read.parquet(path).select("*", file.alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    sizes = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__file", F.coalesce(before, F.lit(0)).alias("__before"))
+    return rows.join(starts, "__file").withColumn(position, F.col("__before") + F.col("__row") + 1).drop("__file", "__row", "__before")
