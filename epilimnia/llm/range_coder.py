@@ -17,15 +17,17 @@ no block. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from epilimnia.llm.common import per_text, read_table, settle, shared_folder
+from epilimnia.llm.common import read_table, settle, shared_folder
 
 END = 2
 SCALE = 18  # bits of the frequencies' sum
@@ -35,7 +37,8 @@ SEGMENT = 128
 BLOCK = 131_072
 #: Ids in a shard, on average; each shard is sorted and coded by one task.
 SHARD = 8_000_000
-CACHE_WORDS = 400_000
+#: Words that a task remembers, and words that the library gets at once.
+CACHE_WORDS, SLICE = 400_000, 2_000
 
 BLOCKS = (
     "shard int, block int, start long, doc_ids array<long>, lengths array<int>, ids_crc32 array<long>, "
@@ -120,38 +123,91 @@ class Coder:
         return out.reshape(-1)[:n] if len(states) == 1 else np.concatenate([o.reshape(-1) for o in out])[:n]
 
 
+class WordEncoder:
+    """Ids of white-space words as bytes, by the library; remembers words.
+
+    New words are encoded many at a time, joined by a word that none of them holds, whose id parts the result again.
+    """
+
+    MARK = "\x00"
+
+    def __init__(self, tokenizer: str, width: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.library, self.width = Tokenizer.from_str(tokenizer), width
+        self.library.no_truncation()
+        self.library.no_padding()
+        mark = self._ids(self.MARK)
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.known: dict[bytes, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.width)
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        mark = self.MARK.encode()
+        plain = [w for w in words if mark not in w] if self.mark is not None else []
+        size = np.dtype(self.width).itemsize
+        for at in range(0, len(plain), SLICE):
+            part = plain[at : at + SLICE]
+            ids = self._ids(f" {self.MARK} ".join([w.decode() for w in part]))
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) == len(part) - 1:
+                data, starts, ends = ids.tobytes(), [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(ids) * size]
+                self.known.update((w, data[a:b]) for w, a, b in zip(part, starts, ends, strict=True))
+        for w in words:
+            if w not in self.known:
+                self.known[w] = self._ids(w.decode()).tobytes()
+
+    def encode(self, text: str | None) -> list[bytes]:
+        data = (text or "").encode("utf-8", "replace")
+        words = (data.lower() if data.isascii() and self.lowers else data).split()
+        if new := {w for w in words if w not in self.known}:
+            self.learn(new)
+            if not all(w in self.known for w in words):  # forgotten meanwhile
+                self.learn({w for w in words if w not in self.known})
+        return list(map(self.known.__getitem__, words))
+
+    @cached_property
+    def lowers(self) -> bool:
+        """Whether the vocabulary takes capital letters of ASCII for small ones."""
+        upper, lower = self._ids("A B C D E F G H I J K L M N O P Q R S T U V W X Y Z"), self._ids("a b c d e f g h i j k l m n o p q r s t u v w x y z")
+        return bool(np.array_equal(upper, lower) and np.array_equal(self._ids("HELLO WoRLD'S"), self._ids("hello world's")))
+
+
 def tokenize(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """``doc_id, n_tokens, ids`` (little-endian unsigned 16-bit or 32-bit) with the end id. ``tokenizer``: the file's content.
+    """``doc_id, n_tokens, ids`` (little-endian unsigned 16-bit or 32-bit) with the end id, and a row of ``counts`` (64-bit, one for each
+    id) for each task, whose other columns are NULL. ``tokenizer``: the file's content.
 
     The vocabulary's pattern drops white space, so texts are encoded word by word, and the library sees each word once.
     """
     width = _width(tokenizer)
+    kind = docs.schema["doc_id"]
 
-    def maker() -> Callable[[list[str | None]], list[pa.Array]]:
-        from tokenizers import Tokenizer
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, size = WordEncoder(tokenizer, width), np.dtype(width).itemsize
+        tail, total = np.array([end], dtype=width).tobytes(), np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            out = [b"".join([*encoder.encode(text), tail]) for text in batch.column(1).to_pylist()]
+            found = np.bincount(np.frombuffer(b"".join(out), dtype=width), minlength=len(total))
+            found[: len(total)] += total
+            total = found
+            sizes = [len(x) // size for x in out]
+            yield _batch(batch.column(0), sizes, out, [None] * len(out))
+        yield _batch(pa.nulls(1, _arrow(kind)), [None], [None], [total.tobytes()])
+
+    return docs.select("doc_id", "text").mapInArrow(run, StructType([kind, *_parse_datatype_string("n_tokens long, ids binary, counts binary")]))
 
-        library = Tokenizer.from_str(tokenizer)
-        library.no_truncation()
-        library.no_padding()
-        tail = np.array([end], dtype=width).tobytes()
-        known: dict[bytes, bytes] = {}
 
-        def work(texts: list[str | None]) -> list[pa.Array]:
-            out = []
-            for at in range(0, len(texts), 256):
-                bags = [(t or "").encode("utf-8", "replace").split() for t in texts[at : at + 256]]
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                if new := list({w for bag in bags for w in bag if w not in known}):
-                    made = library.encode_batch([w.decode() for w in new], add_special_tokens=False)
-                    known.update((w, np.array(e.ids, dtype=width).tobytes()) for w, e in zip(new, made, strict=True))
-                out.extend(b"".join([*map(known.__getitem__, bag), tail]) for bag in bags)
-            size = np.dtype(width).itemsize
-            return [pa.array([len(x) // size for x in out], type=pa.int64()), pa.array(out, type=pa.binary())]
+def _arrow(field: StructField) -> pa.DataType:
+    return {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}[field.dataType.typeName()]
 
-        return work
 
-    return per_text(docs, maker, "n_tokens long, ids binary")
+def _batch(doc_ids: pa.Array, sizes: list, ids: list, counts: list) -> pa.RecordBatch:
+    columns = [doc_ids, pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "counts"])
 
 
 def _width(tokenizer: str) -> str:
@@ -160,20 +216,17 @@ def _width(tokenizer: str) -> str:
     return "<u2" if Tokenizer.from_str(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def count_ids(tokens: DataFrame, width: str) -> np.ndarray:
-    """How often each id occurs in all documents. The result has one number for each id of the vocabulary."""
+def count_ids(tokens: DataFrame) -> np.ndarray:
+    """How often each id occurs in all documents: the sum of the tasks' counts, one number for each id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=width)
-            found = np.bincount(ids, minlength=len(total))
-            found[: len(total)] += total
-            total = found
-        token = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(total[token])], names=["token", "n"])
+            for data in batch.column(0).to_pylist():
+                n = np.frombuffer(data, dtype=np.int64)
+                token = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n[token])], names=["token", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([r["token"] for r in rows], default=-1) + 1, dtype=np.int64)
     for r in rows:
         counts[r["token"]] = r["n"]
@@ -181,9 +234,10 @@ def count_ids(tokens: DataFrame, width: str) -> np.ndarray:
 
 
 def write(tokens: DataFrame, folder: str, width: str) -> None:
-    """Write ``doc_id, n_tokens, ids`` in ascending doc_id order. ``tokens`` is read three times, so it should be settled."""
+    """Write the rows of ``tokenize`` in ascending doc_id order. They are read several times, so they should be settled."""
     spark = tokens.sparkSession
-    frequency = frequencies(count_ids(tokens, width))
+    frequency = frequencies(count_ids(tokens))
+    tokens = tokens.where("counts IS NULL")
     table = [(i, int(n)) for i, n in enumerate(frequency) if n]
     spark.createDataFrame(table, "token int, frequency int").coalesce(1).write.parquet(f"{folder}/table")
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
