@@ -6,13 +6,17 @@ cluster, never share a bin (pieces of one document have bins of their own anyway
 starts at the bins that have just enough left and goes on to the next larger rest until a compatible bin is found, so it ends at
 the tightest one; without any, a bin is opened.
 
-Documents are dealt into shards by a hash of their id; a shard is packed by itself, so the number of shards follows the number
-of documents and no task ever holds more than about ``SHARD`` of them, whatever a source's share. Documents come to a shard as
-four numbers, not as texts.
+Documents are dealt into shards by a hash of their id, length and cluster, and equal ones also by their number among themselves;
+a shard is packed by itself, so the number of shards follows the number of documents and no task ever holds more than about
+``SHARD`` of them, whatever a source's share and however often a row is repeated. Documents come to a shard as four numbers, not
+as texts, however long they are.
+
+Clusters are texts that are equal without white space (``sizes``); ``with_classes`` puts the classes of a near-duplicate search in
+their place.
 
 Defined results: a NULL source or cluster conflicts with nothing. NULL, empty and wordless texts have length 0: they are put into
 bins like all others, by the rules of conflict. Ties go by doc_id (NULL first), then by cluster. Repeated rows are packed each.
-An empty table gives an empty result.
+Extra columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from epilimnia.llm.common import per_text, read_table, settle
 
 CAPACITY = 2_048
 SHARD = 20_000
+#: Copies of one row that are numbered at a time.
+BLOCK = 4_096
 
 
 class Bins:
@@ -85,11 +91,17 @@ def pack_shard(pieces: pd.DataFrame, capacity: int) -> tuple[list[int], list[int
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """``docs``: doc_id, source, cluster, n_words. One row for each piece, with its bin and offset."""
-    counted = settle(docs.select("doc_id", "source", "cluster", "n_words"), "sizes")
-    shards = max(1, -(-counted.count() // shard))
+    whose = ["doc_id", "source", "cluster", "n_words"]
+    counted = settle(docs.groupBy(*whose).agg(F.count("*").alias("copies")), "sizes")
+    total = counted.agg(F.sum("copies")).first()[0] or 0
+    shards = max(1, -(-total // shard))
+    # Equal rows come one by one out of blocks of their count, so that they spread over all shards.
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {BLOCK}"))))
+    last = F.least(F.col("copies"), (F.col("block") + 1) * BLOCK) - 1
+    each = blocks.select(*whose, F.explode(F.sequence(F.col("block") * BLOCK, last)).alias("copy"))
     whole = F.floor(F.greatest(F.col("n_words") - 1, F.lit(0)) / capacity).cast("int")
-    pieces = counted.select(
-        F.pmod(F.xxhash64("doc_id", "n_words", "cluster"), F.lit(shards)).cast("int").alias("shard"),
+    pieces = each.select(
+        F.pmod(F.xxhash64("doc_id", "n_words", "cluster", "copy"), F.lit(shards)).cast("int").alias("shard"),
         "doc_id",
         "source",
         "cluster",
@@ -122,6 +134,16 @@ def sizes(docs: DataFrame) -> DataFrame:
     return per_text(docs, maker, "n_words long, cluster long", carry=("doc_id", "source"))
 
 
+def with_classes(sized: DataFrame, classes: DataFrame) -> DataFrame:
+    """``sized`` with the near-duplicate class of each document as its cluster; documents without one keep theirs.
+
+    ``classes`` has doc_id and class_id; of several classes of one id the smallest counts. Ids are joined, not classes, so a large
+    class meets in no task.
+    """
+    named = classes.where("doc_id IS NOT NULL AND class_id IS NOT NULL").groupBy("doc_id").agg(F.min("class_id").alias("class"))
+    return sized.join(named, "doc_id", "left").withColumn("cluster", F.when(F.col("class").isNull(), F.col("cluster")).otherwise(F.xxhash64("class"))).drop("class")
+
+
 def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes(read_table(spark, sf_dir, "documents")))
 

@@ -51,9 +51,13 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Remove the files of settled tables that nothing reads any more: what was made from them is settled too."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.settled_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(table.sparkSession, table.settled_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this subpackage wrote."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def fold(doc_id: Column, parts: int) -> Column:

@@ -3,22 +3,40 @@
 ``DigestIndex.ingest`` reduces new rows to one row per digest, finds the digests that the index lacks by a sort-merge anti join
 on the buckets, and appends those. Only ids, lengths and digests move; texts stay where they are.
 
+The caller names each batch and the index keeps that name with every digest, so a job that starts again and ingests the same
+batch once more appends nothing and gets the same answer. The index lies in generations, folders ``generation-<g>-<buckets>``:
+appends add files to the newest finished one, ``rebuild`` writes the next with one file for each bucket, and with more buckets if
+asked. Opening finds the newest finished generation and its buckets, so other sessions can go on with it.
+
 Defined results: a NULL text counts as empty; texts are equal when they are the same without white space. Of equal texts the
 one with the most code points stays, then the smallest doc_id; a NULL id loses against any id. A row that occurs more than once
-with id, text and all counts each time, and its first occurrence may stay. A text that the index already has is dropped in
-favour of the indexed row. Extra columns are ignored. An empty table gives an empty result.
+with id, text and all counts each time, and its first occurrence may stay. A text that the index already has from another batch
+is dropped in favour of the indexed row. Texts of any length are read whole. Extra columns are ignored, whatever their names. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epilimnia.llm.common import SPACE, read_table, settle, shared_folder
+from epilimnia.llm.common import SPACE, read_table, remove, settle, shared_folder
 
 BUCKETS = 32
+#: Digests for which a new or rebuilt index has one bucket, about 1 GB.
+PER_BUCKET = 8_000_000
+GENERATION = re.compile(r"generation-(\d+)-(\d+)")
+
+
+def buckets_for(digests: int) -> int:
+    """Buckets for so many digests: doubled until each holds at most ``PER_BUCKET``."""
+    buckets = BUCKETS
+    while digests > buckets * PER_BUCKET:
+        buckets *= 2
+    return buckets
 
 
 def digest(text: Column) -> Column:
@@ -40,16 +58,37 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """The index: ``text_sha256, keep_id, keep_points, group_size, batch``, in ``buckets`` sorted buckets at ``path``."""
+    """The index: ``text_sha256, keep_id, keep_points, group_size, batch``, in sorted buckets below ``path``.
+
+    ``buckets`` counts for a new index only; one that exists keeps its own until ``rebuild``.
+    """
 
     COLUMNS = "text_sha256 string, keep_id long, keep_points int, group_size long, batch string"
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
-        self.spark, self.path, self.buckets = spark, path, buckets
-        self.name = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
-        if not spark.catalog.tableExists(self.name):
-            spark.sql(
-                f"CREATE TABLE {self.name} ({self.COLUMNS}) USING parquet LOCATION '{path}' "
+        self.spark, self.root = spark, path.rstrip("/")
+        finished = self._generations()
+        self._open(*(finished[-1] if finished else (0, buckets)))
+
+    def _generations(self) -> list[tuple[int, int]]:
+        """Number and buckets of each finished generation."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(root):
+            return []
+        folders = [status.getPath() for status in files.listStatus(root)]
+        done = [f.getName() for f in folders if files.exists(f.suffix("/_SUCCESS"))]
+        return sorted((int(m[1]), int(m[2])) for name in done if (m := GENERATION.fullmatch(name)))
+
+    def _open(self, generation: int, buckets: int) -> None:
+        self.generation, self.buckets = generation, buckets
+        self.path = f"{self.root}/generation-{generation}-{buckets}"
+        self.name = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, self.path).hex}"
+        if self.spark.catalog.tableExists(self.name):
+            self.spark.catalog.refreshTable(self.name)
+        else:
+            self.spark.sql(
+                f"CREATE TABLE {self.name} ({self.COLUMNS}) USING parquet LOCATION '{self.path}' "
                 f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {buckets} BUCKETS"
             )
 
@@ -65,14 +104,31 @@ class DigestIndex:
             .select("text_sha256", (-F.col("w.minus")).alias("keep_id"), F.col("w.n_points").alias("keep_points"), "group_size", F.lit(batch).alias("batch"))
         )
 
-    def ingest(self, rows: DataFrame) -> str:
-        """Append what is new and return the batch's name."""
-        batch = uuid.uuid4().hex
+    def ingest(self, rows: DataFrame, batch: str | None = None) -> str:
+        """Append what is new under the batch's name, a new one if none is given, and return the name.
+
+        A batch that is ingested again adds only what its first run did not write.
+        """
+        batch = batch or uuid.uuid4().hex
         new = self.fresh(rows, batch).repartition(self.buckets, "text_sha256")
         new.write.mode("append").insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
         return batch
 
+    def rebuild(self, buckets: int | None = None) -> None:
+        """Write the next generation: one sorted file for each of ``buckets``, by the number of digests if not given.
+
+        Run it when appends have left many files or buckets have outgrown ``PER_BUCKET``, with no ingest beside it. The old
+        generation goes when the new one is finished; ended before that, the index stays as it was.
+        """
+        old, old_name, buckets = self.path, self.name, buckets or buckets_for(self.table().count())
+        rows = self.table().repartition(buckets, "text_sha256")
+        self._open(self.generation + 1, buckets)
+        rows.write.mode("overwrite").insertInto(self.name)
+        self.spark.catalog.refreshTable(self.name)
+        self.spark.sql(f"DROP TABLE {old_name}")
+        remove(self.spark, old)
+
     def decide(self, rows: DataFrame, batch: str) -> DataFrame:
         """``doc_id, keep_id, group_size, kept, text_sha256, n_points``: one row per input row.
 
@@ -89,26 +145,30 @@ class DigestIndex:
         )
 
 
+def _decided(docs: DataFrame) -> DataFrame:
+    """``docs`` as the first batch of an index of its own."""
+    spark = docs.sparkSession
+    rows = settle(digests(docs), "digest-rows")
+    index = DigestIndex(spark, shared_folder(spark, "digests"), buckets_for(rows.count()))
+    return index.decide(rows, index.ingest(rows, "documents"))
+
+
 def op4_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = settle(digests(read_table(spark, sf_dir, "documents")), "digest-rows")
-    index = DigestIndex(spark, shared_folder(spark, "digests"))
-    return index.decide(rows, index.ingest(rows)).drop("n_points")
+    return _decided(read_table(spark, sf_dir, "documents")).drop("n_points")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the row of each group that stays, in its own columns.
+    """Pipeline stage: the row of each group that stays, in its own columns, whatever their names.
 
     The join key holds the id, so that no group of copies meets in one task.
     """
-    rows = settle(digests(docs), "digest-rows")
-    index = DigestIndex(spark, shared_folder(spark, "digests"))
-    stay = (
-        index.decide(rows, index.ingest(rows)).where("kept")
-        .select(F.col("doc_id").alias("stay_id"), F.col("n_points").alias("stay_points"), F.col("text_sha256").alias("stay_sha"))
-    )
-    marked = docs.select("*", digest(F.col("text")).alias("__llm_sha"), code_points(F.col("text")).alias("__llm_points"))
-    same = marked["doc_id"].eqNullSafe(stay["stay_id"]) & (marked["__llm_sha"] == stay["stay_sha"]) & (marked["__llm_points"] == stay["stay_points"])
-    return marked.join(stay, same, "left_semi").dropDuplicates(["doc_id", "__llm_sha", "__llm_points"]).drop("__llm_sha", "__llm_points")
+    key = ["id", "sha", "points"]
+    stay = _decided(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), F.col("n_points").alias("points"))
+    marked = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), digest(F.col("text")).alias("sha"), code_points(F.col("text")).alias("points")
+    )
+    same = [marked[k].eqNullSafe(stay[k]) for k in key]
+    return marked.join(stay, same, "left_semi").dropDuplicates(key).select("row.*")
 
 
 ORACLE = {

@@ -149,9 +149,73 @@ def test_packing_keeps_every_word(spark):
     assert len(out[out["doc_id"] == 9999]) == 2 * 16
 
 
+def test_repeated_rows_spread_over_shards(spark):
+    docs = spark.createDataFrame([(None, "a", 1, 5)] * 9_000 + [(i, None, None, 7) for i in range(1_000)], "doc_id long, source string, cluster long, n_words long")
+    out = best_fit.pack(docs, capacity=64, shard=500).toPandas()
+    assert len(out) == 10_000 and not out[out["doc_id"].isna()].duplicated("bin_id").any()
+    per_shard = (out["bin_id"] // (1 << 32)).value_counts()
+    assert len(per_shard) == 20 and per_shard.max() < 650
+
+
+def test_classes_as_clusters(spark):
+    docs = spark.createDataFrame([(i, None, 100 + i, 8) for i in range(12)] + [(None, None, 7, 8)], "doc_id long, source string, cluster long, n_words long")
+    classes = spark.createDataFrame([(i, i % 3) for i in range(9)] + [(0, 5), (None, 1), (10, None)], "doc_id long, class_id long")
+    out = best_fit.pack(best_fit.with_classes(docs, classes), capacity=64).toPandas()
+    assert len(out) == 13 and not out.duplicated(["bin_id", "cluster"]).any()
+    held = out.dropna(subset="doc_id").set_index("doc_id")["cluster"]
+    assert held.loc[[0, 3, 6]].nunique() == 1 and held.loc[:8].nunique() == 3 and list(held.loc[[9, 10, 11]]) == [109, 110, 111]
+
+
 # 4: digest index
 
 
+def test_batch_ingested_again_gets_the_same_answer(spark, tmp_path):
+    rows = digest_index.digests(spark.createDataFrame([(1, "a"), (2, "a "), (3, "b"), (3, "b")], "doc_id long, text string"))
+    answer = lambda i: sorted((r["doc_id"], r["kept"], r["keep_id"], r["group_size"]) for r in i.decide(rows, "monday").collect())
+    index = digest_index.DigestIndex(spark, f"file://{tmp_path}/index", buckets=4)
+    index.ingest(rows.where("doc_id < 3"), "monday")  # a run that ended half-way
+    assert index.ingest(rows, "monday") == "monday"
+    want = [(1, False, 2, 2), (2, True, 2, 2), (3, False, 3, 2), (3, True, 3, 2)]
+    assert answer(index) == want
+    index.ingest(rows, "monday")
+    assert answer(index) == want and index.table().count() == 2
+    index.ingest(rows, "tuesday")
+    assert not any(r["kept"] for r in index.decide(rows, "tuesday").collect())
+
+
+def test_index_rebuilt_with_more_buckets_opens_in_another_session(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    index = digest_index.DigestIndex(spark, path, buckets=2)
+    for batch in range(4):
+        index.ingest(digest_index.digests(spark.range(batch * 50, batch * 50 + 80).selectExpr("id AS doc_id", "concat('t', id) AS text")), f"b{batch}")
+    before = sorted(map(tuple, index.table().collect()))
+    index.rebuild(8)
+    files = list((tmp_path / "index" / "generation-1-8").glob("part-*"))
+    assert len(files) == 8 and not (tmp_path / "index" / "generation-0-2").exists()
+    spark.sql(f"DROP TABLE {index.name}")  # a session with a catalog of its own
+    again = digest_index.DigestIndex(spark.newSession(), path)
+    assert (again.generation, again.buckets) == (1, 8)
+    assert sorted(map(tuple, again.table().collect())) == before and len(before) == 230
+    more = digest_index.digests(spark.createDataFrame([(900, "t 5"), (901, "new")], "doc_id long, text string"))
+    got = sorted((r["doc_id"], r["kept"], r["keep_id"]) for r in again.decide(more, again.ingest(more, "more")).collect())
+    assert got == [(900, False, 5), (901, True, 901)]
+
+
+def test_buckets_grow_with_the_digests():
+    assert digest_index.buckets_for(0) == digest_index.BUCKETS
+    assert all(n <= digest_index.buckets_for(n) * digest_index.PER_BUCKET < max(4 * n, 1 << 40) for n in (10**9, 10**10, 10**12))
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    names = ["row", "id", "sha", "points", "node", "copies", "llm_node", "one_id", "text_sha256", "n_points"]
+    rows = [(1, "a b c d e f g", *range(10)), (2, "a b  c d e f g", *range(10)), (2, "a b  c d e f g", *range(10)), (None, None, *range(10))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    for stage in (digest_index.drop_copies, dart_minhash.keep_one_of_each):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and all(r[2:] == tuple(range(10)) for r in out.collect())
+        assert {r["doc_id"] for r in out.collect()} in ({2, None}, {1, None})
+
+
 def test_index_persists_over_batches(spark, tmp_path):
     frame = lambda rows: digest_index.digests(spark.createDataFrame(rows, "doc_id long, text string"))
     index = digest_index.DigestIndex(spark, f"file://{tmp_path}/index", buckets=4)
