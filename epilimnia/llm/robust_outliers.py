@@ -11,17 +11,18 @@ quantile of the winner. A document goes if its squared Mahalanobis distance exce
 
 Vectors are whole numbers (``STEP`` parts of one), so all sums are exact and the result does not depend on the order of rows. Rows
 are added up before they are shuffled, and a group's estimate comes from at most ``BINS`` sums, so a hot group costs no task more.
-Groups of fewer than ``MIN_ROWS`` documents are pooled by language, and pools that are still too small over the whole corpus.
+Every language and source, every language and the corpus have estimates of their own, each from all its rows. Few rows can't carry
+four parts, so a group of n rows weighs n / (n + ``PRIOR``) in centre and covariance and its language has the rest; likewise a
+language against the corpus. One rule for every size: a large group is as good as alone, a small one leans on the wider one.
 
-Defined results: a NULL text counts as empty and fails the base rule, a NULL language or source counts as empty text. In a corpus
-of fewer than ``MIN_ROWS`` documents there is no estimate: the distance is NULL and only the base rule decides. Repeated rows count
-each. Other columns are ignored.
+Defined results: a NULL text counts as empty and fails the base rule, a NULL language or source counts as empty text. Texts of any
+length are read whole. Repeated rows count each. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from math import exp
 
@@ -37,7 +38,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 CUT = 0.9999
-MIN_ROWS = 100
+#: Rows at which a group's own estimate weighs as much as the wider one.
+PRIOR = 100
 #: Steps of each start before its determinant is watched, and the fall of its logarithm that counts as one.
 CONCENTRATIONS = 4
 FALL = 1e-4
@@ -48,6 +50,7 @@ STEP = 1000
 BINS = 512
 #: Least standard deviation of each part: most texts have no symbol and no repeat at all, which must not make one a crime.
 LEAST = (0.08, 0.15, 0.3, 0.3)
+FLAT = 0.2
 PARTS = ("z0", "z1", "z2", "z3")
 PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
 SALTS = 8
@@ -121,24 +124,22 @@ def widened(share: float) -> float:
     return share / _chi2(chi2_quantile(share, 2), 3)
 
 
-def groups(measured: DataFrame) -> DataFrame:
-    """``lang, source, gid``: the group of each language and source; ``gid`` is NULL if the corpus is too small."""
-    sizes = measured.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang = sizes.where(F.col("n") < MIN_ROWS).groupBy("lang").agg(F.sum("n").alias("pool"))
-    rest = by_lang.where(F.col("pool") < MIN_ROWS).agg(F.sum("pool")).first()[0] or 0
-    whole = F.lit("*" if rest >= MIN_ROWS else None).cast("string")
-    gid = (
-        F.when(F.col("n") >= MIN_ROWS, F.concat_ws("\n", F.lit("source"), "lang", "source"))
-        .when(F.col("pool") >= MIN_ROWS, F.concat_ws("\n", F.lit("lang"), "lang"))
-        .otherwise(whole)
-    )
-    return sizes.join(by_lang, "lang", "left").select("lang", "source", gid.alias("gid"))
+def levels() -> dict[str, Column]:
+    """Names of a row's groups: its language and source, its language, the corpus."""
+    return {"pair": F.to_json(F.struct("lang", "source")), "wide": F.to_json(F.struct("lang")), "whole": F.lit("{}")}
 
 
 def _solved(centre: np.ndarray, spread: np.ndarray) -> tuple[list[float], float]:
-    """Centre and inverse covariance as four plus ten numbers, parts never below their least deviation; the log determinant."""
+    """Centre and inverse covariance as four plus ten numbers; the log determinant.
+
+    Parts are never below their least deviation, and no direction across them (two rows span a line) below ``FLAT`` of it.
+    """
+    least = np.array(LEAST) * STEP
     spread = spread.copy()
-    np.fill_diagonal(spread, np.maximum(np.diag(spread), (np.array(LEAST) * STEP) ** 2))
+    np.fill_diagonal(spread, np.maximum(np.diag(spread), least**2))
+    values, vectors = np.linalg.eigh(spread / np.outer(least, least))
+    if values[0] < FLAT**2:
+        spread = (vectors * np.maximum(values, FLAT**2)) @ vectors.T * np.outer(least, least)
     inverse = np.linalg.inv(spread)
     return [*centre, *(inverse[i, j] * (1 if i == j else 2) for i, j in PAIRS)], float(np.linalg.slogdet(spread)[1])
 
@@ -277,16 +278,46 @@ def least_determinant(rows: DataFrame) -> DataFrame:
                 return settle(best(reduce(DataFrame.unionAll, found)), "estimate")
 
 
+def shrunk(measured: DataFrame, estimate: DataFrame) -> DataFrame:
+    """``lang, source`` and the numbers by which their rows are judged."""
+    sizes = measured.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    found = sizes.join(sizes.groupBy("lang").agg(F.sum("n").alias("n_wide")), "lang").withColumns(levels())
+    for level in levels():
+        of_level = estimate.select(F.col("gid").alias(level), F.array(*ESTIMATE).alias(f"{level}_numbers"))
+        # The corpus is one row.
+        found = found.join(F.broadcast(of_level.where("whole = '{}'")) if level == "whole" else of_level, level)
+
+    def moments(numbers: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        x = np.array(numbers.tolist(), dtype=float).reshape(-1, len(ESTIMATE))
+        inverse = np.zeros((len(x), 4, 4))
+        for k, (i, j) in enumerate(PAIRS, 4):
+            inverse[:, i, j] = inverse[:, j, i] = x[:, k] * (1 if i == j else 0.5)
+        return x[:, :4], np.linalg.inv(inverse)
+
+    def lean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            centre, spread = moments(rows["whole_numbers"])
+            for level, n in (("wide", "n_wide"), ("pair", "n")):
+                weight = (rows[n] / (rows[n] + PRIOR)).to_numpy(float)
+                own_centre, own_spread = moments(rows[f"{level}_numbers"])
+                centre += weight[:, None] * (own_centre - centre)
+                spread += weight[:, None, None] * (own_spread - spread)
+            inverse = np.linalg.inv(spread)
+            numbers = [*centre.T, *(inverse[:, i, j] * (1 if i == j else 2) for i, j in PAIRS)]
+            yield pd.DataFrame({"lang": rows["lang"], "source": rows["source"]} | dict(zip(ESTIMATE, numbers, strict=True)))
+
+    return found.mapInPandas(lean, "lang string, source string, " + ", ".join(f"{n} double" for n in ESTIMATE))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """``doc_id``, the statistics, ``base_failed``, ``distance2`` and ``kept`` of each row."""
     measured = measure(docs.withColumns({c: F.coalesce(c, F.lit("")) for c in ("lang", "source")}))
     measured = settle(measured.withColumn("salt", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(SALTS)).cast("int")), "statistics")
-    gids = groups(measured).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    rows = settle(measured.join(gids, ["lang", "source", "salt"]), "grouped")
-    usable = rows.where("gid IS NOT NULL").select("gid", "salt", *PARTS)
-    estimate = settle(concentrate(usable, least_determinant(usable), reweigh=True), "estimate")
-    salted = estimate.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    judged = rows.join(salted, ["gid", "salt"], "left").withColumn("distance2", F.when(F.col("c0").isNotNull(), squared_distance()))
+    rows = settle(measured.select(F.explode(F.array(*levels().values())).alias("gid"), "salt", *PARTS), "grouped")
+    estimate = settle(concentrate(rows, least_determinant(rows), reweigh=True), "estimate")
+    numbers = settle(shrunk(measured, estimate), "numbers")
+    salted = numbers.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    judged = measured.join(salted, ["lang", "source", "salt"], "left").withColumn("distance2", squared_distance())
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     near = F.coalesce(F.col("distance2") <= chi2_quantile(CUT, 2), F.lit(True))
     return judged.select(
