@@ -379,6 +379,46 @@ def test_gapped_and_spoilt_insults():
     assert (scorer.scores(["the erin on an", "anin thst er", "", None]) < 0.2).all()
 
 
+def test_insults_over_neighbouring_words():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice(["th", "er", "in", "an", "on", "st"]) for _ in range(rng.randint(1, 4)))
+    rows = []
+    for i in range(1200):
+        words = [word() for _ in range(40)]
+        if i % 3 == 0:
+            words[rng.randrange(40)] = ["idiot", "moron", "scumbag", "total waste"][i // 3 % 4]
+        else:
+            words[rng.randrange(40)] = ["total", "waste", "total then", "the waste"][i % 4]
+        rows.append((int(i % 3 == 0), " ".join(words), rng.randrange(1 << 30)))
+    scorer = string_kernel.Scorer(string_kernel.fit(pd.DataFrame(rows, columns=["label", "text", "mix"])))
+    toxic = ["the mo ron of", "an idi ot in", "er scum bag then", "on total waste er", "thin t0tal waste on"]
+    clean = ["the mo of", "the ron in", "an idi then", "ot in the", "er bag then", "on total then er", "the waste on", "on total. waste er", "waste then total"]
+    assert (scorer.scores(toxic) > 0.99).all()
+    # Beginnings of insults that no clean text of the sample held come near the threshold, whole words that it held don't.
+    low = scorer.scores(clean)
+    assert (low < string_kernel.THRESHOLD).all() and (low[4:] < 0.1).all()
+
+
+def test_joined_pairs_as_decided_one_by_one():
+    rng = np.random.default_rng(3)
+    model = string_kernel.KernelModel(rng.normal(0, 1, 1 << string_kernel.TABLE_BITS).astype(np.float32), -0.2, (1.0, 1.0, 0.0), -9.0)
+    bits = ["a", "of", "the", "ab.", "w0rd", "stop!", "thththth", "-", "x" * 23, "y" * 40, "é", "mo-ron", "i", "d"]
+    texts = [" ".join(bits[i] for i in rng.integers(0, len(bits), n)) for n in (0, 1, 2, 3, 30, 200)] + [None]
+    got = string_kernel.Scorer(model).decisions(texts)
+    for text, row in zip(texts, got, strict=True):
+        words = string_kernel.words_of(text)
+        best = lambda w: max((float(x) for x in model.decide(string_kernel.pieces(w))), default=-9.0)
+        values = {round(best(w), 4) for w in string_kernel.strings_of(text)}
+        for a, b in zip(words, words[1:]):
+            p, q = string_kernel.pieces(a), string_kernel.pieces(b)
+            if len(p) == len(q) == 1 and len(p[0] + q[0]) <= string_kernel.MAX_LENGTH and a[-1] not in ".!?":
+                value = float(model.decide([p[0] + q[0]])[0])
+                if value > max(best(a), best(b), string_kernel.FLOOR):
+                    values.add(round(value, 4))
+        want = sorted(values, reverse=True)[: string_kernel.TOP]
+        assert np.allclose(row, want + [-9.0] * (string_kernel.TOP - len(want)), atol=2e-3), text
+
+
 # 7: trie BPE
 
 
