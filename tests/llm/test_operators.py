@@ -54,36 +54,6 @@ def test_outliers_are_judged_by_their_own_group(spark):
     assert sum(out[i]["kept"] for i in range(600)) >= 598
 
 
-def test_small_groups_lean_on_wider_ones(spark):
-    rng = random.Random(4)
-    text = lambda end="": " ".join("".join(rng.choice("abcdefgh") for _ in range(max(1, int(rng.gauss(5, 1))))) + end for _ in range(80))
-    rows = [(i, text(), "en", "s") for i in range(300)] + [(1000 + i, text(), "de", f"t{i % 20}") for i in range(60)]
-    rows += [(2000, text(), "fr", "t"), (2001, text("$$$"), "fr", "t"), (2002, text("$$$"), "de", "t1"), (2003, text("$$$"), "it", None), (2004, text(), None, "x")]
-    judged = robust_outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
-    out = {r["doc_id"]: r for r in judged}
-    assert len(judged) == len(rows) and all(r["distance2"] is not None for r in judged)
-    assert [i for i in (2000, 2001, 2002, 2003, 2004) if out[i]["kept"]] == [2000, 2004]
-    assert sum(r["kept"] for r in judged) >= len(rows) - 5
-
-
-def test_weights_of_small_groups_by_plain_arithmetic(spark):
-    rng = np.random.default_rng(11)
-    sizes, names = {"a": 40, "b": 400}, ["whole", "wide", "a", "b"]
-    centre = {k: rng.normal(0, 9, 4) for k in names}
-    spread = {k: (lambda m: m @ m.T + np.eye(4))(rng.normal(0, 1, (4, 4))) for k in names}
-    gids = {"whole": "{}", "wide": '{"lang":"x"}', "a": '{"lang":"x","source":"a"}', "b": '{"lang":"x","source":"b"}'}
-    numbers = lambda k: [*map(float, centre[k]), *(float(np.linalg.inv(spread[k])[i, j]) * (1 if i == j else 2) for i, j in robust_outliers.PAIRS)]
-    estimate = spark.createDataFrame([(gids[k], *numbers(k)) for k in names], ["gid", *robust_outliers.ESTIMATE])
-    measured = spark.createDataFrame([("x", k) for k, n in sizes.items() for _ in range(n)], "lang string, source string")
-    got = {r["source"]: [r[n] for n in robust_outliers.ESTIMATE] for r in robust_outliers.shrunk(measured, estimate).collect()}
-    for k, n in sizes.items():
-        mix = lambda w, one, other: w * one + (1 - w) * other
-        lang = [mix(440 / 540, x["wide"], x["whole"]) for x in (centre, spread)]
-        c, s = (mix(n / (n + 100), x[k], y) for x, y in zip((centre, spread), lang, strict=True))
-        want = [*c, *(np.linalg.inv(s)[i, j] * (1 if i == j else 2) for i, j in robust_outliers.PAIRS)]
-        assert np.allclose(got[k], want)
-
-
 def test_concentration_finds_the_covariance_of_the_clean_part(spark):
     rng = np.random.default_rng(5)
     clean = rng.multivariate_normal([1, 2, 3, 4], np.diag([0.5, 0.6, 0.7, 0.8]) ** 2, 4000)
