@@ -15,6 +15,7 @@ the whole URL in lower case. Repeated rows are judged each. Other columns are ig
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -134,17 +135,23 @@ def matches(url: Column, patterns: list[str], counts: dict[str, int]) -> Column:
     by_token, rest = index_rules(patterns, counts)
 
     @F.pandas_udf("boolean")
-    def found(urls: pd.Series) -> pd.Series:
-        table = {t: [re.compile(x, re.S) for x in expressions] for t, expressions in by_token.items()}
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         always = [re.compile(x, re.S) for x in rest]
+        fetched: dict[str, list[re.Pattern]] = {}  # compiled once in a task, when a URL first has the token
+
+        def rules(token: str) -> list[re.Pattern]:
+            if token not in fetched:
+                fetched[token] = [re.compile(x, re.S) for x in by_token[token]]
+            return fetched[token]
 
         def one(text: str | None) -> bool:
             text = (text or "").lower()
             if any(x.search(text) for x in always):
                 return True
-            return any(x.search(text) for t in {*TOKEN.findall(text)} if t in table for x in table[t])
+            return any(x.search(text) for t in by_token.keys() & TOKEN.findall(text) for x in rules(t))
 
-        return urls.map(one, na_action=None).astype(bool)
+        for urls in batches:
+            yield urls.map(one, na_action=None).astype(bool)
 
     return found(url)
 
