@@ -11,7 +11,8 @@ quantile of the winner. A document goes if its squared Mahalanobis distance exce
 
 Vectors are whole numbers (``STEP`` parts of one), so all sums are exact and the result does not depend on the order of rows. Rows
 are added up before they are shuffled, and a group's estimate comes from at most ``BINS`` sums, so a hot group costs no task more.
-Groups of fewer than ``MIN_ROWS`` documents are pooled by language, and pools that are still too small over the whole corpus.
+Groups of fewer than ``MIN_ROWS`` documents are pooled by language; what is left of languages whose pool is still too small is judged
+by an estimate over all rows of the corpus, those of the other groups included.
 
 Defined results: a NULL text counts as empty and fails the base rule, a NULL language or source counts as empty text. In a corpus
 of fewer than ``MIN_ROWS`` documents there is no estimate: the distance is NULL and only the base rule decides. Repeated rows count
@@ -51,6 +52,8 @@ LEAST = (0.08, 0.15, 0.3, 0.3)
 PARTS = ("z0", "z1", "z2", "z3")
 PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
 SALTS = 8
+#: The group of all rows.
+WHOLE = "*"
 
 
 def statistics(text: str | None) -> tuple[int, int, int, int, int]:
@@ -122,11 +125,11 @@ def widened(share: float) -> float:
 
 
 def groups(measured: DataFrame) -> DataFrame:
-    """``lang, source, gid``: the group of each language and source; ``gid`` is NULL if the corpus is too small."""
+    """``lang, source, gid``: the group of each language and source, ``WHOLE`` for those judged by the corpus; NULL if that is too small."""
     sizes = measured.groupBy("lang", "source").agg(F.count("*").alias("n"))
     by_lang = sizes.where(F.col("n") < MIN_ROWS).groupBy("lang").agg(F.sum("n").alias("pool"))
-    rest = by_lang.where(F.col("pool") < MIN_ROWS).agg(F.sum("pool")).first()[0] or 0
-    whole = F.lit("*" if rest >= MIN_ROWS else None).cast("string")
+    corpus = sizes.agg(F.sum("n")).first()[0] or 0
+    whole = F.lit(WHOLE if corpus >= MIN_ROWS else None).cast("string")
     gid = (
         F.when(F.col("n") >= MIN_ROWS, F.concat_ws("\n", F.lit("source"), "lang", "source"))
         .when(F.col("pool") >= MIN_ROWS, F.concat_ws("\n", F.lit("lang"), "lang"))
@@ -284,6 +287,8 @@ def judge(docs: DataFrame) -> DataFrame:
     gids = groups(measured).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     rows = settle(measured.join(gids, ["lang", "source", "salt"]), "grouped")
     usable = rows.where("gid IS NOT NULL").select("gid", "salt", *PARTS)
+    if not rows.where(F.col("gid") == WHOLE).isEmpty():
+        usable = usable.where(F.col("gid") != WHOLE).unionAll(usable.withColumn("gid", F.lit(WHOLE)))
     estimate = settle(concentrate(usable, least_determinant(usable), reweigh=True), "estimate")
     salted = estimate.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     judged = rows.join(salted, ["gid", "salt"], "left").withColumn("distance2", F.when(F.col("c0").isNotNull(), squared_distance()))
