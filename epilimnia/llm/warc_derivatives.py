@@ -14,8 +14,10 @@ type, length and digests, so the chain can be checked without the source. Its me
 left out for a message whose head is just ``HTTP/1.1 200 OK``, the content type and the content length, as the other fields say it
 all, which holds for those that ``responses`` makes. Ids are name-based and thus equal on every run.
 
-Plain text is the payload of an HTML response without comments, scripts, styles and tags, with a line for each block element, the
-usual character references resolved, and white space of a line made single.
+Plain text is the payload of an HTML response without comments, scripts, styles and tags, with a line for each block element,
+character references resolved once, and white space of a line made single. A tag ends at the first ``>`` outside of quoted
+attribute values; if a quote never closes, at the first ``>`` of all. References are the names of HTML 4, ``&apos;`` and code
+points; a no-break space becomes a space, a byte order mark nothing, a code that is no character U+FFFD, and unknown names stay.
 
 Defined results: a NULL URL or body counts as empty; empty bodies give an empty conversion record, not none. Responses of another
 content type than HTML or text get a metadata record only. Records of other types are left out. Repeated rows give repeated
@@ -27,7 +29,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,8 +45,12 @@ NO_DATE = "1970-01-01T00:00:00Z"
 #: Lines end at these elements (fixed values), and these have no text.
 BLOCK_TAGS = "address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|table|title|tr|ul"
 DROPPED_TAGS = ("script", "style", "noscript", "template")
-#: Character references, the ampersand last (fixed values).
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+#: The rest of a tag behind its name, white space already single. The possessive forms keep Java from a recursion for each attribute; no
+#: alternative begins like another, so the plain forms of other engines match alike.
+TAG_REST = r"""(?:(?:[^>=]++|= ?+(?:"[^"]*+"|'[^']*+'|[^ "'>]))*+(?:= ?+)?+>|[^>]*+>)"""
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,7});"
+CODES = {**name2codepoint, "apos": 39}
+NO_BREAK_SPACE, BYTE_ORDER_MARK, NO_CHARACTER = 0xA0, 0xFEFF, 0xFFFD
 
 
 def sha256(text: Column) -> Column:
@@ -99,14 +107,36 @@ def plain_text(html: Column) -> Column:
     for tag in DROPPED_TAGS:
         text = F.regexp_replace(text, rf"(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>", "")
     text = F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
-    text = F.regexp_replace(text, rf"(?i)</?({BLOCK_TAGS})(\s[^>]*)?/?>", "\n")
-    text = F.regexp_replace(text, r"</?[a-zA-Z!][^>]*>", "")
-    for name, sign in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(sign))
+    text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCK_TAGS})(?:>|[ /]{TAG_REST})", "\n")
+    text = F.regexp_replace(text, rf"</?[a-zA-Z!]{TAG_REST}", "")
+    # A lambda's variable is computed once, though it is used several times.
+    text = F.element_at(F.transform(F.array(text), resolved), 1)
     text = F.regexp_replace(text, r" +", " ")
     return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
+def resolved(text: Column) -> Column:
+    """The text with its character references replaced, each once: what they give is not looked at again."""
+    parts = F.zip_with(
+        F.split(text, REFERENCE, -1), F.regexp_extract_all(text, F.lit(REFERENCE), 0), lambda part, ref: F.concat(part, F.coalesce(character(ref), ref, F.lit("")))
+    )
+    return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
+
+
+def character(reference: Column) -> Column:
+    """The character that a reference stands for, NULL for unknown names."""
+    name = F.substr(reference, F.lit(2), F.length(reference) - 2)
+    code = (
+        F.when(reference.rlike("^&#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10).cast("int"))
+        .when(reference.startswith("&#"), F.substr(name, F.lit(2)).try_cast("int"))
+        .otherwise(F.try_element_at(F.create_map(*(F.lit(x) for pair in CODES.items() for x in pair)), name))
+    )
+    # In four bytes a character is its code point.
+    valid = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), code).otherwise(NO_CHARACTER)
+    sign = F.decode(F.unhex(F.lpad(F.hex(valid), 8, "0")), "UTF-32")
+    return F.when(code == NO_BREAK_SPACE, " ").when(code == BYTE_ORDER_MARK, "").when(code.isNotNull(), sign)
+
+
 def derive(records: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Metadata and conversion records of the response records; ``carry`` names further columns to keep."""
     read = "raw" in records.columns
@@ -193,11 +223,11 @@ def warc_text(columns: list[str]) -> Column:
     return F.concat(made, F.lit(CRLF), block.cast("string"))
 
 
-def write_warc(records: DataFrame, folder: str) -> None:
-    """Files of whole records. Spark's text sink closes each record with the two line ends that the format asks for."""
+def write_warc(records: DataFrame, folder: str, compression: str = "none") -> None:
+    """Files of whole records, ``gzip`` on demand. Spark's text sink closes each record with the two line ends that the format asks for."""
     if "refers_to" not in records.columns:
         records = records.withColumn("refers_to", F.lit(None).cast("string"))
-    records.select(warc_text(records.columns).alias("value")).write.option("lineSep", CRLF + CRLF).text(folder)
+    records.select(warc_text(records.columns).alias("value")).write.option("lineSep", CRLF + CRLF).text(folder, compression=compression)
 
 
 READ_SCHEMA = (
@@ -213,7 +243,9 @@ READ_HEADERS = {
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of uncompressed WARC files below ``folder``; a file has to fit into a task, 2 GB at most. Raises on a damaged file.
+    """Records of WARC files below ``folder``, plain or gzip; a file has to fit into a task, 2 GB at most. Raises on a damaged file.
+
+    Members of a gzip file are unpacked one by one, each with whole records, as the format asks for.
 
     A file is damaged too if a block's bytes or a response's payload do not have the digest that the record states. Digests of
     unknown algorithms, and of payloads under a transfer encoding, about which tools differ, are kept but not compared.
@@ -224,11 +256,30 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame(list(_records(path, content)), columns=columns)
+                for part in _members(path, content):
+                    yield pd.DataFrame(list(_records(path, part)), columns=columns)
 
     return files.mapInPandas(run, READ_SCHEMA)
 
 
+def _members(path: str, content: bytes) -> Iterator[bytes]:
+    """The members of a gzip file unpacked, or a plain file as it is."""
+    if not content.startswith(b"\x1f\x8b"):
+        yield content
+        return
+    rest = content
+    while rest:
+        member = zlib.decompressobj(zlib.MAX_WBITS | 16)
+        try:
+            part = member.decompress(rest)
+        except zlib.error as error:
+            raise ValueError(f"{path} holds a damaged gzip member") from error
+        if not member.eof:
+            raise ValueError(f"the last gzip member of {path} is cut")
+        yield part
+        rest = member.unused_data
+
+
 def _records(path: str, content: bytes) -> Iterator[tuple]:
     at = 0
     while at < len(content):
@@ -283,10 +334,18 @@ def _sql() -> str:
     for tag in DROPPED_TAGS:
         text = f"regexp_replace({text}, '<{tag}(\\s[^>]*)?>.*?</{tag}\\s*>', '', 'gis')"
     text = f"regexp_replace({text}, '[\\x20\\x09-\\x0D]+', ' ', 'g')"
-    text = f"regexp_replace({text}, '</?({BLOCK_TAGS})(\\s[^>]*)?/?>', chr(10), 'gi')"
-    text = f"regexp_replace({text}, '</?[a-zA-Z!][^>]*>', '', 'g')"
-    for name, sign in ENTITIES:
-        text = f"replace({text}, '{name.replace("'", "''")}', '{sign.replace("'", "''")}')"
+    rest = TAG_REST.replace("*+", "*").replace("++", "+").replace("?+", "?").replace("'", "''")
+    text = f"regexp_replace({text}, '</?(?:{BLOCK_TAGS})(?:>|[ /]{rest})', chr(10), 'gi')"
+    text = f"regexp_replace({text}, '</?[a-zA-Z!]{rest}', '', 'g')"
+    names = ", ".join(f"'{name}': {code}" for name, code in CODES.items())
+    code = f"""CASE WHEN r IS NULL THEN NULL WHEN r[1:3] IN ('&#x', '&#X') THEN CAST('0x' || r[4:-2] AS INTEGER)
+      WHEN r[1:2] = '&#' THEN CAST(r[3:-2] AS INTEGER) ELSE MAP {{{names}}}[r[2:-2]] END"""
+    sign = f"""CASE WHEN x.c IS NULL THEN x.r WHEN x.c = {NO_BREAK_SPACE} THEN ' ' WHEN x.c = {BYTE_ORDER_MARK} THEN ''
+      WHEN x.c BETWEEN 1 AND 55295 OR x.c BETWEEN 57344 AND 1114111 THEN chr(x.c) ELSE chr({NO_CHARACTER}) END"""
+    found = f"list_transform(regexp_extract_all(t, '{REFERENCE}'), lambda r: {{'r': r, 'c': {code}}})"
+    signs = f"list_transform({found}, lambda x: {sign})"
+    joined = f"array_to_string(list_transform(list_zip(string_split_regex(t, '{REFERENCE}'), {signs}), lambda y: y[1] || coalesce(y[2], '')), '')"
+    text = f"list_transform([{text}], lambda t: {joined})[1]"
     text = f"regexp_replace({text}, ' +', ' ', 'g')"
     text = f"regexp_replace(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
     uuid = lambda h: f"'<urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-' || {h}[13:16] || '-' || {h}[17:20] || '-' || {h}[21:32] || '>'"

@@ -54,6 +54,21 @@ def test_outliers_are_judged_by_their_own_group(spark):
     assert sum(out[i]["kept"] for i in range(600)) >= 598
 
 
+def test_few_rows_of_a_rare_language_are_judged_by_the_corpus(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    text = lambda mean: " ".join(word(max(1, int(rng.gauss(mean, 1)))) for _ in range(80))
+    rows = [(i, text(6), "en", f"s{i % 3}") for i in range(450)] + [(1000 + i, text(6), "rare", None) for i in range(20)]
+    rows += [(2000, text(30), "rare", "s0"), (2001, " ".join(word(5) + "$$$" for _ in range(80)), None, None)]
+    schema = "doc_id long, text string, lang string, source string"
+    out = {r["doc_id"]: r for r in robust_outliers.judge(spark.createDataFrame(rows, schema)).collect()}
+    assert all(r["distance2"] is not None for r in out.values()) and len(out) == len(rows)
+    assert not out[2000]["kept"] and not out[2001]["kept"]
+    assert sum(out[1000 + i]["kept"] for i in range(20)) >= 19 and sum(out[i]["kept"] for i in range(450)) >= 447
+    few = robust_outliers.judge(spark.createDataFrame(rows[440:], schema)).collect()
+    assert len(few) == 32 and all(r["distance2"] is None and r["kept"] for r in few)
+
+
 def test_concentration_finds_the_covariance_of_the_clean_part(spark):
     rng = np.random.default_rng(5)
     clean = rng.multivariate_normal([1, 2, 3, 4], np.diag([0.5, 0.6, 0.7, 0.8]) ** 2, 4000)
@@ -270,6 +285,55 @@ def test_other_content_types_get_metadata_only(spark):
     )
 
 
+PLAIN = [
+    ("<p title='a>b' class=\"c>d\">x</p>y", "x\ny"),
+    ("<p title='a>b", "b"),
+    ("<a href=x>u</a><a href=>v</a><a a=='>w</a><br/>z<hr class = \">\"/>", "uvw\nz"),  # =' is an unquoted value there
+    ("&#233;&eacute;&#x2014;&mdash;&#X1F600;&copy;", "\u00e9\u00e9\u2014\u2014\U0001f600\u00a9"),
+    ("a&nbsp;b&#160;c&#65279;d", "a b cd"),
+    ("&amp;lt; &#38;lt; &lt;b&gt; &apos;&quot;&#39;", "&lt; &lt; <b> '\"'"),
+    ("&nosuch; &amp &; & &#; &#xZ;", "&nosuch; &amp &; & &#; &#xZ;"),
+    ("&#0;&#55296;&#1114112;&#9999999;", "\ufffd" * 4),
+    ("a&#10;&#10; b", "a\nb"),
+    ("<div " + "a='>' " * 20000 + ">x" + "&amp;" * 20000, "x" + "&" * 20000),
+    ("", ""),
+    (None, ""),
+]
+
+
+def test_plain_text_of_quoted_tags_and_references(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, f"http://h/{i}", html) for i, (html, _) in enumerate(PLAIN)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = warc_derivatives.derive(warc_derivatives.responses(pages), carry=("page_id",))
+    got = {r["page_id"]: r["block"] for r in out.where("type = 'conversion'").collect()}
+    assert got == {i: text for i, (_, text) in enumerate(PLAIN)}
+    con = duckdb.connect()
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"SELECT page_id, block FROM ({warc_derivatives.ORACLE['op5_warc_derivatives']}) WHERE type = 'conversion'").fetchall()
+    assert dict(want) == got
+
+
+def test_gzip_members_are_read_one_by_one(spark, odd, tmp_path):
+    import gzip
+
+    records = warc_derivatives.responses(spark.read.parquet(f"{odd}/pages.parquet"))
+    warc_derivatives.write_warc(records, f"{tmp_path}/whole", compression="gzip")
+    key = lambda df: sorted((r["record_id"], r["target_uri"], r["block"]) for r in df.collect())
+    assert key(warc_derivatives.read_warc(spark, f"{tmp_path}/whole")) == key(records)
+    lines = [f"WARC/1.1\r\nWARC-Record-ID: <{i}>\r\nWARC-Type: resource\r\nContent-Length: 1\r\n\r\n{i}\r\n\r\n".encode() for i in range(3)]
+    content = b"".join(map(gzip.compress, lines))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/x.warc.gz").write_bytes(content)
+    assert [r["block"] for r in warc_derivatives.read_warc(spark, f"{tmp_path}/in").orderBy("record_id").collect()] == ["0", "1", "2"]
+    with pytest.raises(ValueError, match="is cut"):
+        list(warc_derivatives._members("x", content[:-9]))
+    with pytest.raises(ValueError, match="damaged gzip"):
+        list(warc_derivatives._members("x", content[:12] + b"\xff" * 8 + content[20:]))
+
+
 def test_headers_digests_and_bytes_of_a_read_response(spark, tmp_path):
     import hashlib
 
