@@ -45,9 +45,11 @@ NO_DATE = "1970-01-01T00:00:00Z"
 #: Lines end at these elements (fixed values), and these have no text.
 BLOCK_TAGS = "address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|table|title|tr|ul"
 DROPPED_TAGS = ("script", "style", "noscript", "template")
-#: The rest of a tag behind its name, white space already single. The possessive forms keep Java from a recursion for each attribute; no
+#: Comments and elements without text, in one pass: what begins first hides what begins within it.
+NO_TEXT = "(?is)<(?:!--.*?-->|" + "|".join(rf"{tag}(?:\s[^>]*)?>.*?</{tag}\s*>" for tag in DROPPED_TAGS) + ")"
+#: The rest of a tag behind its name, white space being spaces. The possessive forms keep Java from a recursion for each attribute; no
 #: alternative begins like another, so the plain forms of other engines match alike.
-TAG_REST = r"""(?:(?:[^>=]++|= ?+(?:"[^"]*+"|'[^']*+'|[^ "'>]))*+(?:= ?+)?+>|[^>]*+>)"""
+TAG_REST = r"""(?:(?:[^>=]++|= *+(?:"[^"]*+"|'[^']*+'|[^ "'>]))*+(?:= *+)?+>|[^>]*+>)"""
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,7});"
 CODES = {**name2codepoint, "apos": 39}
 NO_BREAK_SPACE, BYTE_ORDER_MARK, NO_CHARACTER = 0xA0, 0xFEFF, 0xFFFD
@@ -103,16 +105,14 @@ def header_fields(lines: Column, name: str) -> Column:
 
 
 def plain_text(html: Column) -> Column:
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in DROPPED_TAGS:
-        text = F.regexp_replace(text, rf"(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>", "")
-    text = F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
+    text = F.regexp_replace(html, NO_TEXT, "")
+    text = F.regexp_replace(text, r"[\x09-\x0D]", " ")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCK_TAGS})(?:>|[ /]{TAG_REST})", "\n")
     text = F.regexp_replace(text, rf"</?[a-zA-Z!]{TAG_REST}", "")
     # A lambda's variable is computed once, though it is used several times.
     text = F.element_at(F.transform(F.array(text), resolved), 1)
-    text = F.regexp_replace(text, r" +", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    text = F.regexp_replace(text, r"  +", " ")
+    return F.trim(F.regexp_replace(text, r"\n[ \n]+| \n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def resolved(text: Column) -> Column:
@@ -126,11 +126,9 @@ def resolved(text: Column) -> Column:
 def character(reference: Column) -> Column:
     """The character that a reference stands for, NULL for unknown names."""
     name = F.substr(reference, F.lit(2), F.length(reference) - 2)
-    code = (
-        F.when(reference.rlike("^&#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10).cast("int"))
-        .when(reference.startswith("&#"), F.substr(name, F.lit(2)).try_cast("int"))
-        .otherwise(F.try_element_at(F.create_map(*(F.lit(x) for pair in CODES.items() for x in pair)), name))
-    )
+    named = F.try_element_at(F.create_map(*(F.lit(x) for pair in CODES.items() for x in pair)), name)
+    number = F.when(F.substr(name, F.lit(2), F.lit(1)).isin("x", "X"), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2)))
+    code = F.when(reference.startswith("&#"), number.cast("int")).otherwise(named)
     # In four bytes a character is its code point.
     valid = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), code).otherwise(NO_CHARACTER)
     sign = F.decode(F.unhex(F.lpad(F.hex(valid), 8, "0")), "UTF-32")
@@ -330,10 +328,8 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     """The same records on DuckDB. Its expressions have no look at CRLF pairs, so the message is put together as above."""
     text = "payload"
-    text = f"regexp_replace({text}, '<!--.*?-->', '', 'gs')"
-    for tag in DROPPED_TAGS:
-        text = f"regexp_replace({text}, '<{tag}(\\s[^>]*)?>.*?</{tag}\\s*>', '', 'gis')"
-    text = f"regexp_replace({text}, '[\\x20\\x09-\\x0D]+', ' ', 'g')"
+    text = f"regexp_replace({text}, '{NO_TEXT}', '', 'g')"
+    text = f"regexp_replace({text}, '[\\x09-\\x0D]', ' ', 'g')"
     rest = TAG_REST.replace("*+", "*").replace("++", "+").replace("?+", "?").replace("'", "''")
     text = f"regexp_replace({text}, '</?(?:{BLOCK_TAGS})(?:>|[ /]{rest})', chr(10), 'gi')"
     text = f"regexp_replace({text}, '</?[a-zA-Z!]{rest}', '', 'g')"
