@@ -132,6 +132,33 @@ def test_difference_counts_all_blocks():
 # 3: best fit
 
 
+def test_difference_is_that_of_sizes_computed_on_their_own(spark):
+    """Blocks compressed anew for each size, without the operator's compressors, and the score put together by hand."""
+    import math
+
+    import zstandard
+
+    good, bad = b"the erin of onha " * 40, b"$$$ ### &&& %%% " * 40
+    model = compression_classifier.CompressionModel(good, bad, (-1.5, 0.25), 0.05)
+    texts = ["the erin of onha " * 50, "$$$ ### &&& %%%" * 90, "a", "\u00e9\u4e2d\U0001f600 " * 200, "x" * 5000, "", None, "the $$$ " * 1000]
+    out = compression_classifier.score(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model)
+    got = {r["doc_id"]: r for r in out.collect()}
+
+    def size(block, dictionary):
+        loaded = zstandard.ZstdCompressionDict(dictionary)
+        packed = zstandard.ZstdCompressor(level=3, dict_data=loaded, write_checksum=False, write_content_size=False, write_dict_id=False)
+        return len(packed.compress(block))
+
+    for i, text in enumerate(texts):
+        data = (text or "").encode()
+        blocks = [data[a : a + 256] for a in range(0, len(data), 256)]
+        want = sum(size(b, good) - size(b, bad) for b in blocks) / len(data) if data else 0.0
+        assert got[i]["difference"] == pytest.approx(want, abs=1e-12)
+        x = max(-6.0, min(6.0, want / 0.05))
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-(x * -1.5 + 0.25))), abs=1e-9)
+    assert got[0]["difference"] < 0 < got[1]["difference"]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_tightest_compatible_bin(seed):
     rng = random.Random(seed)
