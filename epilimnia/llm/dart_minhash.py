@@ -35,7 +35,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,7 +58,8 @@ AGREE = int(K * SIMILARITY - 4 * (K * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 #: Bits of a rank: whole units, and parts of a unit. What is left of 64 bits numbers the coordinates of one throw.
 UNIT_BITS, PART_BITS = 15, 30
 RANK_BITS = UNIT_BITS + PART_BITS
-CACHE_WORDS = 400_000
+#: Words that a task remembers, and units of weight whose darts are thrown at once.
+CACHE_WORDS, THROW = 150_000, 250_000
 
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
@@ -113,9 +113,9 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def names(bags: list[list[bytes]]) -> pa.Array:
-    """A 64-bit name of each word sequence; NULL without words."""
-    return pa.array([xxhash.xxh3_64_intdigest(b" ".join(w)) - (1 << 63) if w else None for w in bags], type=pa.int64())
+def name(bag: list[bytes]) -> int | None:
+    """A 64-bit name of a word sequence; None without words."""
+    return xxhash.xxh3_64_intdigest(b" ".join(bag)) - (1 << 63) if bag else None
 
 
 def signatures(elements: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
@@ -180,21 +180,23 @@ def sign(docs: DataFrame) -> DataFrame:
         shingler = Shingler()
 
         def work(texts: list[str | None]) -> list[pa.Array]:
-            bags = [words_of(t) for t in texts]
-            totals, keys, marks = np.zeros(len(bags), dtype=np.int64), [None] * len(bags), [None] * len(bags)
+            n = len(texts)
+            named, totals, keys, marks = [None] * n, np.zeros(n, dtype=np.int64), [None] * n, [None] * n
             held, sets, units = [], [], 0
-            for i, bag in enumerate(bags):
-                if bag:
+            # The words of one text at a time are in memory, and the darts of about ``THROW`` units.
+            for i, text in enumerate(texts):
+                if bag := words_of(text):
+                    named[i] = name(bag)
                     held.append(i)
                     sets.append(shingler.elements(bag))
                     totals[i] = sets[-1][1].sum()
                     units += int(totals[i]) + 8 * K
-                if sets and (units > 1_500_000 or i == len(bags) - 1):
+                if sets and (units > THROW or i == n - 1):
                     made = signatures([e for e, _ in sets], [w for _, w in sets])
-                    for j, row, ranks in zip(held, bands(made), mix(made * _C).view(np.int8)[:, ::8], strict=True):
+                    for j, row, ranks in zip(held, bands(made), mix(made * _C).view(np.int8)[:, ::8].copy(), strict=True):
                         keys[j], marks[j] = row, ranks
                     held, sets, units = [], [], 0
-            return [names(bags), pa.array(totals), pa.array(keys, type=pa.list_(pa.int64())), pa.array(marks, type=pa.list_(pa.int8()))]
+            return [pa.array(named, type=pa.int64()), pa.array(totals), pa.array(keys, type=pa.list_(pa.int64())), pa.array(marks, type=pa.list_(pa.int8()))]
 
         return work
 
@@ -215,18 +217,19 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     # Pairs of one pivot come together; skewed pivots are split by the join.
     both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         last: tuple[int, tuple] | None = None
         for batch in batches:
             found = []
-            for b, x, y in zip(batch["b"], batch["text_a"], batch["text_b"], strict=True):
-                if last is None or last[0] != b:
-                    last = (b, shingler.elements(words_of(y)))
-                found.append(similarity(shingler.elements(words_of(x)), last[1]))
-            yield batch[["a", "b"]].assign(similarity=np.array(found, dtype=float))
+            for at in range(0, batch.num_rows, 256):  # few texts at a time are Python's
+                for b, x, y in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns[1:]], strict=True):
+                    if last is None or last[0] != b:
+                        last = (b, shingler.elements(words_of(y)))
+                    found.append(similarity(shingler.elements(words_of(x)), last[1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, type=pa.float64())], names=["a", "b", "similarity"])
 
-    return both.mapInPandas(run, "a long, b long, similarity double")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -436,7 +439,7 @@ def _with_node(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             row = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
-            yield pa.RecordBatch.from_arrays([row, batch.column(at), names([words_of(t) for t in texts])], names=["row", "doc_id", "node"])
+            yield pa.RecordBatch.from_arrays([row, batch.column(at), pa.array([name(words_of(t)) for t in texts], type=pa.int64())], names=["row", "doc_id", "node"])
 
     at = docs.columns.index("doc_id")
     fields = [StructField("row", docs.schema), docs.schema["doc_id"], StructField("node", LongType())]
