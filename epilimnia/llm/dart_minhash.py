@@ -16,13 +16,15 @@ They are compared in ``ROUNDS`` rounds, the same for buckets of every size. In e
 lengthened keys, further coordinates of their signatures in another order each time; sorted ranges split a large bucket over
 tasks. A member looks at the ``WINDOW`` members before and behind it that share the most further coordinates with it and are in other
 components, and the one whose signature agrees with its own in most coordinates is compared by text, if the agreement is
-within four deviations of the similarity. So a round compares no more pairs than it has rows. ``exact=True`` meets
-all members of a bucket with each other instead, in growing hashed shares, until the bucket is one component or all have met; its
-work grows with the square of a bucket whose members lie just outside the similarity.
+within four deviations of the similarity. So a round compares no more pairs than it has rows.
+
+The rounds only spare work. In every bucket that is still not one component, all members then meet those of other components: a
+bucket is dealt over blocks of about ``BLOCK`` members, a task holds two blocks with their texts, and a pair that
+no bound excludes is compared by text in the first bucket that its texts share. Only links leave a task, so rows grow with a
+bucket's members times its blocks; the comparing grows with the square of a bucket whose members lie just outside the similarity.
 
 Classes are the connected components. Two texts of similarity 0.8 share a bucket with a probability of 0.988, of 0.85 with 0.9995,
-and the agreement misses one pair in 30 000 at 0.8. What the rounds may miss is a link between two texts of a large bucket, neither
-of which is its centre or within reach of it, that no chain of other links replaces; ``tests/llm`` measures it against all pairs.
+and the agreement misses one pair in 30 000 at 0.8; ``tests/llm`` measures the classes against all pairs.
 
 Defined results: a text without words is a class of its own row and stays, repeated or not. Texts with equal words are exact copies: they share a node, named
 by a 64-bit hash (two different texts share one with a chance of one in 10 at two billion texts), and are not listed as pairs.
@@ -49,8 +51,8 @@ BANDS, ROWS = 24, 8
 K = BANDS * ROWS
 #: Expected darts per coordinate beyond log(K) in the first throw; texts with an empty coordinate throw further.
 SPARE = 3.0
-#: Pivots that a bucket gets in the first round of exact comparison (expected, by hash).
-PIVOTS = 8
+#: Members of a bucket and units of weight that a block has, as expected by hash.
+BLOCK, BLOCK_UNITS = 1024, 1_000_000
 #: Rounds of sorting by lengthened keys, coordinates of such a key, and the neighbours on each side that a member looks at.
 ROUNDS, LENGTH, WINDOW = 4, 16, 64
 #: Coordinates in which signatures of near duplicates agree at least: four deviations below the mean.
@@ -266,7 +268,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, exact: bool = False) -> DataFrame:
     """``doc_id, node, class_id, class_size, kept``: one row for each input row; ``kept`` marks one row of each class.
 
-    ``exact``: all members of a bucket meet, whatever its size.
+    All members of a bucket that may have a link meet, whatever its size; ``exact`` leaves out the rounds that spare comparisons.
     """
     signed = settle(sign(docs), "signatures")
     worded = signed.where("node IS NOT NULL")
@@ -291,8 +293,11 @@ def classes(docs: DataFrame, exact: bool = False) -> DataFrame:
     links = compared.where(F.col("similarity") >= SIMILARITY).select("a", "b")
     state = components(inside, links)
     rest = settle(_unsettled(starred, compared, inside).join(nodes.select("node", "marks"), "node"), "rest")
-    discard(members, pivots, nodes)
-    state = (_all_met if exact else _neighbours_met)(rest, state, texts)
+    discard(members, pivots)
+    if not exact:
+        state = _neighbours_met(rest, state, texts)
+    state = _all_met(rest, state, nodes, texts)
+    discard(nodes, texts, rest)
     return _rows(signed, state)
 
 
@@ -357,22 +362,104 @@ def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], names=["a", "b"])
 
 
-def _all_met(rest: DataFrame, state: DataFrame, texts: DataFrame) -> DataFrame:
-    """Components after all members of each bucket have met those of other components."""
-    done, share = 0.0, float(PIVOTS)
-    while True:
-        left = settle(_open(rest, state).where(F.col("n") > done), "left")
-        if left.isEmpty():
-            return state
-        # The hashed place of a member in its bucket, about one member per unit.
-        place = (F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) / float(1 << 40)) * F.col("n")
-        heads = left.where((place >= done) & (place < share))
-        heads = heads.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "total", "near", "far", "marks")]).withColumnRenamed("node_b", "b")
-        met = left.join(settle(heads, "heads"), "key").where((F.col("comp") != F.col("comp_b")) & _sized("total", "total_b") & _possible())
-        pairs = settle(met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "pairs")
-        state = _linked(verify(pairs, texts), state)
-        discard(left, pairs)
-        done, share = share, share * 4
+def _all_met(rest: DataFrame, state: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Components after all members of each bucket that is not one component have met those of other components."""
+    left = settle(_open(rest, state).select("key", "node", "comp", "total", "near", "far"), "left")
+    if left.isEmpty():
+        return state
+    sizes = left.groupBy("key").agg(F.greatest(F.count("*") / BLOCK, F.sum("total") / BLOCK_UNITS).alias("blocks"))
+    dealt = left.join(sizes.select("key", F.ceil("blocks").alias("blocks")), "key")
+    own, other = F.pmod(F.xxhash64("key", "node"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    # A row for each pair of blocks that a member's block is in.
+    placed = dealt.withColumn("own", own).withColumn("other", other)
+    placed = placed.select(
+        "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"),
+        (F.col("own") > F.col("other")).alias("second"), "node", "comp", "total", "near", "far",
+    )
+    held = placed.join(nodes.select("node", "marks", "bands"), "node").join(texts.hint("merge"), "node").select(*placed.columns, "marks", "bands", "text")
+    groups = held.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "node")
+    links = settle(groups.mapInArrow(_links, "a long, b long").distinct(), "found")
+    discard(left)
+    return state if links.isEmpty() else _linked(links, state)
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links ``a, b`` between components in each pair of blocks of a bucket; the rows come sorted by bucket and blocks."""
+    shingler = Shingler()
+
+    def found(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        ends = _group_links(group, shingler)
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*ends, strict=True)], names=["a", "b"])
+
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        place = [batch.column(i).to_numpy() for i in range(3)]
+        new = np.logical_or.reduce([p[1:] != p[:-1] for p in place])
+        starts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        if kept and [c[0].as_py() for c in kept[0].columns[:3]] != [int(p[0]) for p in place]:
+            yield from found(pa.Table.from_batches(kept))
+            kept = []
+        for start, stop in zip(starts, starts[1:], strict=False):
+            kept.append(batch.slice(start, stop - start))
+            if stop < batch.num_rows:
+                yield from found(pa.Table.from_batches(kept))
+                kept = []
+    if kept:
+        yield from found(pa.Table.from_batches(kept))
+
+
+def _group_links(group: pa.Table, shingler: Shingler) -> list[tuple[int, int]]:
+    """Links that join the components of two blocks (or one) as far as texts reach the similarity.
+
+    A pair is left out if a bound excludes it, if an earlier bucket has it too, or if links found before join its components.
+    """
+    group = group.combine_chunks()
+    key, one, two = (group.column(i)[0].as_py() for i in range(3))
+    second, node, comp, total, near, far = (group.column(i).to_numpy() for i in range(3, 9))
+    comp = comp.copy()
+    if (comp == comp[0]).all():
+        return []
+    marks, bands = (group.column(i).combine_chunks().flatten().to_numpy().reshape(len(node), -1) for i in (9, 10))
+    texts, sets, out = group.column(11), {}, []
+
+    def elements(i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in sets:
+            sets[i] = shingler.elements(words_of(texts[i].as_py()))
+        return sets[i]
+
+    rows = np.flatnonzero(~second) if one != two else np.arange(len(node))
+    others = np.flatnonzero(second) if one != two else rows
+    for i in rows:
+        j = others if one != two else others[others > i]
+        j = j[comp[j] != comp[i]]
+        j = j[(near[i] - far[j] <= REACH) & (near[j] - far[i] <= REACH)]
+        j = j[np.minimum(total[i], total[j]) >= SIMILARITY * np.maximum(total[i], total[j]) - 1e-9]
+        j = j[np.count_nonzero(marks[j] == marks[i], axis=1) >= AGREE]
+        if len(j):
+            j = j[bands[i][(bands[j] == bands[i]).argmax(axis=1)] == key]
+        while len(j):
+            # The candidates of as much weight as a block may have at once.
+            some = j[: max(1, int(np.searchsorted(np.cumsum(total[j]), BLOCK_UNITS)))]
+            near_i = some[_similarities(elements(i), [elements(k) for k in some]) >= SIMILARITY]
+            for k in near_i:
+                if comp[k] != comp[i]:
+                    out.append((int(min(node[i], node[k])), int(max(node[i], node[k]))))
+                    comp[comp == comp[k]] = comp[i]
+            j = j[len(some) :]
+            j = j[comp[j] != comp[i]]
+    return out
+
+
+def _similarities(own: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard similarities of one (elements, weights) with others."""
+    found, weights = (np.concatenate([o[n] for o in others]) for n in (0, 1))
+    starts = np.cumsum([0, *[len(o[0]) for o in others]])[:-1]
+    at = np.minimum(np.searchsorted(own[0], found), len(own[0]) - 1)
+    shared = np.add.reduceat(np.where(own[0][at] == found, np.minimum(own[1][at], weights), 0), starts)
+    return shared / (own[1].sum() + np.add.reduceat(weights, starts) - shared)
 
 
 #: Largest distance of near duplicates, with room for the last bits of quotients.
@@ -404,12 +491,6 @@ def _unsettled(starred: DataFrame, compared: DataFrame, inside: DataFrame) -> Da
     return held.join(sizes, "key")
 
 
-def _possible() -> Column:
-    """Whether two members can be near duplicates, by their distances from the centre and by their signatures."""
-    agree = F.aggregate(F.zip_with("marks", "marks_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return (F.col("near") - F.col("far_b") <= REACH) & (F.col("near_b") - F.col("far") <= REACH) & (agree >= AGREE)
-
-
 def _sized(one: str, two: str) -> Column:
     """Sets of too different weight can't reach the similarity."""
     return F.least(one, two) >= SIMILARITY * F.greatest(one, two) - 1e-9
