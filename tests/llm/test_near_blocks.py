@@ -78,3 +78,16 @@ def test_links_of_one_group(split):
 
     assert parts(links) == parts(able)
     assert len(links) < n
+
+
+def test_pipeline_stage_keeps_one_of_each_class(spark, monkeypatch):
+    # Texts far from the centre and their twins: without blocks a twin stays where no round has met it.
+    rng = random.Random(12)
+    texts = edits(rng, 60, 200, 3) + edits(random.Random(12), 40, 200, 14)
+    texts += [t + " only0 only1 only2" for t in texts[60:]]
+    wanted = merges(texts)
+    classes = {i: min([i, *[a for a, b in wanted if b == i]]) for i in range(len(texts))}
+    monkeypatch.setattr(dart_minhash, "ROUNDS", 0)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = sorted(r["doc_id"] for r in dart_minhash.keep_one_of_each(spark, docs, "").collect())
+    assert kept == sorted(set(classes.values()))
