@@ -91,3 +91,42 @@ def test_pipeline_stage_keeps_one_of_each_class(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     kept = sorted(r["doc_id"] for r in dart_minhash.keep_one_of_each(spark, docs, "").collect())
     assert kept == sorted(set(classes.values()))
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_no_link_depends_on_the_agreement_of_signatures(monkeypatch, split):
+    import numpy as np
+    import pyarrow as pa
+
+    # No signatures agree: what can be near duplicates is compared all the same, texts of any weight.
+    monkeypatch.setattr(dart_minhash, "AGREE", dart_minhash.K + 1)
+    monkeypatch.setattr(dart_minhash, "BIN_CELLS", 64, raising=False)
+    texts = edits(random.Random(4), 30, 150, 6) + edits(random.Random(5), 10, 12, 1) + ["one", "two words", "la " * 400, "la " * 420]
+    shingler = dart_minhash.Shingler()
+    sets = [shingler.elements(dart_minhash.words_of(t)) for t in texts]
+    n = len(texts)
+    second = np.arange(n) % 2 == 1 if split else np.zeros(n, dtype=bool)
+    columns = [
+        np.zeros(n, dtype=int), np.zeros(n, dtype=int), np.full(n, int(split)), second, np.arange(n), np.arange(n),
+        np.array([w.sum() for _, w in sets]), np.zeros(n), np.ones(n), list(np.zeros((n, dart_minhash.K), dtype=np.int8)),
+        list(np.tile(np.arange(dart_minhash.BANDS), (n, 1))), texts,
+    ]
+    links = dart_minhash._group_links(pa.table([pa.array(c) for c in columns], names=[f"c{i}" for i in range(len(columns))]), shingler)
+    near = {(i, j) for i in range(n) for j in range(i + 1, n) if dart_minhash.similarity(sets[i], sets[j]) >= dart_minhash.SIMILARITY}
+    able = {(i, j) for i, j in near if not split or second[i] != second[j]}
+    assert able and set(links) <= able
+    of = list(range(n))
+    for i, j in links:
+        of = [of[i] if c == of[j] else c for c in of]
+    assert all(of[i] == of[j] for i, j in able)
+
+
+def test_pipeline_stage_compares_pairs_whose_signatures_agree_too_little(spark, monkeypatch):
+    texts = edits(random.Random(12), 40, 200, 3) + edits(random.Random(12), 30, 200, 14)
+    texts += [t + " only0 only1 only2" for t in texts[40:]]
+    wanted = merges(texts)
+    monkeypatch.setattr(dart_minhash, "ROUNDS", 0)
+    monkeypatch.setattr(dart_minhash, "AGREE", dart_minhash.K + 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = sorted(r["doc_id"] for r in dart_minhash.keep_one_of_each(spark, docs, "").collect())
+    assert kept == sorted({min([i, *[a for a, b in wanted if b == i]]) for i in range(len(texts))})
