@@ -12,7 +12,7 @@ distance 1 - similarity is a metric, so these distances bound all others of the
 whose distances from that centre differ by more than 0.2 can't be near duplicates of each other, and need no comparison. Only
 members that may still have a link to another component go on.
 
-They are compared in ``ROUNDS`` rounds, the same for buckets of every size. In each round the members of a bucket are sorted by
+They are compared in up to ``ROUNDS`` rounds, the same for buckets of every size; a round that links few is the last. In each round the members of a bucket are sorted by
 lengthened keys, further coordinates of their signatures in another order each time; sorted ranges split a large bucket over
 tasks. A member looks at the ``WINDOW`` members before and behind it that share the most further coordinates with it and are in other
 components, and the one whose signature agrees with its own in most coordinates is compared by text, if the agreement is
@@ -57,6 +57,8 @@ BLOCK, BLOCK_UNITS = 1024, 1_000_000
 BIN_BITS, BIN_CELLS = 14, 1 << 20
 #: Rounds of sorting by lengthened keys, coordinates of such a key, and the neighbours on each side that a member looks at.
 ROUNDS, LENGTH, WINDOW = 4, 16, 64
+#: Links that a round must find for each of its rows, else it is the last: all members meet afterwards anyway.
+GAIN = 0.01
 #: Coordinates in which signatures of near duplicates agree at least: four deviations below the mean.
 AGREE = int(K * SIMILARITY - 4 * (K * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 #: Bits of a rank: whole units, and parts of a unit. What is left of 64 bits numbers the coordinates of one throw.
@@ -325,14 +327,20 @@ def _neighbours_met(rest: DataFrame, state: DataFrame, texts: DataFrame) -> Data
     tried = None
     for _ in range(ROUNDS):
         further = F.array(*[F.element_at("marks", int(i) + 1) for i in rng.permutation(K)[:LENGTH]])
-        rows = _open(rest, state).select("key", "node", "comp", "total", "near", "far", "marks", further.alias("further"))
+        # Settled, since sorting by ranges reads its rows twice.
+        rows = settle(_open(rest, state).select("key", "node", "comp", "total", "near", "far", "marks", further.alias("further")), "open")
         ranges = rows.repartitionByRange("key", "further", "node").sortWithinPartitions("key", "further", "node").drop("further")
         found = ranges.mapInArrow(_closest, "a long, b long").distinct()
         pairs = settle(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break
         tried = pairs if tried is None else tried.unionAll(pairs)
-        state = _linked(verify(pairs, texts), state)
+        links = settle(verify(pairs, texts), "near")
+        size, found = rows.count(), links.count()
+        state = _linked(links, state) if found else state
+        discard(rows, links)
+        if found < GAIN * size:
+            break
     return state
 
 

@@ -130,3 +130,14 @@ def test_pipeline_stage_compares_pairs_whose_signatures_agree_too_little(spark,
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     kept = sorted(r["doc_id"] for r in dart_minhash.keep_one_of_each(spark, docs, "").collect())
     assert kept == sorted({min([i, *[a for a, b in wanted if b == i]]) for i in range(len(texts))})
+
+
+def test_rounds_end_when_they_link_nothing(spark, monkeypatch):
+    # Texts that share buckets and are all more than 0.2 from each other.
+    words = edits(random.Random(7), 1, 200, 1)[0].split()
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("xyz") for _ in range(9)) if at % 67 == n or at % 71 == n else w for at, w in enumerate(words)) for n in range(60)]
+    rounds, opened = [], dart_minhash._open
+    monkeypatch.setattr(dart_minhash, "_open", lambda *how: rounds.append(1) or opened(*how))
+    assert linked(spark, texts) == merges(texts)
+    assert len(rounds) == 2
