@@ -125,9 +125,12 @@ def sizes(docs: DataFrame) -> DataFrame:
 
     def maker() -> Callable[[list[str | None]], list[pa.Array]]:
         def work(texts: list[str | None]) -> list[pa.Array]:
-            bags = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-            joined = [xxhash.xxh3_64_intdigest(b"".join(w)) - (1 << 63) if w else None for w in bags]
-            return [pa.array([len(w) for w in bags], type=pa.int64()), pa.array(joined, type=pa.int64())]
+            counts, joined = [], []
+            for text in texts:  # the words of one text at a time are in memory
+                words = (text or "").encode("utf-8", "surrogatepass").split()
+                counts.append(len(words))
+                joined.append(xxhash.xxh3_64_intdigest(b"".join(words)) - (1 << 63) if words else None)
+            return [pa.array(counts, type=pa.int64()), pa.array(joined, type=pa.int64())]
 
         return work
 
