@@ -16,29 +16,56 @@ no block. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from epilimnia.llm.common import read_table, settle, shared_folder
+from epilimnia.llm.trie_bpe import byte_letters
 
 END = 2
 SCALE = 18  # bits of the frequencies' sum
 LOW = 31  # a state stays in [2^LOW, 2^(LOW+32))
-LANES = 256
-SEGMENT = 128
+LANES = 1024
+SEGMENT = 64
 BLOCK = 131_072
 #: Ids in a shard, on average; each shard is sorted and coded by one task.
 SHARD = 8_000_000
-#: Words that a task remembers, and words that the library gets at once.
-CACHE_WORDS, SLICE = 400_000, 2_000
+#: Words and pieces that a task remembers, those that the library gets at once, and bytes of text that are encoded at once.
+CACHE, SLICE, PART_BYTES = 400_000, 2_000, 16 << 20
+
+#: The library's steps before its merges, as the vocabulary's file states them (fixed values).
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Printable ASCII, Latin-1 and Latin Extended-A without the one letter that becomes two in lower case: the first step leaves these
+#: as they are, the next ones take each alone. Words hold no line ends, which part them here.
+_LATIN = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x180)) if c != 0x130]
+_LETTER, _NUMBER = ("".join(c for c in _LATIN if unicodedata.category(c)[0] == kind) for kind in "LN")
+PLAIN = re.compile(f"[\n{re.escape(''.join(_LATIN))}]*")
+#: ``PATTERN`` for plain words, and the ends of words.
+CUT = re.compile(f"[{_LETTER}]+|[{_NUMBER}]|'(?:s|t|re|ve|m|ll|d)|[^\\n{_LETTER}{_NUMBER}]+|\\n")
+#: The letter of each byte in the vocabulary but that of a blank, which parts pieces.
+LETTERS = {byte: letter for letter, byte in byte_letters().items() if byte != 32}
 
 BLOCKS = (
     "shard int, block int, start long, doc_ids array<long>, lengths array<int>, ids_crc32 array<long>, "
@@ -123,91 +150,186 @@ class Coder:
         return out.reshape(-1)[:n] if len(states) == 1 else np.concatenate([o.reshape(-1) for o in out])[:n]
 
 
+class Sequences:
+    """Sequences of ids by number, one after another in an array."""
+
+    def __init__(self, data: np.ndarray, sizes: np.ndarray) -> None:
+        self.data, self.sizes = data, sizes.astype(np.int32)
+        self.starts = (np.cumsum(sizes) - sizes).astype(np.int32)
+
+    def add(self, other: Sequences) -> None:
+        self.starts = np.concatenate([self.starts, other.starts + np.int32(len(self.data))])
+        self.data, self.sizes = np.concatenate([self.data, other.data]), np.concatenate([self.sizes, other.sizes])
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered sequences in their order, and how many each has."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        if not len(ends) or ends[-1] < 1 << 31:
+            ends = ends.astype(np.int32)
+        places = np.repeat(self.starts[numbers] - (ends - sizes), sizes)
+        places += np.arange(len(places), dtype=places.dtype)
+        return self.data[places], sizes
+
+
 class WordEncoder:
-    """Ids of white-space words as bytes, by the library; remembers words.
+    """Ids of white-space words, by the library; remembers pieces of words, and words that it does not cut.
 
-    New words are encoded many at a time, joined by a word that none of them holds, whose id parts the result again.
+    Words of ``PLAIN`` characters are cut by the vocabulary's own pattern here, and the library merges each different piece once,
+    many at a time, without its normaliser and pattern; the ids at which a piece may end part the result. All other words are
+    encoded as they are, joined by a word that none of them holds, whose id parts the result. ``last`` is that of ``piece_ends``.
     """
 
     MARK = "\x00"
 
-    def __init__(self, tokenizer: str, width: str) -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, tokenizer: str, width: str, last: np.ndarray | None) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library, self.width = Tokenizer.from_str(tokenizer), width
+        self.library, self.width, self.last = Tokenizer.from_str(tokenizer), width, last
         self.library.no_truncation()
         self.library.no_padding()
         mark = self._ids(self.MARK)
         self.mark = mark[0] if len(mark) == 1 else None
-        self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.width)
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        mark = self.MARK.encode()
-        plain = [w for w in words if mark not in w] if self.mark is not None else []
+        self.merger = Tokenizer(self.library.model)
+        self.merger.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        # The end of a word counts as a piece without ids.
+        self.numbers = {"\n": 0}
+        self.pieces = Sequences(np.zeros(0, dtype=self.width), np.zeros(1, dtype=np.int64))
+
+    def _ids(self, text: str, merge: bool = False) -> np.ndarray:
+        encoder = self.merger if merge else self.library
+        return np.array(encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.width)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        if len(self.numbers) + len(self.known) > CACHE:
+            self.forget()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        cut, place = self._cut(words), coded.indices.to_numpy()
+        if cut.all():
+            found = self._plain(words)
+        else:
+            found = self._plain([w for w, c in zip(words, cut, strict=True) if c])
+            found.add(self._whole([w for w, c in zip(words, cut, strict=True) if not c]))
+            place = np.argsort(np.argsort(~cut, kind="stable"))[place]  # words that are cut come first
+        ids, sizes = found.gather(place)
+        # A text is split into one word at least, be it empty.
+        return ids, np.add.reduceat(sizes, split.offsets.to_numpy()[:-1] - split.offsets[0].as_py(), dtype=np.int64)
+
+    def _cut(self, words: list[str]) -> np.ndarray:
+        """Which words are cut into pieces here: plain ones that hold no token added to the vocabulary."""
+        if self.last is None:
+            return np.zeros(len(words), dtype=bool)
+        joined = "\n".join(words)
+        if PLAIN.fullmatch(joined) and not any(a in joined for a in self.added):
+            return np.ones(len(words), dtype=bool)
+        return np.array([PLAIN.fullmatch(w) is not None and not any(a in w for a in self.added) for w in words], dtype=bool)
+
+    def _plain(self, words: list[str]) -> Sequences:
+        found = pa.array(CUT.findall("\n".join(words).lower() + "\n") if words else [], type=pa.string()).dictionary_encode()
+        pieces = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [x for x in pieces if x not in self.numbers]
+        for kind in ([x for x in new if x.isascii()], [x for x in new if not x.isascii()]):
+            for at in range(0, len(kind), SLICE):
+                self._merge(kind[at : at + SLICE])
+        numbers = np.fromiter(map(self.numbers.__getitem__, pieces), dtype=np.int64, count=len(pieces))[found.indices.to_numpy()]
+        ids, sizes = self.pieces.gather(numbers)
+        return Sequences(ids, np.diff(np.cumsum(sizes)[numbers == 0], prepend=0))
+
+    def _merge(self, pieces: list[str]) -> None:
+        text = " ".join(pieces)
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(LETTERS)
+        ids = self._ids(text, merge=True)
+        ends = np.flatnonzero(self.last[ids])
+        if len(ends) == len(pieces) and ends[-1] == len(ids) - 1:
+            sizes = np.diff(ends, prepend=-1)
+        else:  # the vocabulary lacks a letter
+            alone = [self._ids(x, merge=True) for x in text.split(" ")]
+            ids, sizes = np.concatenate(alone), np.array([len(x) for x in alone])
+        self.numbers.update(zip(pieces, range(len(self.numbers), len(self.numbers) + len(pieces)), strict=True))
+        self.pieces.add(Sequences(ids, sizes))
+
+    def _whole(self, words: list[str]) -> Sequences:
         size = np.dtype(self.width).itemsize
-        for at in range(0, len(plain), SLICE):
-            part = plain[at : at + SLICE]
-            ids = self._ids(f" {self.MARK} ".join([w.decode() for w in part]))
+        new = [w for w in words if w not in self.known]
+        unmarked = [w for w in new if self.MARK not in w] if self.mark is not None else []
+        for at in range(0, len(unmarked), SLICE):
+            part = unmarked[at : at + SLICE]
+            ids = self._ids(f" {self.MARK} ".join(part))
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) == len(part) - 1:
                 data, starts, ends = ids.tobytes(), [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(ids) * size]
                 self.known.update((w, data[a:b]) for w, a, b in zip(part, starts, ends, strict=True))
-        for w in words:
+        for w in new:
             if w not in self.known:
-                self.known[w] = self._ids(w.decode()).tobytes()
+                self.known[w] = self._ids(w).tobytes()
+        found = list(map(self.known.__getitem__, words))
+        return Sequences(np.frombuffer(b"".join(found), dtype=self.width), np.array([len(x) // size for x in found], dtype=np.int64))
 
-    def encode(self, text: str | None) -> list[bytes]:
-        data = (text or "").encode("utf-8", "replace")
-        words = (data.lower() if data.isascii() and self.lowers else data).split()
-        if new := {w for w in words if w not in self.known}:
-            self.learn(new)
-            if not all(w in self.known for w in words):  # forgotten meanwhile
-                self.learn({w for w in words if w not in self.known})
-        return list(map(self.known.__getitem__, words))
 
-    @cached_property
-    def lowers(self) -> bool:
-        """Whether the vocabulary takes capital letters of ASCII for small ones."""
-        upper, lower = self._ids("A B C D E F G H I J K L M N O P Q R S T U V W X Y Z"), self._ids("a b c d e f g h i j k l m n o p q r s t u v w x y z")
-        return bool(np.array_equal(upper, lower) and np.array_equal(self._ids("HELLO WoRLD'S"), self._ids("hello world's")))
+def piece_ends(tokenizer: str) -> np.ndarray | None:
+    """Whether each id ends a piece, if the library's normaliser, pattern and merges are those that ``WordEncoder`` knows; else None."""
+    file = json.loads(tokenizer)
+    model, added = file["model"], file["added_tokens"]
+    fixed = {"type": "BPE", "dropout": None, "unk_token": None, "byte_fallback": False, "ignore_merges": False}
+    alike = file["normalizer"] == NORMALIZER and file["pre_tokenizer"] == PRE_TOKENIZER and all(model.get(k) == v for k, v in fixed.items())
+    suffix = model.get("end_of_word_suffix")
+    if not alike or not suffix or model.get("continuing_subword_prefix") or any(t[k] for t in added for k in ("normalized", "single_word", "lstrip", "rstrip")):
+        return None
+    last = np.zeros(max([*model["vocab"].values(), *(t["id"] for t in added)]) + 1, dtype=bool)
+    last[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+    return last
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """``doc_id, n_tokens, ids`` (little-endian unsigned 16-bit or 32-bit) with the end id, and a row of ``counts`` (64-bit, one for each
     id) for each task, whose other columns are NULL. ``tokenizer``: the file's content.
 
-    The vocabulary's pattern drops white space, so texts are encoded word by word, and the library sees each word once.
+    The vocabulary's pattern drops white space, so texts are encoded word by word, and the library sees each piece of a word once.
     """
-    width = _width(tokenizer)
+    width, last = _width(tokenizer), piece_ends(tokenizer)
     kind = docs.schema["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, size = WordEncoder(tokenizer, width), np.dtype(width).itemsize
-        tail, total = np.array([end], dtype=width).tobytes(), np.zeros(0, dtype=np.int64)
+        encoder, size = WordEncoder(tokenizer, width, last), np.dtype(width).itemsize
+        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            out = [b"".join([*encoder.encode(text), tail]) for text in batch.column(1).to_pylist()]
-            found = np.bincount(np.frombuffer(b"".join(out), dtype=width), minlength=len(total))
-            found[: len(total)] += total
-            total = found
-            sizes = [len(x) // size for x in out]
-            yield _batch(batch.column(0), sizes, out, [None] * len(out))
-        yield _batch(pa.nulls(1, _arrow(kind)), [None], [None], [total.tobytes()])
+            for part in _parts(batch):
+                ids, sizes = encoder.encode(part.column(1))
+                ids, sizes = np.insert(ids, np.cumsum(sizes), end), sizes + 1
+                found = np.bincount(ids, minlength=len(total))
+                found[: len(total)] += total
+                total = found
+                offsets = np.concatenate([[0], np.cumsum(sizes) * size]).astype(np.int32)
+                out = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield _batch(part.column(0), pa.array(sizes, pa.int64()), out, pa.nulls(len(sizes), pa.binary()))
+        yield _batch(pa.nulls(1, _arrow(kind)), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary()))
 
     return docs.select("doc_id", "text").mapInArrow(run, StructType([kind, *_parse_datatype_string("n_tokens long, ids binary, counts binary")]))
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in parts of about ``PART_BYTES`` of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+    starts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // PART_BYTES, prepend=-1))
+    for start, stop in zip(starts, [*starts[1:], len(sizes)], strict=False):
+        yield batch.slice(start, stop - start)
+
+
 def _arrow(field: StructField) -> pa.DataType:
     return {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}[field.dataType.typeName()]
 
 
-def _batch(doc_ids: pa.Array, sizes: list, ids: list, counts: list) -> pa.RecordBatch:
-    columns = [doc_ids, pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "counts"])
+def _batch(*columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "n_tokens", "ids", "counts"])
 
 
 def _width(tokenizer: str) -> str:
